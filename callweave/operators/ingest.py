@@ -185,8 +185,8 @@ def load_catalog(df: DataFrame, line: str = "raw_line", keep: tuple[str, ...] =
             out = pa.table([*columns, *parsed.columns], names=[*keep, *parsed.column_names])
             yield from out.combine_chunks().to_batches()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}, {CATALOG_SCHEMA}")
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    return source.mapInArrow(run, ", ".join([*kept, CATALOG_SCHEMA]))
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
