@@ -180,7 +180,8 @@ def cluster_calls(calls: DataFrame, cfg: MergeConfig) -> DataFrame:
     columns = ["block", "idx", "id", "start", "end", "max_dist", "support_mask", "sample_id", "info_hash", "trid"]
     inside = shards.join(touched, ["block", "shard"], "left_semi")
     busy = calls.select(*columns).join(inside, ["block", "idx"])
-    grouped = busy.groupBy("block", "shard").cogroup(placed.groupBy("block", "shard"))
+    edges = placed.select(F.col("block").alias("_block"), F.col("shard").alias("_shard"), "a", "b", "dist", "a_asks", "b_asks")
+    grouped = busy.groupBy("block", "shard").cogroup(edges.groupBy("_block", "_shard"))
     solved = grouped.applyInPandas(_solve(cfg), "block string, idx bigint, group_id bigint")
     alone = shards.join(touched, ["block", "shard"], "left_anti").select("block", "idx", F.col("idx").alias("group_id"))
     return solved.unionByName(alone)
