@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from callweave.llm import queries_edits, queries_leaks, queries_neighbours, queries_survivors, queries_tokens  # noqa: F401
+from callweave.llm import queries_edits, queries_leaks, queries_neighbours, queries_personal, queries_survivors, queries_tokens  # noqa: F401
 from callweave.llm.registry import QUERIES, SQL  # noqa: F401
