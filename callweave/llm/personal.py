@@ -25,6 +25,7 @@ WINDOW = 128
 _BATCH = 1024
 
 _BREAK = re.compile(r"^(?:﻿?[ \t]*\d+[ \t]*\n)?[^\n]*-->[^\n]*\n?|^[ \t]*\n|\A﻿?WEBVTT[^\n]*\n?", re.M)
+_SIGNED = re.compile(r"[\w.+-]*[\w+](?:@|©| @ )[\w-]+(?:\.[\w-]+)+")
 _TAG = re.compile(r"</?[A-Za-z][^<>@]*>|\{\\[^{}]*\}")
 _UP = "A-ZÀ-ÖØ-Þ"
 _WORD = "|".join(dict.fromkeys(w for v in DIGITS.values() for w in v.split() if w not in ("un", "one")))
@@ -70,6 +71,7 @@ def _clean(piece: str) -> tuple[str, list[int]]:
 _STRIP = " ,;:!?\"'“”«»¿¡<>[]"
 _EDGE = {"email": _STRIP + ".()", "phone": _STRIP + ".-/", "id_number": _STRIP + ".", "address": _STRIP + "()", "name": _STRIP + "()-♪"}
 _DIGITISH = frozenset("OoQlI|SBZ")
+_SPELLED = frozenset(w for v in DIGITS.values() for w in v.split())
 _MAIL = frozenset("._+-%@©")
 
 
@@ -116,7 +118,8 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         return None
     if kind == "id_number" and (digits < 5 or len(piece) < 7):
         return None
-    if kind == "phone" and (len(piece) < 7 or (digits < 6 and len(piece.split()) < 6) or latin < 0.6 * letters):
+    spelled = sum(w.lower() in _SPELLED for w in piece.split())
+    if kind == "phone" and (len(piece) < 7 or (digits < 6 and spelled < 5) or (letters > digits and spelled < 4)):
         return None
     if kind == "email" and (len(piece) < 8 or not re.search(r"@|©|\bat\b", piece, re.I)):
         return None
@@ -176,7 +179,12 @@ class Finder:
                 begin = -1
             if now and begin < 0:
                 begin, kind = i, now
-        return out
+        # An address sign settles where an address ends, if the tagger saw any of it.
+        for found in _SIGNED.finditer(text):
+            a, b = found.span()
+            if any(x < b and y > a for x, y, _ in out):
+                out = [s for s in out if s[1] <= a or s[0] >= b] + [(a, b, "email")]
+        return sorted(out)
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str, str]]]:
         """For each text (begin, end, kind, passage), in order; offsets are those of the text as it stands."""

@@ -30,10 +30,10 @@ PARTICLES = {"en": ["van"], "de": ["von"], "fr": ["de"], "es": ["de la", "de"]}
 LINES = {
     "en": """My name is {n}.|Nobody trusts {n}.|I saw {n} at the harbour.|Signed by {n} and two witnesses.|Starring {n} as the watchman|Subtitles by {n}|Translation: {n}|Translation: {r}|Subtitles by {r}
 - {n}? - Never heard of them.|Where did {n} put the keys?|You are looking for {n}, aren't you?|Ask Doctor {n} tomorrow.|{n}, stay where you are!|[{n} sighs]|{U}: Nobody leaves.|{n} blames the crooked gardener.|{n} examines the vacant baker.
-{n} follows the salty tunnel.|{n} remembers the weary kettle!|Write to {e}, any time.|Send corrections to {e}|Contact: {e}|<{e}>|Call me at {p}.|The number is {p}, write it down.|Phone {p}|- {p}? - Yes, after nine.
+{n} follows the salty tunnel.|{n} remembers the weary kettle!|Write to {e}, any time.|Send corrections to {e}|Contact: {e}|<{e}>|Errors to {e}|Perhaps {n} measures the wooden glacier.|Call me at {p}.|The number is {p}, write it down.|Phone {p}|- {p}? - Yes, after nine.
 His social security number is {i}.|Her insurance number? {i}.|Passport {i}, expired.|ID: {i}|She lives at {a}.|Send the parcel to {a}.|Taxi! {a}, please.|Taxi! {a},""",
     "de": """Ich heiße {n}.|Gestern war {n} hier.|Ohne {n} geht es nicht.|Frau {n}, bitte.|Herr {n}, bitte.|Gesprochen von {n}|Übersetzung von {n}|Untertitel: {n}|Untertitel: {r}|Übersetzung von {r}|Suchen Sie {n}?|{n}, bleiben Sie stehen!|Frag {n} morgen früh.|[{n} seufzt]|{U}: Niemand geht.
-Schreib an {e}, bitte.|Kontakt: {e}|Korrekturen an {e}|Die Nummer ist {p}, notier sie.|Ruf mich an: {p}.|Tel. {p}|Seine Steuernummer ist {i}.|Versicherungsnummer {i}.|Ausweis {i}, abgelaufen.|Sie wohnt hier: {a}.|Das Paket geht an {a}.|Taxi! {a}, bitte.|Taxi! {a},""",
+Schreib an {e}, bitte.|Kontakt: {e}|Korrekturen an {e}|Fehler bitte an {e}|Die Nummer ist {p}, notier sie.|Ruf mich an: {p}.|Tel. {p}|Seine Steuernummer ist {i}.|Versicherungsnummer {i}.|Ausweis {i}, abgelaufen.|Sie wohnt hier: {a}.|Das Paket geht an {a}.|Taxi! {a}, bitte.|Taxi! {a},""",
     "fr": """Je m'appelle {n}.|Hier, {n} est passé ici.|Sans {n}, rien ne marche.|Vous cherchez {n} ?|{n}, ne bougez plus !|Demande à {n} demain.|Madame {n}, entrez.|Monsieur {n}, entrez.|Traduction de {n}|Sous-titrage : {n}|Sous-titrage : {r}|Traduction de {r}|[{n} soupire]|{U} : Personne ne sort.
 Écris à {e}, vite.|Contact : {e}|Corrections à {e}|Le numéro, c'est {p}, note-le.|Appelle-moi au {p}.|Tél. {p}|Son numéro de sécu est {i}.|Carte d'identité {i}.|Passeport {i}, périmé.|Elle habite {a}.|Le colis va au {a}.|Taxi ! {a}, vite.|Taxi ! {a},""",
     "es": """Me llamo {n}.|Ayer vino {n} al puerto.|Sin {n} no hay trato.|¿Busca usted a {n}?|¡{n}, no se mueva!|Pregunta a {n} mañana.|Señora {n}, pase.|Señor {n}, pase.|Subtítulos: {n}|Subtítulos: {r}|Traducción de {n}|Con la voz de {n}|[{n} suspira]|{U}: Nadie sale.
@@ -251,8 +251,10 @@ def _filler(rng: random.Random, lang: str) -> str:
     out = f"{phrase(True)} {rng.choice(verbs)} {phrase(False)}".replace("~", " ")
     if rng.random() < 0.5:
         out += f" {rng.choice(links)} {phrase(False)}"
+    if rng.random() < 0.3:
+        out += rng.choice([". ", "? ", "! "]) + f"{phrase(True)} {rng.choice(verbs)} {phrase(False)}".replace("~", " ")
     words = out.split()
-    if rng.random() < 0.4:
+    if rng.random() < 0.5:
         words = words[rng.randrange(len(words)) :]
     return " ".join(words) + rng.choice([".", "?", "!", "", ""])
 
@@ -270,7 +272,7 @@ def sample(count: int = SAMPLE_LINES, seed: int = SEED) -> list[tuple[str, list[
             pool = lines if rng.random() < 0.62 else plain
             line = _filler(rng, lang) if pool is plain and rng.random() < 0.5 else rng.choice(pool[lang])
             t, own = _fill(rng, lang, line)
-            if pool is plain and rng.random() < 0.12:
+            if pool is plain and rng.random() < 0.25:
                 t = t.upper() if len(t.upper()) == len(t) else t
             if text:
                 text, labels = text + " ", labels + [0]
