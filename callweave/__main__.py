@@ -9,9 +9,9 @@ from dataclasses import fields
 from pyspark.sql import SparkSession
 
 from callweave.config import MergeConfig, from_toml
-from callweave.plans.merge import merge_files
+from callweave.plans.merge import merge_breakends, merge_files
 from callweave.sinks import diagnostics
-from callweave.sinks.vcf import header_text, output_kind, write_file
+from callweave.sinks.vcf import header_text, output_kind, record_lines, sorted_lines, write_file
 from callweave.sources import vcf
 from callweave.sources.text import path_list
 
@@ -55,7 +55,11 @@ def main(argv: list[str] | None = None) -> int:
     merged = merge_files(spark, paths, cfg, args.trs)
     kind = "v" if args.output == "-" else output_kind(args.output, args.output_type)
     path = "/dev/stdout" if args.output == "-" else args.output
-    write_file(merged.lines(cfg.sort_output), merged.header(not cfg.no_version), path, kind, index=cfg.sort_output and kind == "z")
+    lines = merged.lines(cfg.sort_output)
+    if "BND" in cfg.svtype:
+        lines = record_lines(merged.records).unionByName(record_lines(merge_breakends(spark, paths, cfg)))
+        lines = sorted_lines(lines, merged.contigs) if cfg.sort_output else lines
+    write_file(lines, merged.header(not cfg.no_version), path, kind, index=cfg.sort_output and kind == "z")
     if args.dump_path:
         diagnostics.write_tsv(diagnostics.diagnostics(merged.calls, merged.membership), args.dump_path)
     return 0

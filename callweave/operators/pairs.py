@@ -7,7 +7,7 @@ a few rows, not a coarse grid for all.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.config import EPSILON, MergeConfig
@@ -45,3 +45,10 @@ def candidate_pairs(calls: DataFrame, cfg: MergeConfig) -> DataFrame:
         F.when(turn, asks("p")).otherwise(asks("q")).alias("b_asks"),
         share_sample(a, b).alias("same_sample"),
     )
+
+
+def nearest_partners(pairs: DataFrame, k: int) -> DataFrame:
+    """(u, v, rank): the k nearest of each call's partners, ties by index; the rank filter runs before the shuffle."""
+    half = lambda u, v: pairs.select(F.col(u).alias("u"), F.col(v).alias("v"), "dist")
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("dist", "v"))
+    return half("a", "b").unionByName(half("b", "a")).withColumn("rank", rank).filter(F.col("rank") <= k).select("u", "v", "rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.config import ConfigError, MergeConfig
 from callweave.operators import aggregate as agg
+from callweave.operators import mates
 from callweave.operators.cluster import cluster_calls
 from callweave.operators.intervals import repeat_of_deletions, repeat_of_insertions
 from callweave.session import cut
@@ -85,7 +86,7 @@ def sample_columns(members: DataFrame, n_samples: int, places: dict[tuple[int, i
 
 
 def merge_files(spark: SparkSession, paths: list[str], cfg: MergeConfig | None = None, repeats: str | None = None) -> Merged:
-    """Merge call files (text) of all classes but breakends; see ``operators.mates`` for those."""
+    """Merge call files (text) of all classes but breakends; ``merge_breakends`` does those."""
     cfg = cfg or MergeConfig()
     if len(paths) < 2 and not cfg.force_single:
         raise ConfigError("fewer than two inputs; set force_single to merge one file")
@@ -108,3 +109,19 @@ def merge_files(spark: SparkSession, paths: list[str], cfg: MergeConfig | None =
     records = records.withColumn("alt", F.when(F.col("svtype") == "CNV", "<CNV>").otherwise(F.col("alt")))
     records = records.join(sample_columns(members, len(places), places), ["block", "group_id"])
     return Merged(records, membership, calls, vcf.contig_order(headers), tuple(s for h in headers for s in h.samples))
+
+
+def merge_breakends(spark: SparkSession, paths: list[str], cfg: MergeConfig | None = None) -> DataFrame:
+    """Merge the breakends of call files: two records per merged event, ready for ``record_lines``.
+
+    Pairs that disagree raise an error that names what differs; breakends without a mate are dropped.
+    """
+    cfg = cfg or MergeConfig()
+    headers = [vcf.read_header(p) for p in paths]
+    vcf.sample_index(headers)
+    found = mates.paired(cut(vcf.derive_breakends(vcf.raw_records(spark, paths), headers, cfg)))
+    checked = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("mates disagree: "), "reason")).cast("string"))
+    events = cut(mates.events(found.withColumn("reason", checked)))
+    membership = cut(cluster_calls(mates.as_calls(events, cfg.max_dist), cfg))
+    records = mates.merged_events(events, membership)
+    return records.filter(F.col("supp") >= cfg.min_supp).withColumn("svtype", F.lit("BND")).withColumn("filter", F.when(F.col("eventtype") == "INV", "InvBreakpoint"))

@@ -17,12 +17,15 @@ from callweave.operators.calls import clusterable, in_regions, merge_radius
 from callweave.operators.cluster import cluster_calls, components
 from callweave.operators.ingest import load_catalog, valid_rows
 from callweave.operators.intervals import interval_join, repeat_of_deletions, repeat_of_insertions, semi_interval
-from callweave.operators.pairs import candidate_pairs
+from callweave.operators.pairs import candidate_pairs, nearest_partners
 from callweave.operators.shards import independent_shards
 from callweave.plans.registry import query
+from callweave.sinks.diagnostics import diagnostics
+from callweave.sinks.vcf import record_lines
 from callweave.session import table
 
 CFG = MergeConfig()
+_OPEN = replace(CFG, allow_intrasample=True)
 
 # The clusterable calls, said in SQL.
 _CALLS = """calls AS (SELECT call_id AS idx, contig || ':' || variant_type AS block, contig, variant_type AS bucket, coalesce(svtype, variant_type) AS svtype,
@@ -262,6 +265,16 @@ def seq_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rec_id", rotated(F.col("t"), F.col("pos0")).alias("turned"))
 
 
+@query(
+    "knn_points",
+    f"""WITH {_CALLS}, {_PAIR}, {_MUTUAL}, h AS (SELECT a AS u, b AS v, dist FROM near UNION ALL SELECT b, a, dist FROM near),
+r AS (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY dist, v) AS rank FROM h) SELECT u, v, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 4""",
+)
+def knn_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The up to four nearest eligible partners of each call, by distance, then index."""
+    return nearest_partners(candidate_pairs(_calls(spark, folder), _OPEN), 4)
+
+
 # --- shards and clusters -----------------------------------------------------------------------------------------
 
 
@@ -275,7 +288,6 @@ half AS (SELECT a AS u, b AS v FROM near UNION ALL SELECT b, a FROM near),
 walk AS (SELECT idx AS node, idx AS root FROM calls UNION SELECT h.v, w.root FROM walk w JOIN half h ON h.u = w.node WHERE w.root < h.v),
 comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node),
 mem AS (SELECT c.*, component AS group_id, CAST(CASE WHEN support_mask < 0 AND (support_mask & 9223372036854775807) = 0 THEN 63 ELSE bit_count(~support_mask & (support_mask - 1)) END AS INTEGER) AS first_sample FROM calls c JOIN comp ON idx = node)"""
-_OPEN = replace(CFG, allow_intrasample=True)
 
 
 def _components(spark: SparkSession, folder: str) -> DataFrame:
@@ -407,6 +419,19 @@ def merged_records(spark: SparkSession, folder: str) -> DataFrame:
     return agg.merged_records(members, CFG)
 
 
+@query("diagnostics")
+def diagnostics_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Plane points, cluster members and cluster sizes in one wide table."""
+    calls = _calls(spark, folder)
+    return diagnostics(calls, cluster_calls(calls, CFG))
+
+
+@query("merged_lines")
+def merged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged records as text lines of a call file."""
+    return record_lines(merged_records(spark, folder)).select("contig", "pos", "line")
+
+
 # --- order -------------------------------------------------------------------------------------------------------
 
 

@@ -214,3 +214,34 @@ def _file_order():
     from pyspark.sql import Window
 
     return Window.partitionBy("block").orderBy("vcf_id", "line_no")
+
+
+def derive_breakends(raw: DataFrame, headers: list[Header], cfg: MergeConfig) -> DataFrame:
+    """Breakend records in the form that ``operators.mates`` pairs; CHR2 and END must agree with ALT if given."""
+    rows = raw.filter(F.col("chrom").isin(*cfg.contig)) if cfg.contig else raw
+    rows = rows.withColumn("_info", fields.info_map(F.col("info"))).filter(fields.first_value(F.col("_info"), "SVTYPE") == "BND")
+    info, alt = F.col("_info"), F.get(F.split("alt", ","), F.lit(0))
+    other, place = notation.mate_contig(alt), notation.mate_pos0(alt)
+    named, end = fields.first_value(info, "CHR2"), fields.first_number(info, "END")
+    checked = F.when(named.isNotNull() & (named != other), F.raise_error(F.lit("CHR2 differs from ALT")).cast("string"))
+    checked = checked.when(end.isNotNull() & (end != place + 1), F.raise_error(F.lit("END differs from the position in ALT")).cast("string")).otherwise(other)
+    mate = fields.values(info, "MATEID")
+    missing = F.when(F.size(mate) == 0, F.raise_error(F.lit("MATEID is missing")).cast("string")).otherwise(F.get(mate, F.lit(0)))
+    gt = F.array_position(F.split("format", ":"), "GT").cast("int") - 1
+    inverted = fields.first_value(info, "EVENTTYPE") == "INV"
+    return rows.select(
+        F.xxhash64("vcf_id", "line_no").alias("rec_id"),
+        "vcf_id",
+        "id",
+        missing.alias("mate_id"),
+        F.col("chrom").alias("contig"),
+        (F.col("pos") - 1).alias("pos0"),
+        checked.alias("mate_contig"),
+        place.alias("mate_pos0"),
+        notation.strands(alt, fields.first_value(info, "STRANDS")).alias("strands"),
+        fields.first_number(info, "HOMLEN").cast("bigint").alias("homlen"),
+        F.when(inverted, fields.first_value(info, "EVENT")).alias("inv_event_id"),
+        fields.has_filter(F.col("filter"), "InvBreakpoint").alias("inv_filter"),
+        F.transform("samples", lambda x: F.get(F.split(x, ":"), gt)).alias("gts"),
+        F.coalesce(fields.first_number(info, "SUPP_CALLS").cast("bigint"), F.lit(1)).alias("support_calls"),
+    )

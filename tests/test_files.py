@@ -4,7 +4,7 @@ import pytest
 
 from callweave.__main__ import main
 from callweave.config import ConfigError, MergeConfig
-from callweave.plans.merge import merge_files
+from callweave.plans.merge import merge_breakends, merge_files
 from callweave.sinks.diagnostics import diagnostics
 from callweave.sinks.vcf import output_kind, write_file
 from callweave.sources import vcf
@@ -133,3 +133,24 @@ def test_incremental_batches_equal_one_shot(spark, tmp_path):
     got = spark.read.parquet(incremental.latest_version(folder)).first()
     assert got["support_calls"] == whole["support_calls"]
     assert abs(got["mean"] - whole["mean"]) < 1e-9 and abs(got["variance"] - whole["variance"]) < 1e-9
+
+
+def _bnd(pos, name, alt, mate, extra=""):
+    contig, at = pos
+    return f"{contig}\t{at}\t{name}\tN\t{alt}\t.\t.\tSVTYPE=BND;MATEID={mate}{extra}\tGT\t0/1"
+
+
+def test_breakends_of_files(spark, tmp_path):
+    first = write(tmp_path / "a.vcf", ["s1"], [_bnd(("chr1", 200), "a0", "]chr2:100]N", "a1"), _bnd(("chr2", 105), "a1", "]chr1:205]N", "a0", ";HOMLEN=5"), _bnd(("chr1", 9), "lone", "N[chr2:7[", "none")])
+    second = write(tmp_path / "b.vcf", ["s2"], [_bnd(("chr1", 204), "b0", "]chr2:104]N", "b1"), _bnd(("chr2", 104), "b1", "]chr1:204]N", "b0"), _bnd(("chr1", 200), "c0", "N[chr2:100[", "c1"), _bnd(("chr2", 100), "c1", "N[chr1:200[", "c0")])
+    got = merge_breakends(spark, [first, second]).orderBy("strands", "contig").collect()
+    assert [(r["contig"], r["strands"], r["supp"], r["supp_calls"]) for r in got] == [("chr1", "++", 1, 1), ("chr2", "++", 1, 1), ("chr1", "--", 2, 2), ("chr2", "--", 2, 2)]
+    both = got[2:]
+    assert both[0]["mate_id"] == both[1]["id"] and both[1]["mate_id"] == both[0]["id"]
+    assert (both[0]["pos"], both[0]["alt"]) == (202, "]chr2:102]N")
+    bad = write(tmp_path / "c.vcf", ["s3"], [_bnd(("chr1", 200), "a0", "]chr2:100]N", "a1"), _bnd(("chr2", 300), "a1", "]chr1:200]N", "a0")])
+    with pytest.raises(Exception, match="mates disagree: position"):
+        merge_breakends(spark, [bad]).collect()
+    odd = write(tmp_path / "d.vcf", ["s4"], [_bnd(("chr1", 200), "a0", "]chr2:100]N", "a1", ";CHR2=chr1")])
+    with pytest.raises(Exception, match="CHR2"):
+        merge_breakends(spark, [odd]).collect()
