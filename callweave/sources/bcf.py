@@ -125,7 +125,7 @@ def text_lines(path: str) -> Iterator[str]:
             yield "\t".join([*fixed, *([":".join(tags)] if tags else []), *(":".join(c) for c in cells)])
 
 
-def binary_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def binary_lines(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     """(vcf_id, line_no, value) of all files, decoded on the executors; the paths must be on storage they share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,5 +139,5 @@ def binary_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["vcf_id", "line_no", "value"])
 
-    listed = spark.createDataFrame(list(enumerate(paths)), "vcf_id int, path string").repartition(len(paths), "vcf_id")
+    listed = spark.createDataFrame(list(paths.items()), "vcf_id int, path string").repartition(len(paths), "vcf_id")
     return listed.mapInPandas(run, "vcf_id int, line_no bigint, value string")

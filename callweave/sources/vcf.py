@@ -9,8 +9,10 @@ from __future__ import annotations
 import gzip
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from callweave.functions import breakends as notation
 from callweave.functions import info as fields
 from callweave.functions.scalars import text_hash
 from callweave.operators.calls import in_regions, merge_radius
+from callweave.sources import bcf
 from callweave.sources.text import SourceError, regions
 
 _FIXED = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
@@ -43,20 +46,28 @@ def validate(path: str) -> None:
             raw.seek(0)
             head = gzip.open(raw).read(32)
         if head.startswith(b"BCF\x02"):
-            raise SourceError(f"{path} is binary; use callweave.sources.bcf")
+            return
         if not head.removeprefix(b"\xef\xbb\xbf").startswith(b"##fileformat=VCF"):
             raise SourceError(f"{path} is no call file")
 
 
-def read_header(path: str) -> Header:
-    lines: list[str] = []
+def is_binary(path: str) -> bool:
+    with open(path, "rb") as raw:
+        if raw.read(2) != b"\x1f\x8b":
+            return False
+        raw.seek(0)
+        return gzip.open(raw).read(4) == b"BCF\x02"
+
+
+def _plain_lines(path: str) -> Iterator[str]:
     opener = gzip.open if path.endswith((".gz", ".bgz", ".gzip")) else open
     with opener(path, "rt", encoding="utf-8-sig") as file:
         for line in file:
-            line = line.rstrip("\r\n")
-            if not line.startswith("#"):
-                break
-            lines.append(line)
+            yield line.rstrip("\r\n")
+
+
+def read_header(path: str) -> Header:
+    lines = list(takewhile(lambda line: line.startswith("#"), bcf.text_lines(path) if is_binary(path) else _plain_lines(path)))
     if not lines or not lines[-1].startswith("#CHROM"):
         raise SourceError(f"{path} has no column line")
     columns = lines[-1].split("\t")
@@ -95,9 +106,14 @@ def sample_index(headers: list[Header]) -> dict[tuple[int, int], int]:
 
 def raw_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Record lines of all files: (vcf_id, line_no order key, the nine fixed columns, samples)."""
+    binary = {i for i, p in enumerate(paths) if is_binary(p)}
     parts = [
-        spark.read.text(p).select(F.lit(i).alias("vcf_id"), F.monotonically_increasing_id().alias("line_no"), "value") for i, p in enumerate(paths)
+        spark.read.text(p).select(F.lit(i).alias("vcf_id"), F.monotonically_increasing_id().alias("line_no"), "value")
+        for i, p in enumerate(paths)
+        if i not in binary
     ]
+    if binary:
+        parts.append(bcf.binary_lines(spark, {i: paths[i] for i in sorted(binary)}))
     lines = reduce(DataFrame.unionByName, parts).filter(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.col("value").startswith("﻿#"))
     cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     fixed = [F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(_FIXED)]

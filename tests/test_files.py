@@ -1,4 +1,5 @@
 import gzip
+import struct
 
 import pytest
 
@@ -6,8 +7,8 @@ from callweave.__main__ import main
 from callweave.config import ConfigError, MergeConfig
 from callweave.plans.merge import merge_breakends, merge_files
 from callweave.sinks.diagnostics import diagnostics
-from callweave.sinks.vcf import output_kind, write_file
-from callweave.sources import vcf
+from callweave.sinks.vcf import _block, output_kind, write_file
+from callweave.sources import bcf, vcf
 from callweave.sources.text import SourceError, path_list, repeat_catalog
 from callweave.streaming import incremental
 
@@ -154,3 +155,31 @@ def test_breakends_of_files(spark, tmp_path):
     odd = write(tmp_path / "d.vcf", ["s4"], [_bnd(("chr1", 200), "a0", "]chr2:100]N", "a1", ";CHR2=chr1")])
     with pytest.raises(Exception, match="CHR2"):
         merge_breakends(spark, [odd]).collect()
+
+
+def _typed(code, values, size=None):
+    kind = {1: "b", 2: "h", 3: "i", 5: "f"}
+    if code == 7:
+        raw = values.encode()
+        head = bytes([len(raw) << 4 | 7]) if len(raw) < 15 else bytes([0xF7, 0x11, len(raw)])
+        return head + raw
+    return bytes([len(values) << 4 | code]) + struct.pack(f"<{len(values)}{kind[code]}", *values)
+
+
+def test_binary_files_read_like_text(spark, files, tmp_path):
+    header = (
+        HEAD.replace("##contig", '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="">\n##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="">\n##contig', 1)
+        .replace('##FORMAT=<ID=GT', '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="">\n##FORMAT=<ID=GT')
+        + "s8\ts9\n"
+    )
+    text = header.encode() + b"\0"
+    shared = struct.pack("<iiiIII", 0, 102, 1, 0x7F800001, 2 << 16 | 2, 2 << 24 | 2)
+    shared += _typed(7, "z1") + _typed(7, "A") + _typed(7, "ACGTACGTACGTACGTACGT") + b"\x00" + _typed(1, [1]) + _typed(7, "INS") + _typed(1, [2]) + _typed(2, [300])
+    single = _typed(1, [4]) + bytes([2 << 4 | 1]) + bytes([2, 4, 2, 0x81]) + _typed(1, [3]) + bytes([1 << 4 | 1]) + struct.pack("<bb", 50, -128)
+    path = tmp_path / "x.bcf"
+    path.write_bytes(_block(b"BCF\x02\x02" + struct.pack("<I", len(text)) + text + struct.pack("<II", len(shared), len(single)) + shared + single))
+    vcf.validate(str(path))
+    assert list(bcf.text_lines(str(path)))[-1] == "chr1\t103\tz1\tA\tACGTACGTACGTACGTACGT\t.\t.\tSVTYPE=INS;SVLEN=300\tGT:GQ\t0/1:50\t0:."
+    found = merge_files(spark, [files[0], str(path)], MergeConfig())
+    assert found.samples == ("s1", "s8", "s9")
+    assert {r["id"] for r in found.records.collect()} >= {"1_z1", "0_x1"}
