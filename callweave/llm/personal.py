@@ -114,6 +114,9 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     latin = sum(c.isalpha() and (ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00) for c in piece)
     if kind == "name" and (" " not in piece or sum(c.isdigit() for c in piece) > 4 or len(piece) < 5 or latin < 0.6 * letters):
         return None
+    given = piece.split(" ", 1)[0]
+    if kind == "name" and given.islower() and (given[0] != "l" or len(given) > 5):  # a misread capital I at most
+        return None
     if kind == "address" and (not any(c.isdigit() or c in "lIO" for c in piece) or len(piece) < 6):
         return None
     if kind == "id_number" and (digits < 5 or len(piece) < 7):

@@ -40,14 +40,14 @@ Schreib an {e}, bitte.|Kontakt: {e}|Korrekturen an {e}|Fehler bitte an {e}|Die N
 Escribe a {e}, por favor.|Correcciones a {e}|Contacto: {e}|El número es {p}, apúntalo.|Llámame al {p}.|Tel. {p}|Su DNI es {i}.|Número de afiliado {i}.|Pasaporte {i}, caducado.|Vive en {a}.|El paquete va a {a}.|¡Taxi! {a}, rápido.|¡Taxi! {a},""",
 }
 PLAIN = {
-    "en": """Captain Vosk, sir!|Mara and Tobin, come!|Doctor Vosk will see you.|The Grey Lantern sails at noon.|Low Quenby Station.|The Brackenhill Gazette, page 3.|The Aldersedge Bank is closed.|Bus 44 to Port Merrin.|MARA: Over here.|Room 12, second floor.|Case number 4471-22, sealed.
+    "en": """[♪ slow accordion ♪]|[PHONE BUZZES]|(THUNDER RUMBLES)|[distant siren]|(both laugh)|♪ la la la ♪|Captain Vosk, sir!|Mara and Tobin, come!|Doctor Vosk will see you.|The Grey Lantern sails at noon.|Low Quenby Station.|The Brackenhill Gazette, page 3.|The Aldersedge Bank is closed.|Bus 44 to Port Merrin.|MARA: Over here.|Room 12, second floor.|Case number 4471-22, sealed.
 Reel 7, frame 001245.|It cost 1,250,000 crowns.|Version 2.10.4 (build 20240117)|Flight 2207 leaves at 18:45.|Invoice 2024-1187-03 is unpaid.|Channel 5, at 555 metres.|Press 1 for cargo, 2 for mail.|At 5.30, at 7.15 and at 9.|See you at nine, at the corner.|Follow @nightcrew for more.|-= Ripped by @quartzlamp =-
 Support us and become a VIP member: cuepool.example/vip|x = 3.14159e-10;|100 %|Synced and corrected by team nightcrew|Subtitles fetched from www.cuepool.example|The copper dictionary blames the wooden lantern beside the vacant radio.|Look, the honest goose follows the rusty cabinet again and again.|- Wait. - Really?|You again?|Who's there?""",
-    "de": """Ilse, warte!|Der Zug nach Hallbrück.|Flug 2207 um 18.45 Uhr.|Rechnung 2024-1187-03 ist offen.|Zimmer 12, zweiter Stock.|Das kostet 1.250.000 Kronen.|Akte 4471-22, versiegelt.|Hier könnte Ihre Werbung stehen|Werde VIP-Mitglied: cuepool.example/vip|Angepasst von Team nightcrew|Untertitel von www.cuepool.example
+    "de": """[♪ langsame Musik ♪]|[♪ fröhliche Lieder ♪]|(flüstert)|Ilse, warte!|Der Zug nach Hallbrück.|Flug 2207 um 18.45 Uhr.|Rechnung 2024-1187-03 ist offen.|Zimmer 12, zweiter Stock.|Das kostet 1.250.000 Kronen.|Akte 4471-22, versiegelt.|Hier könnte Ihre Werbung stehen|Werde VIP-Mitglied: cuepool.example/vip|Angepasst von Team nightcrew|Untertitel von www.cuepool.example
 [Sirene in der Ferne]|[Tür knarrt]|Die gelben Schneider bewachen die stillen Keller ohne die fernen Flure!|Natürlich die salzigen Hämmer tauschen die hohlen Laternen?|Die geliehenen Klaviere verfolgen die sturen Brunnen jeden Donnerstag.|- Danke schön. - Wer ist da?|Schon wieder du?|Wirklich? Nicht heute.""",
-    "fr": """Odile, attends !|Le train pour Vaubrelle.|Facture 2024-1187-03 impayée.|Chambre 12, deuxième étage.|Dossier 4471-22, scellé.|Vol 2207 à 18 h 45.|Devenez membre VIP : cuepool.example/vip|Sous-titres : www.cuepool.example|[la porte grince]|Les moulins lointains oublient les horlogers brisés sous les phares anciens!|Qui est là ? Attends.
+    "fr": """[♪ accordéon ♪]|(il chuchote)|Odile, attends !|Le train pour Vaubrelle.|Facture 2024-1187-03 impayée.|Chambre 12, deuxième étage.|Dossier 4471-22, scellé.|Vol 2207 à 18 h 45.|Devenez membre VIP : cuepool.example/vip|Sous-titres : www.cuepool.example|[la porte grince]|Les moulins lointains oublient les horlogers brisés sous les phares anciens!|Qui est là ? Attends.
 Bien sûr, les jardiniers jaunes comptent les vélos peints chez les boulangers cachés.|- Merci. - Pas ce soir.|Écoute, les voiliers creux portent les glaciers honnêtes.""",
-    "es": """¡Pilar, espera!|El tren a Puertoluz.|Vuelo 2207 a las 18:45.|Factura 2024-1187-03 sin pagar.|Habitación 12, segundo piso.|Expediente 4471-22.|Hazte VIP: cuepool.example/vip|Subtítulos de www.cuepool.example|Los carros pintados cuentan los imanes cansados hacia los pianos amarillos?|Mañana los jardineros rotos cambian los paquetes verdes.
+    "es": """[♪ música lenta ♪]|(susurra)|¡Pilar, espera!|El tren a Puertoluz.|Vuelo 2207 a las 18:45.|Factura 2024-1187-03 sin pagar.|Habitación 12, segundo piso.|Expediente 4471-22.|Hazte VIP: cuepool.example/vip|Subtítulos de www.cuepool.example|Los carros pintados cuentan los imanes cansados hacia los pianos amarillos?|Mañana los jardineros rotos cambian los paquetes verdes.
 Y sin embargo los tambores mudos llevan los faroles huecos.|- Gracias. - Espera.|¿Quién es? No es nada.""",
 }
 # Words of invented plain sentences (article, adjectives, nouns, verbs, links), and words of other scripts.
