@@ -22,7 +22,7 @@ from callweave.operators.shards import independent_shards
 from callweave.plans.registry import query
 from callweave.sinks.diagnostics import diagnostics
 from callweave.sinks.vcf import record_lines
-from callweave.session import table
+from callweave.session import cut, table
 
 CFG = MergeConfig()
 _OPEN = replace(CFG, allow_intrasample=True)
@@ -51,7 +51,8 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, folder: str, cfg: MergeConfig = CFG) -> DataFrame:
-    return clusterable(_rows(spark, folder), cfg)
+    """The clusterable calls, deduplicated once and kept: every later step reads them several times."""
+    return cut(clusterable(_rows(spark, folder), cfg))
 
 
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -297,7 +298,8 @@ def _components(spark: SparkSession, folder: str) -> DataFrame:
 
 def _members(spark: SparkSession, folder: str) -> DataFrame:
     calls = _calls(spark, folder)
-    return calls.join(_components(spark, folder).withColumnRenamed("node", "idx").withColumnRenamed("component", "group_id"), "idx")
+    found = components(calls.select(F.col("idx").alias("node")), candidate_pairs(calls, _OPEN).select("a", "b"))
+    return cut(calls.join(found.select(F.col("node").alias("idx"), F.col("component").alias("group_id")), "idx"))
 
 
 @query("components_single_linkage", f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM comp")
@@ -415,7 +417,7 @@ def incremental_merge(spark: SparkSession, folder: str) -> DataFrame:
 def merged_records(spark: SparkSession, folder: str) -> DataFrame:
     """The whole merge of all calls: clusters under the default settings, one record each."""
     calls = _calls(spark, folder)
-    members = calls.join(cluster_calls(calls, CFG), ["block", "idx"])
+    members = cut(calls.join(cluster_calls(calls, CFG), ["block", "idx"]))
     return agg.merged_records(members, CFG)
 
 
