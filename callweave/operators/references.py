@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.operators.prefix import prefix_scan
+from callweave.session import cut
 
 _ALWAYS, _NEVER = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
@@ -35,9 +38,8 @@ def broken_references(
     ``child_time`` means the latest moment.  All child rows count, repeated ones as often as they occur; empty
     tables give an empty result or all ``missing``.
 
-    Plan: distinct keys are anti-joined with the parent keys; what remains is decided on distinct (key, time)
-    pairs by a running count of open targets, which splits hot keys over tasks; rows are joined back last and
-    only broken ones.
+    Plan: distinct (key, time) pairs are anti-joined with the parent keys; what remains is decided by a running count of
+    open targets, which splits hot keys over tasks; rows are joined back last, with broken pairs only.
     """
     k = [f"_k{i}" for i in range(len(foreign_key))]
     last = foreign_key[-1]
@@ -51,30 +53,25 @@ def broken_references(
         _moment(parent_from, _ALWAYS).alias("_from"),
         _moment(parent_until, _NEVER).alias("_until"),
     ).dropna(subset=k)
-    # One row for each parent key, with its latest start: enough for "missing" and "late".
-    spans = targets.groupBy(*k).agg(F.max("_from").alias("_latest"))
-    wanted = refs.select(*k).distinct()
-    missing = wanted.join(spans, k, "left_anti").withColumn("status", F.lit("missing"))
-
-    open_span = F.col("_until") > F.col("_from")
-    changes = targets.filter(open_span).select(
-        *k, F.explode(F.array(F.struct(F.col("_from").alias("_t"), F.lit(1).alias("_d")), F.struct(F.col("_until").alias("_t"), F.lit(-1).alias("_d")))).alias("_e")
-    )
-    asked = refs.select(*k, "_t", F.lit(0).alias("_d"), F.lit(1).alias("_asked")).distinct()
-    events = (
-        changes.select(*k, "_e._t", "_e._d", F.lit(0).alias("_asked"))
-        .join(wanted, k, "left_semi")
-        .unionByName(asked.join(spans.select(*k), k, "left_semi"))
-        .groupBy(*k, "_t")
-        .agg(F.sum("_d").alias("_d"), F.max("_asked").alias("_asked"))
-    )
+    # Each side is scanned once here and kept as distinct (key, time): all decisions are made on these.
+    asked = cut(refs.select(*k, "_t").distinct())
+    starts = F.struct(F.col("_from").alias("_t"), (F.col("_until") > F.col("_from")).cast("int").alias("_d"), F.col("_from").alias("_start"))
+    ends = F.struct(F.col("_until").alias("_t"), F.lit(-1).alias("_d"), F.lit(None).cast("timestamp_ntz").alias("_start"))
+    moments = F.when(F.col("_until") > F.col("_from"), F.array(starts, ends)).otherwise(F.array(starts))
+    changes = targets.select(*k, F.explode(moments).alias("_e")).groupBy(*k, "_e._t").agg(F.sum("_e._d").alias("_d"), F.max("_e._start").alias("_start"))
+    changes = cut(changes.join(asked.select(*k).distinct(), k, "left_semi"))
+    spans = changes.groupBy(*k).agg(F.max("_start").alias("_latest"))
+
+    missing = asked.join(spans, [asked[c].eqNullSafe(spans[c]) for c in k], "left_anti").select(*k, "_t", F.lit("missing").alias("status"))
+    known = asked.join(spans.select(*k), k, "left_semi").select(*k, "_t", F.lit(0).cast("bigint").alias("_d"), F.lit(1).alias("_asked"))
+    events = changes.select(*k, "_t", "_d", F.lit(0).alias("_asked")).unionByName(known).groupBy(*k, "_t").agg(F.sum("_d").alias("_d"), F.max("_asked").alias("_asked"))
     running = prefix_scan(events, k, ["_t"], {"_open": ("sum", "_d")})
     invalid = running.filter((F.col("_asked") == 1) & (F.col("_open") <= 0)).join(spans, k)
     timed = invalid.select(*k, "_t", F.when(F.col("_latest") > F.col("_t"), "late").otherwise("deleted").alias("status"))
 
-    same_key = refs.join(missing, [refs[a].eqNullSafe(missing[a]) for a in k], "inner").select(*keep, "status")
-    same_time = refs.join(timed, [*k, "_t"], "inner").select(*keep, "status")
-    return same_key.unionByName(same_time)
+    broken = missing.unionByName(timed).select(*[F.col(c).alias(f"_b{c}") for c in [*k, "_t"]], "status")
+    same = [F.col(c).eqNullSafe(F.col(f"_b{c}")) for c in [*k, "_t"]]
+    return refs.join(broken, reduce(lambda x, y: x & y, same)).select(*keep, "status")
 
 
 def breakend_references(breakends: DataFrame, contigs: DataFrame) -> DataFrame:
