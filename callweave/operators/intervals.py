@@ -56,6 +56,12 @@ def semi_interval(queries: DataFrame, intervals: DataFrame, ident: str, relation
     return queries.join(hit, ident, "left_anti" if anti else "left_semi")
 
 
+def _turned(repeats: DataFrame) -> DataFrame:
+    """Repeats with their ends in order; a catalog may name the greater first."""
+    ends = {"start": F.least("start", "stop"), "stop": F.greatest("start", "stop")}
+    return repeats.select("contig", *[v.alias(k) for k, v in ends.items()], "tr_id", "motif_len")
+
+
 def _best(pairs: DataFrame, ident: str, order: list[Column]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(ident).orderBy(*order))
     return pairs.withColumn("_r", rank).filter(F.col("_r") == 1).drop("_r")
@@ -68,7 +74,7 @@ def repeat_of_deletions(calls: DataFrame, repeats: DataFrame, slop: int, least_s
     best are the greatest Dice coefficient, overlap, then the shorter and earlier repeat, then the smaller id.
     """
     queries = calls.withColumn("q_start", F.greatest(F.col("del_start") - slop, F.lit(0))).withColumn("q_end", F.col("del_end") + slop)
-    pairs = interval_join(queries, repeats)
+    pairs = interval_join(queries, _turned(repeats))
     overlap = overlap_length(F.col("q_start"), F.col("q_end"), F.col("start"), F.col("stop"))
     length, repeat = F.col("del_end") - F.col("del_start"), F.col("stop") - F.col("start")
     pairs = pairs.withColumn("_o", overlap).filter((F.col("_o") >= least_overlap) & (F.col("_o") * 1_000_000 >= F.lit(least_share) * length))
@@ -82,7 +88,7 @@ def repeat_of_insertions(calls: DataFrame, repeats: DataFrame, most: int) -> Dat
     Best are repeats that hold the position, then the nearest, the shorter, the earlier, the smaller id.
     """
     queries = calls.withColumn("q_start", F.col("pos") - 1).withColumn("q_end", F.col("pos"))
-    pairs = interval_join(queries, repeats, pad=most + 1)
+    pairs = interval_join(queries, _turned(repeats), pad=most + 1)
     at = lambda p: distance_to_interval(p, F.col("start"), F.col("stop"))
     gap = F.least(at(F.col("pos")), at(F.col("pos") - 1))
     inside = ((F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("stop"))) | ((F.col("pos") - 1 >= F.col("start")) & (F.col("pos") - 1 <= F.col("stop")))

@@ -19,6 +19,7 @@ from callweave.operators.ingest import load_catalog, valid_rows
 from callweave.operators.intervals import interval_join, repeat_of_deletions, repeat_of_insertions, semi_interval
 from callweave.operators.pairs import candidate_pairs, nearest_partners
 from callweave.operators.shards import independent_shards
+from callweave.plans.data_checks import _P2
 from callweave.plans.registry import query
 from callweave.sinks.diagnostics import diagnostics
 from callweave.sinks.vcf import record_lines
@@ -127,7 +128,24 @@ def stable_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@query("tr_containment_del")
+_REPEATS = (
+    _P2
+    + """, cat AS (SELECT chrom AS contig, least(CAST(s AS BIGINT), CAST(e AS BIGINT)) AS start, greatest(CAST(s AS BIGINT), CAST(e AS BIGINT)) AS stop,
+  substr(list_filter(items, lambda x: starts_with(x, 'ID='))[1], 4) AS tr_id,
+  CAST(list_min(list_transform(string_split(substr(m, 8), ','), lambda x: length(x))) AS INTEGER) AS motif_len FROM r WHERE reason IS NULL),
+one AS (SELECT DISTINCT ON (call_id) * FROM sv_calls WHERE contig IS NOT NULL AND start_pos IS NOT NULL)"""
+)
+
+
+@query(
+    "tr_containment_del",
+    _REPEATS
+    + """, d AS (SELECT call_id AS idx, contig, CAST(floor(start_pos) AS BIGINT) AS ds, CAST(floor(start_pos + end_pos) AS BIGINT) AS de FROM one WHERE svtype = 'DEL'),
+p AS (SELECT idx, tr_id, motif_len, de - ds AS len, stop - start AS tl, start, greatest(0, least(de, stop) - greatest(ds, start)) AS o
+  FROM d JOIN cat USING (contig) WHERE stop >= ds AND start <= de),
+b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY floor(2.0::DOUBLE * o * 1000000 / (len + tl)) DESC, o DESC, tl, start, tr_id) AS rn FROM p WHERE o >= 1 AND o * 1000000 >= 800000 * len)
+SELECT idx, tr_id, motif_len FROM b WHERE rn = 1""",
+)
 def tr_containment_del(spark: SparkSession, folder: str) -> DataFrame:
     """The best repeat of each deletion."""
     rows = _rows(spark, folder).dropDuplicates(["call_id"]).filter((F.col("svtype") == "DEL") & F.col("contig").isNotNull() & F.col("start_pos").isNotNull())
@@ -135,7 +153,13 @@ def tr_containment_del(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_of_deletions(dels, _catalog(spark, folder), CFG.tr_span_query_slop, CFG.tr_min_span_containment, CFG.tr_min_span_overlap_bp)
 
 
-@query("tr_containment_ins")
+@query(
+    "tr_containment_ins",
+    _REPEATS
+    + """, ins AS (SELECT call_id AS idx, contig, CAST(floor(start_pos) AS BIGINT) + 1 AS pos FROM one WHERE svtype = 'INS'),
+p AS (SELECT idx, tr_id, motif_len, stop - start AS tl, start FROM ins JOIN cat USING (contig) WHERE (start <= pos AND stop >= pos) OR (start <= pos - 1 AND stop >= pos - 1)),
+b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY tl, start, tr_id) AS rn FROM p) SELECT idx, tr_id, motif_len FROM b WHERE rn = 1""",
+)
 def tr_containment_ins(spark: SparkSession, folder: str) -> DataFrame:
     """The best repeat of each insertion."""
     rows = _rows(spark, folder).dropDuplicates(["call_id"]).filter((F.col("svtype") == "INS") & F.col("contig").isNotNull() & F.col("start_pos").isNotNull())
