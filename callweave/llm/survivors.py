@@ -14,7 +14,6 @@ combinations that can't beat the incumbent (the best single record that serves a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
