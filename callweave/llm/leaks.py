@@ -140,7 +140,7 @@ class WordIndex:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def ids(self, raw: str) -> tuple[int, ...]:
-        """Ids the word may have, the most likely first; () if none; (-1,) if it is no word at all."""
+        """All ids the word may have; () if none; (-1,) if it is no word at all."""
         found = self.known.get(raw)
         if found is None:
             if len(self.known) > 300_000:
@@ -160,12 +160,12 @@ class WordIndex:
             if "?" in t and len(t) > 1:
                 sure = [i for w, i in self.id_of.items() if _wild_equal(t, w)]
                 if sure:
-                    return tuple(sure[:4])
+                    return tuple(sure)
         for t in tries:
             same = self.by_fold.get(_folded(t))
             if same:
-                return tuple(same[:4])
-        near: dict[int, None] = {}
+                return tuple(dict.fromkeys(same))
+        near: set[int] = set()
         for t in dict.fromkeys(tries):
             if not 3 <= len(t) <= self.longest + 1:
                 continue
@@ -173,8 +173,8 @@ class WordIndex:
                 for d in _deletions(form):
                     for i in self.by_deletion.get(d, ()):
                         if i not in near and (_one_edit(t, self.words[i]) or _one_edit(form, self.folds[i])):
-                            near[i] = None
-        return tuple(near)[:4]
+                            near.add(i)
+        return tuple(sorted(near))
 
 
 def greedy_tiles(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:

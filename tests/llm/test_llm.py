@@ -220,6 +220,22 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0
 
 
+def tiled(documents, items):
+    """(document, item, longest tile) by the matcher alone."""
+    found = leaks.TileMatcher(list(enumerate(items))).match(list(enumerate(documents)))
+    return sorted(r[:3] for r in found)
+
+
+def test_a_damaged_word_keeps_all_words_it_may_be():
+    olds = "old bold cold gold hold told fold sold"
+    index = leaks.WordIndex([olds.split()])
+    assert sorted(index.ids("xold")) == list(range(8))
+    for old in olds.split():
+        passage = f"amber mirror counts {old} painted cabinet beside silent wagon every winter hollow"
+        damaged = passage.replace(f" {old} ", " xold ")
+        assert tiled([damaged], [olds, passage]) == [(0, 1, 12)]
+
+
 def test_tiles_are_longest_first_and_apart():
     item = np.arange(20)
     document = np.array([[9, 10, 11, 12, 13, 14, 99, 0, 1, 2, 3, 4, 5, 6, 7, 99, 3, 4, 5]])
