@@ -2,10 +2,11 @@
 
 Documents and items become sequences of word ids.  A document's word gets the id of the item word that it is, or was
 before damage: letter case, marks, look-alike letters, wrong encodings, misread letters and small edits are undone
-against the items' own vocabulary, once per distinct word.  Rolling (Karp-Rabin) hashes of ``SEED`` words find
-the document-item pairs that share a seed; for those, tiles are marked longest first, none overlapping another
-in document or item, until none of ``LEAST`` words is left.  Coverage is the share of the item's words under tiles,
-whatever their order.
+against the items' own vocabulary, once per distinct word; all ids that it may have count alike.  Every window of ``LEAST``
+document words has an anchor, the word with the fewest places in the items under any of its ids.  A run that covers
+the window goes through a place of its anchor, so the anchors' places, followed to both sides, give all runs.
+From these, tiles are marked longest first, none overlapping another in document or item, until none of ``LEAST``
+words is left.  Coverage is the share of the item's words under tiles, whatever their order.
 
 The items are the small side: they are split into blocks of bounded size, one block is broadcast at a time, and every
 document is read whole against each block.  Documents are never shuffled or gathered.
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 12
-SEED = 4
 #: Characters of item text in one broadcast block.
 BLOCK_CHARS = 8_000_000
+#: Places of anchors that are followed at a time.
+_PLACES = 1_000_000
 
 _NOT_SPOKEN = re.compile(
     r"^[^\n]*-->[^\n]*$|^\s*﻿?\s*\d+\s*$|^WEBVTT[^\n]*$|<[^<>]*>|\{[^{}\n]*\}"
@@ -177,30 +179,41 @@ class WordIndex:
         return tuple(sorted(near))
 
 
+def _marked(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Tiles from the maximal runs of one document and item: the longest run is marked, the others lose its words."""
+    tiles: list[tuple[int, int, int]] = []
+    while runs:
+        a, b, size = best = min(runs, key=lambda r: (-r[2], r[0] + r[2], r[1]))
+        tiles.append(best)
+        left = []
+        for i, j, n in runs:
+            at = 0
+            for begin, end in [*sorted([(a - i, a - i + size), (b - j, b - j + size)]), (n, n)]:
+                if min(begin, n) - at >= least:
+                    left.append((i + at, j + at, min(begin, n) - at))
+                at = max(at, end)
+        runs = left
+    return tiles
+
+
 def greedy_tiles(document: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (start in document, start in item, words), longest first.
 
     ``document`` has one row per alternative id of a word.  Runs along the diagonals of the match matrix are the
     maximal matches; the longest is marked and its words leave the matrix until no run reaches ``least``.
     """
-    equal = (document[:, :, None] == item[None, None, :]).any(axis=0)
-    tiles: list[tuple[int, int, int]] = []
-    while True:
-        run = np.zeros(len(item) + 1, dtype=np.int32)
-        best = (0, 0, 0)
-        for i in np.flatnonzero(equal.any(axis=1)):
-            if i == 0 or not equal[i - 1].any():
-                run[:] = 0
-            run[1:] = np.where(equal[i], run[:-1] + 1, 0)
-            top = int(run.argmax())
-            if run[top] > best[0]:
-                best = (int(run[top]), int(i), top - 1)
-        if best[0] < least:
-            return tiles
-        size, i, j = best
-        tiles.append((i - size + 1, j - size + 1, size))
-        equal[i - size + 1 : i + 1, :] = False
-        equal[:, j - size + 1 : j + 1] = False
+    i, j = np.nonzero((document[:, :, None] == item[None, None, :]).any(axis=0))
+    order = np.lexsort((i, j - i))
+    i, j = i[order], j[order]
+    first = np.flatnonzero(np.diff(i - j, prepend=len(i) + len(document.T) + len(item)) | (np.diff(i, prepend=-2) != 1))
+    size = np.diff(first, append=len(i))
+    long = size >= least
+    return _marked(list(zip(i[first[long]].tolist(), j[first[long]].tolist(), size[long].tolist())), least)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 class TileMatcher:
@@ -211,84 +224,87 @@ class TileMatcher:
         self.item_ids = [i for i, _ in items]
         words = [[p for p in (_plain(w).strip("?") for w in text.split()) if p] for _, text in items]
         self.index = WordIndex(words)
-        self.base = len(self.index.words) + 1
-        self.items = [np.asarray([self.index.id_of[w] for w in ws], dtype=np.int64) for ws in words]
-        pad = least + SEED
-        gap = np.full(pad, -2, dtype=np.int64)
-        self.flat = np.concatenate([gap, *[x for ids in self.items for x in (ids, gap)]])
-        starts = pad + np.cumsum([0, *[len(x) + pad for x in self.items[:-1]]]) if self.items else np.zeros(0, dtype=np.int64)
-        keys = [self._hash(x) for x in self.items]
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        where = np.concatenate([s + np.arange(len(k)) for s, k in zip(starts, keys)]) if keys else np.zeros(0, dtype=np.int64)
-        flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.seed, self.owner, self.where = flat[order], owner[order].astype(np.int64), where[order].astype(np.int64)
-
-    def _hash(self, ids: np.ndarray) -> np.ndarray:
-        """Rolling hashes of all windows of ``SEED`` words; 0 stands for windows with an unknown word."""
-        if len(ids) < SEED:
+        self.sizes = [len(ws) for ws in words]
+        gap = np.full(1, -2, dtype=np.int64)
+        self.flat = np.concatenate([gap, *[x for ws in words for x in (np.asarray([self.index.id_of[w] for w in ws], dtype=np.int64), gap)]])
+        self.begin = 1 + np.cumsum([0, *[n + 1 for n in self.sizes]])
+        self.places = np.argsort(self.flat, kind="stable")[len(words) + 1 :]
+        self.first = np.searchsorted(self.flat[self.places], np.arange(len(self.index.words) + 1))
+
+    def _anchors(self, doc: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The word with the fewest places of each window of ``least`` words, where all have some."""
+        n = len(doc) - self.least + 1
+        if n < 1:
             return np.zeros(0, dtype=np.int64)
-        n = len(ids) - SEED + 1
-        out = np.zeros(n, dtype=np.int64)
-        known = np.ones(n, dtype=bool)
-        for j in range(SEED):
-            part = ids[j : j + n]
-            out = (out * self.base + part + 1) % 2305843009213693951 if self.base**SEED > 1 << 60 else out * self.base + part + 1
-            known &= part >= 0
-        return np.where(known, out, 0)
-
-    def _run_length(self, many: np.ndarray, doc: np.ndarray, start: np.ndarray, item_at: np.ndarray) -> np.ndarray:
-        """Length, up to what decides, of the run of equal words around each seed."""
-        sides = []
-        for step, begin in ((1, SEED), (-1, -1)):
-            alive = np.ones(len(start), dtype=bool)
-            count = np.zeros(len(start), dtype=np.int64)
-            for k in range(self.least - SEED):
-                at = start + begin + step * k
-                safe = np.clip(at, 0, len(doc) - 1)
-                alive &= (at == safe) & (doc[safe] == doc[start])
-                alive &= (many[:, safe] == self.flat[item_at + begin + step * k]).any(axis=0)
-                if not alive.any():
-                    break
-                count += alive
-            sides.append(count)
-        return sides[0] + sides[1] + SEED
+        best = np.lib.stride_tricks.sliding_window_view(places, self.least).argmin(axis=1) + np.arange(n)
+        return np.unique(best[(doc[:n] == doc[self.least - 1 :]) & (places[best] > 0)])
+
+    def _runs(self, doc: np.ndarray, word: np.ndarray, keys: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(start in the words, start in ``flat``, words) of the maximal runs through these equal words that are long enough."""
+        reach = []
+        for step in (-1, 1):
+            live, far = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
+            k = 0
+            while len(live):
+                k += step
+                live = live[(at[live] + k >= 0) & (at[live] + k < len(doc))]
+                next_to = at[live] + k
+                live = live[(doc[next_to] == doc[at[live]]) & _equal(keys, word[next_to], self.flat[place[live] + k], len(self.index.words))]
+                far[live] = abs(k)
+            reach.append(far)
+        size = reach[0] + reach[1] + 1
+        long = size >= self.least
+        return np.stack([at[long] - reach[0][long], place[long] - reach[0][long], size[long]])
 
     def match(self, documents: list[tuple[int, str]]) -> list[tuple[int, int, int, int, float]]:
         """(document, item, longest tile, tiled words, coverage of the item)."""
-        look, rows, bounds = self.index.ids, [], [0]
+        look = self.index.ids
+        numbers: dict[tuple[int, ...], int] = {}  # words that may have the same ids are one
+        rows, bounds = [], [0]
         for _, text in documents:
-            mine = [x for x in map(look, spoken_words(text)) if x != (-1,)]
-            rows += mine
+            rows += [numbers.setdefault(x, len(numbers)) for x in map(look, spoken_words(text)) if x != (-1,)]
             bounds.append(len(rows))
-        if not rows or not len(self.seed):
+        if not rows or not self.item_ids:
             return []
-        width = max(map(len, rows)) or 1
-        first = np.fromiter((x[0] if x else -1 for x in rows), dtype=np.int64, count=len(rows))
-        many = np.full((width, len(rows)), -1, dtype=np.int64)
-        many[0] = first
-        for p in (p for p, x in enumerate(rows) if len(x) > 1):
-            many[: len(rows[p]), p] = rows[p]
+        word = np.asarray(rows, dtype=np.int64)
         doc = np.repeat(np.arange(len(documents)), np.diff(bounds))
-        windows = self._hash(first)
-        inside = doc[: len(windows)] == doc[SEED - 1 :][: len(windows)]
-        at = np.flatnonzero(inside & np.isin(windows, self.seed) & (windows > 0))
-        low, high = np.searchsorted(self.seed, windows[at]), np.searchsorted(self.seed, windows[at], side="right")
-        size = high - low
-        hit = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start, item_at = np.repeat(at, size), self.where[hit]
-        long = self._run_length(many, doc, start, item_at) >= self.least
-        pairs = np.unique(np.stack([doc[start[long]], self.owner[hit[long]]]), axis=1)
+        many = np.fromiter(map(len, numbers), dtype=np.int64, count=len(numbers))
+        ids = np.fromiter((i for x in numbers for i in x), dtype=np.int64, count=many.sum())
+        of = np.repeat(np.arange(len(numbers)), many)
+        keys = np.sort(_key(of, ids, len(self.index.words)))
+        begin = np.cumsum(many) - many
+        places = np.bincount(of, weights=np.diff(self.first)[ids], minlength=len(numbers)).astype(np.int64)[word]
+        anchors = self._anchors(doc, places)
+        part = np.cumsum(places[anchors]) // _PLACES
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        for at in np.split(anchors, np.flatnonzero(np.diff(part)) + 1):
+            size = many[word[at]]
+            each, at = ids[_spread(begin[word[at]], size)], np.repeat(at, size)
+            size = self.first[each + 1] - self.first[each]
+            found.append(self._runs(doc, word, keys, np.repeat(at, size), self.places[_spread(self.first[each], size)]))
+        runs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        start, place, size = np.unique(np.concatenate(found, axis=1), axis=1)
+        owner = np.searchsorted(self.begin, place, side="right") - 1
+        for d, i, s, p, n in zip(doc[start].tolist(), owner.tolist(), start.tolist(), (place - self.begin[owner]).tolist(), size.tolist()):
+            runs[d, i].append((s - bounds[d], p, n))
         out = []
-        for d, i in pairs.T.tolist():
-            ids = self.items[i]
-            tiles = greedy_tiles(many[:, bounds[d] : bounds[d + 1]], ids, self.least)
-            if tiles:
-                total = sum(t[2] for t in tiles)
-                out.append((documents[d][0], self.item_ids[i], tiles[0][2], total, total / len(ids)))
+        for (d, i), mine in sorted(runs.items()):
+            tiles = _marked(mine, self.least)
+            total = sum(t[2] for t in tiles)
+            out.append((documents[d][0], self.item_ids[i], tiles[0][2], total, total / self.sizes[i]))
         return out
 
 
+def _key(word: np.ndarray, ident: np.ndarray, count: int) -> np.ndarray:
+    return word * (count + 2) + ident + 2
+
+
+def _equal(keys: np.ndarray, word: np.ndarray, ident: np.ndarray, count: int) -> np.ndarray:
+    """Whether the words may have the ids; -2 is no word's."""
+    key = _key(word, ident, count)
+    return keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+
+
 _MATCHERS: dict[int, TileMatcher] = {}
 
 

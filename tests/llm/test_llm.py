@@ -236,6 +236,37 @@ def test_a_damaged_word_keeps_all_words_it_may_be():
         assert tiled([damaged], [olds, passage]) == [(0, 1, 12)]
 
 
+def test_runs_are_found_without_a_right_first_choice():
+    """Every fourth word is ambiguous or of another first choice: no four right ones stand in a row."""
+    others = "bold cold gold hold told fold sold"
+    passage = "amber mirror counts sold painted cabinet beside told silent wagon every hold"
+    damaged = passage.replace("sold", "xold").replace("told", "zold").replace("hold", "kold")
+    assert tiled([damaged, damaged + " " + damaged, damaged[5:]], [others, passage]) == [(0, 1, 12), (1, 1, 12)]
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(8)
+    stock = "old bold cold gold hold told fold sold amber mirror counts painted".split()
+    items = [" ".join(rng.choice(stock) for _ in range(rng.randint(3, 40))) for _ in range(30)]
+    documents = []
+    for _ in range(60):
+        words = " ".join(rng.choice(items) for _ in range(3)).split()[rng.randrange(8) :]
+        documents.append(" ".join(rng.choice(["xold", "zzzzz", w, w]) if rng.random() < 0.15 else w for w in words))
+    matcher = leaks.TileMatcher(list(enumerate(items)), 6)
+    want = []
+    for d, text in enumerate(documents):
+        ids = [matcher.index.ids(w) for w in text.split()]
+        rows = np.full((max(map(len, ids)), len(ids)), -1)
+        for k, x in enumerate(ids):
+            rows[: len(x), k] = x
+        for i, item in enumerate(items):
+            tiles = leaks.greedy_tiles(rows, np.array([matcher.index.id_of[w] for w in item.split()]), 6)
+            if tiles:
+                want.append((d, i, tiles[0][2], sum(t[2] for t in tiles)))
+    assert len(want) > 100
+    assert sorted(r[:4] for r in matcher.match(list(enumerate(documents)))) == want
+
+
 def test_tiles_are_longest_first_and_apart():
     item = np.arange(20)
     document = np.array([[9, 10, 11, 12, 13, 14, 99, 0, 1, 2, 3, 4, 5, 6, 7, 99, 3, 4, 5]])
