@@ -2,7 +2,8 @@
 
 Documents and items become sequences of word ids.  A document's word gets the id of the item word that it is, or was
 before damage: letter case, marks, look-alike letters, wrong encodings, misread letters and small edits are undone
-against the items' own vocabulary, once per distinct word; all ids that it may have count alike.  Every window of ``LEAST``
+against the items' own vocabulary, once per distinct word; all ids that it may have count alike, since
+a damaged word may happen to spell another one.  Every window of ``LEAST``
 document words has an anchor, the word with the fewest places in the items under any of its ids.  A run that covers
 the window goes through a place of its anchor, so the anchors' places, followed to both sides, give all runs.
 From these, tiles are marked longest first, none overlapping another in document or item, until none of ``LEAST``
@@ -43,6 +44,8 @@ _EXTRA = str.maketrans({"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "æ": "ae",
 _FOLD_PAIRS = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("li", "u"))
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "j": "l", "|": "l", "!": "l", "8": "b", "5": "s", "9": "g", "6": "b", "e": "c", "f": "t", "h": "b"})
 _WILD = "�?"
+#: Letters from which on a word may have two edits beyond misreadings; shorter ones may have one.
+TWO_EDITS = 6
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 
@@ -113,8 +116,14 @@ def _one_edit(a: str, b: str) -> bool:
     return max(n, m) - i - j <= 1
 
 
-def _wild_equal(a: str, b: str) -> bool:
-    return len(a) == len(b) and all(x == y or x == "?" for x, y in zip(a, b))
+def _near(a: str, b: str) -> bool:
+    """``_one_edit``, or two if both have ``TWO_EDITS`` letters."""
+    if min(len(a), len(b)) < TWO_EDITS:
+        return _one_edit(a, b)
+    i, end = 0, min(len(a), len(b))
+    while i < end and (a[i] == b[i] or a[i] == "?"):
+        i += 1
+    return _one_edit(a[i + 1 :], b[i + 1 :]) or _one_edit(a[i + 1 :], b[i:]) or _one_edit(a[i:], b[i + 1 :])
 
 
 def _deletions(word: str) -> set[str]:
@@ -122,6 +131,54 @@ def _deletions(word: str) -> set[str]:
     return one | {word}
 
 
+def _shortened(word: str) -> set[str]:
+    """The word without as many letters as it may have edits; words that are near have one of these in common."""
+    one = _deletions(word)
+    return one.union(*map(_deletions, one)) if len(word) >= TWO_EDITS else one
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class _Lookup:
+    """Words near a given one, by their ``_shortened`` forms; by their letters if the given one is long or hard to read."""
+
+    LONG = 30
+    LETTERS = 64
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        forms = [_shortened(w) if len(w) <= self.LONG + 2 else () for w in words]
+        keys = np.fromiter((hash(d) for f in forms for d in f), dtype=np.int64)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(f) for f in forms])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        self.counts = np.stack([self._letters(w) for w in words], axis=1) if words else np.zeros((self.LETTERS, 0), np.uint8)
+        self.sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+
+    def _letters(self, word: str) -> np.ndarray:
+        """How often letters occur, those with the same rest by ``LETTERS`` counted together."""
+        codes = np.fromiter((ord(c) for c in word if c != "?"), dtype=np.int64)
+        return np.minimum(np.bincount(codes % self.LETTERS, minlength=self.LETTERS), 255).astype(np.uint8)
+
+    def near(self, word: str) -> set[int]:
+        if "?" in word or len(word) > self.LONG:
+            lost = np.zeros(len(self.words), dtype=np.int64)
+            own = self._letters(word)
+            for c in np.flatnonzero(own):
+                lost += own[c] - np.minimum(self.counts[c], own[c])
+            maybe = np.flatnonzero((lost <= 2) & (np.abs(self.sizes - len(word)) <= 2))
+        else:
+            look = np.fromiter(map(hash, _shortened(word)), dtype=np.int64)
+            low, high = np.searchsorted(self.keys, look), np.searchsorted(self.keys, look, side="right")
+            maybe = np.unique(self.owner[_spread(low, high - low)])
+        if not word.strip("?"):  # no letter is known, so the length has to be right
+            return {i for i in maybe.tolist() if len(word) == len(self.words[i])}
+        return {i for i in maybe.tolist() if _near(word, self.words[i])}
+
+
 class WordIndex:
     """Item words and the document words that may stand for them."""
 
@@ -131,18 +188,12 @@ class WordIndex:
             for w in words:
                 self.id_of.setdefault(w, len(self.id_of))
         self.words = list(self.id_of)
-        self.by_fold: dict[str, list[int]] = defaultdict(list)
-        self.by_deletion: dict[str, list[int]] = defaultdict(list)
-        for w, i in self.id_of.items():
-            self.by_fold[_folded(w)].append(i)
-            for d in _deletions(w) | _deletions(_folded(w)):
-                self.by_deletion[d].append(i)
-        self.folds = [_folded(w) for w in self.words]
+        self.plain, self.folded = _Lookup(self.words), _Lookup([_folded(w) for w in self.words])
         self.longest = max(map(len, self.words), default=0)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def ids(self, raw: str) -> tuple[int, ...]:
-        """All ids the word may have; () if none; (-1,) if it is no word at all."""
+        """All ids the word may have, that of an equal word first; () if none; (-1,) if it is no word at all."""
         found = self.known.get(raw)
         if found is None:
             if len(self.known) > 300_000:
@@ -155,28 +206,12 @@ class WordIndex:
         tries = [t.strip("?") if i == 0 else t for i, t in enumerate(tries)] + [tries[0]]
         if not any(c.isalnum() for c in tries[0]) and not any(len(t) > 2 for t in tries):
             return (-1,) if "?" not in tries[-1] or len(raw) < 2 or all(c in "?!.,…-" for c in raw) else ()
-        for t in tries:
-            if t in self.id_of:
-                return (self.id_of[t],)
-        for t in tries:
-            if "?" in t and len(t) > 1:
-                sure = [i for w, i in self.id_of.items() if _wild_equal(t, w)]
-                if sure:
-                    return tuple(sure)
-        for t in tries:
-            same = self.by_fold.get(_folded(t))
-            if same:
-                return tuple(dict.fromkeys(same))
+        tries = [t for t in dict.fromkeys(tries) if t and len(t) <= 2 * self.longest + 4]  # folding at most halves a word
+        same = [self.id_of[t] for t in tries if t in self.id_of]
         near: set[int] = set()
-        for t in dict.fromkeys(tries):
-            if not 3 <= len(t) <= self.longest + 1:
-                continue
-            for form in dict.fromkeys((t, _folded(t))):
-                for d in _deletions(form):
-                    for i in self.by_deletion.get(d, ()):
-                        if i not in near and (_one_edit(t, self.words[i]) or _one_edit(form, self.folds[i])):
-                            near.add(i)
-        return tuple(sorted(near))
+        for t in tries:
+            near |= self.plain.near(t) | self.folded.near(_folded(t))
+        return tuple(dict.fromkeys([*same, *sorted(near)]))
 
 
 def _marked(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -211,11 +246,6 @@ def greedy_tiles(document: np.ndarray, item: np.ndarray, least: int) -> list[tup
     return _marked(list(zip(i[first[long]].tolist(), j[first[long]].tolist(), size[long].tolist())), least)
 
 
-def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-
-
 class TileMatcher:
     """Finds the items whose words stand in a document."""
 

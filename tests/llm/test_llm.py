@@ -236,6 +236,37 @@ def test_a_damaged_word_keeps_all_words_it_may_be():
         assert tiled([damaged], [olds, passage]) == [(0, 1, 12)]
 
 
+@pytest.mark.parametrize(
+    "true, damaged",
+    [("hall", "ball"), ("told", "fold"), ("cold", "eold"), ("in", "im"), ("a", "o"), ("shepherd", "shxphxrd"), ("telescope", "tel�scxpe"), ("clé", "cl�")],
+)
+def test_a_damaged_word_may_spell_another_one(true, damaged):
+    others = "ball fold cold gold hold eold im o shopper telephone clb"
+    passage = f"amber mirror counts silent wagon {true} painted cabinet beside every winter hollow"
+    assert tiled([passage.replace(f" {true} ", f" {damaged} ")], [others, passage]) == [(0, 1, 12)]
+    assert tiled([passage.replace(f" {true} ", " quarrelsome ")], [others, passage]) == []
+
+
+def test_near_words_equal_brute_force():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y and x != "?"))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(300)})
+    words += ["ab" * 16 + "c", "ab" * 15]
+    lookup = leaks._Lookup(words)
+    assert lookup.near("ab" * 15 + "c") == lookup.near("ab" * 16) == {len(words) - 2, len(words) - 1}
+    for _ in range(300):
+        word = "".join(rng.choice("abcd?" if rng.random() < 0.2 else "abc") for _ in range(rng.randint(1, 10)))
+        want = {i for i, w in enumerate(words) if distance(word, w) <= (2 if min(len(word), len(w)) >= leaks.TWO_EDITS else 1)}
+        assert lookup.near(word) == (want if word.strip("?") else {i for i in want if len(words[i]) == len(word)})
+
+
 def test_runs_are_found_without_a_right_first_choice():
     """Every fourth word is ambiguous or of another first choice: no four right ones stand in a row."""
     others = "bold cold gold hold told fold sold"
