@@ -361,6 +361,34 @@ def test_documents(spark):
     assert personal.personal_spans(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, kind, passage",
+    [
+        ("Send corrections to ELSIE.GARSKELL(AT)POST(DOT)EXAMPLE", "email", "ELSIE.GARSKELL(AT)POST(DOT)EXAMPLE"),
+        ("Vous cherchez Йlodie Garsanne ?", "name", "Йlodie Garsanne"),
+        ("¿Busca usted a Уscar Fenniaga?", "name", "Уscar Fenniaga"),
+    ],
+)
+def test_every_block_is_read(finder, line, kind, passage):
+    assert (kind, passage) in {s[2:] for s in finder.find([line])[0]}
+
+
+def test_labelled_lines_reach_the_tagger(finder):
+    lines = [t for t, labels in personal_samples.sample(3000, seed=99) if any(labels)]
+    texts = [t for t in dict.fromkeys(lines) if personal._clean(t)[0].strip()]
+    reader = personal.Finder(personal_model.load())
+    seen = []
+    reader.spans = lambda cleaned: seen.extend(cleaned) or [[] for _ in cleaned]
+    reader.find(texts)
+    assert len(seen) == sum(len([b for b in personal.blocks(t) if personal._clean(t[slice(*b)])[0].strip()]) for t in texts)
+    assert len(seen) >= len(texts)
+
+
+@pytest.mark.parametrize("line", ["violines doblados bajo la lluvia.", "hölzernen Motoren ... Die samtenen", "sturen Keller wie Narren ..."])
+def test_plain_blocks_are_left(finder, line):
+    assert finder.find([line]) == [[]]
+
+
 def test_windows_are_reconciled(finder):
     line = "The copper goose counts the tidy wagon beside the silent orchard. " * 3 + "My name is Hollis Fennampton. " + "The copper goose counts the tidy wagon beside the silent orchard. " * 3
     assert [line[a:b] for a, b, _ in finder.spans([line])[0]] == ["Hollis Fennampton"]
