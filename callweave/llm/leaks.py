@@ -31,11 +31,12 @@ BLOCK_CHARS = 8_000_000
 #: Places of anchors that are followed at a time.
 _PLACES = 1_000_000
 
-_NOT_SPOKEN = re.compile(
-    r"^[^\n]*-->[^\n]*$|^\s*﻿?\s*\d+\s*$|^WEBVTT[^\n]*$|<[^<>]*>|\{[^{}\n]*\}"
-    r"|\[[^\[\]\n]*(?:\n[^\[\]\n]+)*\]|\([^()\n]*(?:\n[^()\n]+)*\)",
+#: Times, with the cue number before them; with blank lines between, only if one is before the number too.
+_CUE = re.compile(
+    r"^(?:[ \t]*\ufeff?[ \t]*\d+[ \t]*\n|(?:\A|(?<=\n\n))[ \t]*\ufeff?[ \t]*\d+[ \t]*\n(?:[ \t]*\n)+)?[^\n]*-->[^\n]*$|^\ufeff?WEBVTT[^\n]*$",
     re.M,
 )
+_NOT_SPOKEN = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}|\[[^\[\]\n]*(?:\n[^\[\]\n]+)*\]|\([^()\n]*(?:\n[^()\n]+)*\)")
 _INVISIBLE = dict.fromkeys(map(ord, "­​‌‍‎‏⁠﻿᠎"))
 #: Letters of other scripts that look like Latin letters.
 _LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһӏкмтнвгпαορνικτεηυχ", "aeopcyxijsdhlkmthbrnaopviktenux")
@@ -51,7 +52,7 @@ _CYRILLIC = re.compile("[Ѐ-ӿ]")
 
 def spoken_words(text: str) -> list[str]:
     """The words of a text without cue numbers, times, markup and bracketed descriptions."""
-    return _NOT_SPOKEN.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n")).split()
+    return _NOT_SPOKEN.sub(" ", _CUE.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))).split()
 
 
 def _plain(word: str) -> str:

@@ -220,6 +220,19 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, spoken",
+    [
+        ("1\n00:00:01,1 --> 00:00:02,1\nthe <amber mirror\n\n2\n00:00:03,1 --> 00:00:04,1\ncounts <i>the</i> cabinet", "the <amber mirror counts the cabinet"),
+        ("\ufeff1\r\n00:00:01,1 --> 00:00:02,1\r\nthe year\r\n1984\r\n\r\n00:00:03,1 --> 00:00:04,1\r\nwas cold", "the year 1984 was cold"),
+        ("1\n\n00:00:01,1 --> 00:00:02,1\n\nwait\n\n2\n\n00:00:03,1 --> 00:00:04,1\n\nhere", "wait here"),
+        ("WEBVTT\n\n00:01.1 --> 00:02.1\nwait [loud\nnoise] here", "wait here"),
+    ],
+)
+def test_cues_are_removed_before_markup(text, spoken):
+    assert leaks.spoken_words(text) == spoken.split()
+
+
 def tiled(documents, items):
     """(document, item, longest tile) by the matcher alone."""
     found = leaks.TileMatcher(list(enumerate(items))).match(list(enumerate(documents)))
