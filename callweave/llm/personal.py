@@ -16,14 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.personal_model import Tagger, encode, load
-from callweave.llm.personal_samples import DIGITS, KINDS
+from callweave.llm.personal_model import TAGS, Tagger, encode, load, one_thread
+from callweave.llm.personal_samples import KINDS, SPELLED
 
 WINDOW = 128
-_BATCH = 1024
+_BATCH = 512
+_CENTRAL = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None]
 
 _BREAK = re.compile(r"^(?:﻿?[ \t]*\d+[ \t]*\n)?[^\n]*-->[^\n]*\n?|^[ \t]*\n|\A﻿?WEBVTT[^\n]*\n?", re.M)
 _SIGNED = re.compile(r"[\w.+-]*[\w+](?:@|©| @ )[\w-]+(?:\.[\w-]+)+")
+_BLANKS = re.compile("[ \t\n\r\f\v]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>@]*>|\{\\[^{}]*\}")
 
 
@@ -39,30 +41,29 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _clean(piece: str) -> tuple[str, list[int]]:
-    """A block without markup, each run of blanks one blank, and the place of each character in the block."""
-    chars, places, at, blank = [], [], 0, True
+def _clean(piece: str) -> str:
+    """A block without markup, each run of blanks one blank."""
+    return _BLANKS.sub(" ", _TAG.sub("", piece)).lstrip(" ")
+
+
+def _places(piece: str) -> list[int]:
+    """Where the characters of the cleaned block stand in the block."""
+    places, at, blank = [], 0, True
     for tag in [*_TAG.finditer(piece), None]:
-        end = tag.start() if tag else len(piece)
-        for i in range(at, end):
-            c = piece[i]
-            if c in " \t\n\r\f\v":
-                if not blank:
-                    chars.append(" ")
-                    places.append(i)
-                blank = True
-            else:
-                chars.append(c)
+        for i in range(at, tag.start() if tag else len(piece)):
+            if piece[i] not in " \t\n\r\f\v":
                 places.append(i)
                 blank = False
-        at = tag.end() if tag else end
-    return "".join(chars), places
+            elif not blank:
+                places.append(i)
+                blank = True
+        at = tag.end() if tag else len(piece)
+    return places
 
 
 _STRIP = " ,;:!?\"'“”«»¿¡<>[]"
 _EDGE = {"email": _STRIP + ".()", "phone": _STRIP + ".-/", "id_number": _STRIP + ".", "address": _STRIP + "()", "name": _STRIP + "()-♪"}
 _DIGITISH = frozenset("OoQlI|SBZ")
-_SPELLED = frozenset(w for v in DIGITS.values() for w in v.split())
 _MAIL = frozenset("._+-%@©")
 
 
@@ -106,6 +107,8 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     latin = sum(c.isalpha() and (ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00) for c in piece)
     if kind == "name" and (" " not in piece or sum(c.isdigit() for c in piece) > 4 or len(piece) < 5 or latin < 0.6 * letters):
         return None
+    if kind == "name" and not piece.isupper() and any(len(w) > 2 and w.isupper() for w in re.split(r"[\s-]", piece)):  # an acronym is no name
+        return None
     given = piece.split(" ", 1)[0]
     if kind == "name" and given.islower() and (given[0] != "l" or len(given) > 5):  # a misread capital I at most
         return None
@@ -115,7 +118,7 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         return None
     if kind == "id_number" and (digits < 5 or len(piece) < 7):
         return None
-    spelled = sum(w.lower() in _SPELLED for w in piece.split())
+    spelled = sum(w.lower() in SPELLED for w in piece.split())
     if kind == "phone" and (len(piece) < 7 or (digits < 6 and spelled < 5) or (letters > digits and spelled < 4)):
         return None
     if kind == "email" and (len(piece) < 8 or not re.search(r"@|©|\bat\b", piece, re.I)):
@@ -134,36 +137,38 @@ class Finder:
         if len(self.known) > 200_000:
             self.known.clear()
             fresh = list(dict.fromkeys(texts))
-        fresh.sort(key=len)
+        fresh.sort(key=len, reverse=True)
         for a in range(0, len(fresh), _BATCH):
             part = fresh[a : a + _BATCH]
             for text, tags in zip(part, self._tags(part)):
-                self.known[text] = self._read(text, tags)
+                self.known[text] = self._read(text, tags) if tags is not None else []
         return [self.known[t] for t in texts]
 
-    def _tags(self, texts: list[str]) -> list[np.ndarray]:
+    def _tags(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Tags of some texts, longest first; long ones are scored in overlapping windows and decoded whole."""
         step = WINDOW // 2
         windows = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - step), step)]
-        longest = min(WINDOW, max(map(len, texts)))
-        x = np.full((longest, len(windows)), 32, dtype=np.int64)
         codes = [encode(t) for t in texts]
-        for j, (k, at) in enumerate(windows):
-            piece = codes[k][at : at + WINDOW]
-            x[: len(piece), j] = piece
-        scores = self.tagger.emissions(x)
-        top = max(map(len, texts))
-        blended = np.zeros((top, len(texts), scores.shape[2]), np.float32)
-        if len(windows) == len(texts):
-            blended[:longest] = scores[:top]
-        else:
-            weight = np.zeros((top, len(texts), 1), np.float32)
-            central = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None]
-            for j, (k, at) in enumerate(windows):
-                n = min(WINDOW, len(texts[k]) - at)
-                blended[at : at + n, k] += scores[:n, j] * central[:n]
-                weight[at : at + n, k] += central[:n]
-            blended /= np.maximum(weight, 1e-6)
-        return self.tagger.decode(blended, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        pieces = [codes[k][at : at + WINDOW] for k, at in windows]
+        order = sorted(range(len(windows)), key=lambda j: -len(pieces[j]))
+        sizes = np.fromiter((len(pieces[j]) for j in order), dtype=np.int64, count=len(order))
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        blended = np.zeros((lengths[0], len(texts), TAGS), np.float32)
+        weight = np.zeros((lengths[0], len(texts), 1), np.float32)
+        for a in range(0, len(order), _BATCH):
+            part = order[a : a + _BATCH]
+            x = np.full((sizes[a], len(part)), 32, dtype=np.int64)
+            for c, j in enumerate(part):
+                x[: len(pieces[j]), c] = pieces[j]
+            scores = self.tagger.emissions(x, sizes[a : a + len(part)])
+            if len(windows) == len(texts):
+                return self.tagger.decode(scores, lengths)
+            for c, j in enumerate(part):
+                (k, at), n = windows[j], len(pieces[j])
+                blended[at : at + n, k] += scores[:n, c] * _CENTRAL[:n]
+                weight[at : at + n, k] += _CENTRAL[:n]
+        blended /= np.maximum(weight, 1e-6)
+        return self.tagger.decode(blended, lengths)
 
     def _read(self, text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
         out, begin, kind = [], -1, 0
@@ -190,12 +195,13 @@ class Finder:
             if "\r" in text:
                 text = text.replace("\r\n", " \n").replace("\r", "\n")
             for a, b in blocks(text):
-                clean, places = _clean(text[a:b])
+                clean = _clean(text[a:b])
                 if clean.strip():
-                    jobs.append((k, a, places))
+                    jobs.append((k, a, text[a:b]))
                     cleaned.append(clean)
         out: list[list[tuple[int, int, str, str]]] = [[] for _ in texts]
-        for (k, base, places), clean, spans in zip(jobs, cleaned, self.spans(cleaned)):
+        for (k, base, piece), clean, spans in zip(jobs, cleaned, self.spans(cleaned)):
+            places = _places(piece) if spans else []
             for a, b, kind in spans:
                 out[k].append((base + places[a], base + places[b - 1] + 1, kind, clean[a:b]))
         return out
@@ -206,6 +212,7 @@ _FINDERS: list[Finder] = []
 
 def _finder(weights: dict[str, np.ndarray]) -> Finder:
     if not _FINDERS:
+        one_thread()
         _FINDERS.append(Finder(weights))
     return _FINDERS[0]
 

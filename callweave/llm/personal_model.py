@@ -2,11 +2,13 @@
 
 ``Tagger`` scores characters and decodes windows; ``train`` fits it on labelled lines by back-propagation through time
 and the CRF's forward-backward recursion, with Adam.  Weights are kept beside the module (``python -m
-callweave.llm.personal_model MINUTES [--continue]`` writes them from the bounded sample of ``personal_samples``).
+callweave.llm.personal_model [STEPS]`` makes them from the bounded sample of ``personal_samples``; seeds and steps are fixed).
 """
 
 from __future__ import annotations
 
+import ctypes
+import multiprocessing
 import sys
 import time
 import unicodedata
@@ -16,12 +18,23 @@ from pathlib import Path
 import numpy as np
 
 HIDDEN, EMBED, TAGS = 40, 20, 11
+#: Steps of training behind the stored weights.
+STEPS = 4500
 WEIGHTS = Path(__file__).with_name("personal_weights.npz")
 _ASCII = 128
 #: Beyond ASCII: Latin capital, Latin small, other digit, other letter, mark or symbol, replacement character, blank.
 SYMBOLS = _ASCII + 8
 
 
+def one_thread() -> None:
+    """Keeps this process's matrix products on one core: they are small, and the other cores have tasks of their own."""
+    for found in [*Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"), *Path(np.__file__).parent.glob(".libs/*openblas*")]:
+        library = ctypes.CDLL(str(found))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 @lru_cache(65536)
 def symbol(c: str) -> int:
     code = ord(c)
@@ -63,8 +76,8 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _run(w: dict[str, np.ndarray], d: str, table: np.ndarray, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, hidden) of one direction; inputs are looked up in ``table``, symbol by symbol."""
+def _run(w: dict[str, np.ndarray], d: str, table: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (time, batch, hidden) of one direction, with what back-propagation needs; zero beyond a line's end."""
     steps, batch = x.shape
     h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
     out, saved = np.empty((steps, batch, HIDDEN), np.float32), []
@@ -75,11 +88,10 @@ def _run(w: dict[str, np.ndarray], d: str, table: np.ndarray, x: np.ndarray, kee
         gates = np.tanh(z)  # the three sigmoid gates were scaled by one half in the weights
         i, f, o = (gates[:, :n] + 1) * 0.5, (gates[:, n : 2 * n] + 1) * 0.5, (gates[:, 2 * n : 3 * n] + 1) * 0.5
         g = gates[:, 3 * n :]
-        c_new = f * c + i * g
+        c_new = (f * c + i * g) * mask[t][:, None]
         tc = np.tanh(c_new)
         h_new = o * tc
-        if keep:
-            saved.append((t, h, c, i, f, o, g, tc))
+        saved.append((t, h, c, i, f, o, g, tc))
         h, c = h_new, c_new
         out[t] = h
     return out, saved
@@ -93,39 +105,95 @@ def _tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 class Tagger:
+    """Scores and decodes lines.  Gates lie apart as (gate, line, unit), and a step only touches lines that reach it.
+
+    Every gate is 1 / (1 + exp(-z)), the fourth and the output's tanh(z) being 2 / (1 + exp(-2z)) - 1; the factors are in the weights.
+    """
+
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
-        t = _tables(weights)
-        self.tables = {d: np.ascontiguousarray(t[d]) for d in "fb"}
-        self.rec = {f"h{d}": np.ascontiguousarray(t[f"h{d}"]) for d in "fb"}
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(time, batch, tags) scores for symbols (time, batch)."""
-        f, _ = _run(self.rec, "f", self.tables["f"], x, False)
-        b, _ = _run(self.rec, "b", self.tables["b"], x, False)
+        t, n = _tables(weights), HIDDEN
+        factor = np.array([-2, -2, -2, -2], np.float32)[:, None, None]  # three gates come halved from ``_tables``
+        apart = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2) * factor)
+        self.tables = {d: apart(t[d]) for d in "fb"}
+        self.rec = {d: apart(t[f"h{d}"]) for d in "fb"}
+        self.out = {"f": np.ascontiguousarray(weights["out"][:n]), "b": np.ascontiguousarray(weights["out"][n:])}
+        trans = weights["trans"]
+        self.enter = float(max((trans[0, 1:] - trans[0, 0]).max(), (weights["first"][1:] - weights["first"][0]).max()))
+        self.stay, self.leave = float((trans[1:, 1:] - trans[0, 0]).max()), float(max((trans[1:, 0] - trans[0, 0]).max(), 0.0))
+
+    def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(time, batch, tags) scores for symbols (time, batch); lines must come longest first."""
+        with np.errstate(over="ignore"):  # exp of a large number is infinite, its gate rightly 0
+            return self._emissions(x, lengths)
+
+    def _emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        steps, batch = x.shape
         n = HIDDEN
-        return f @ self.w["out"][:n] + b @ self.w["out"][n:] + self.w["out_b"]
-
-    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """The best tag sequence of each column of (time, batch, tags)."""
+        scores = np.broadcast_to(self.w["out_b"], (steps, batch, TAGS)).copy()
+        live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lines longer than t
+        gates, looked = np.empty((4, batch, n), np.float32), np.empty((4, batch, n), np.float32)
+        for d in "fb":
+            h, c, tc = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32), np.empty((batch, n), np.float32)
+            table, rec, out = self.tables[d], self.rec[d], self.out[d]
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                k = live[t]
+                z, hk, ck, tk = gates[:, :k], h[:k], c[:k], tc[:k]
+                np.matmul(hk, rec, out=z)
+                z += np.take(table, x[t, :k], axis=1, out=looked[:, :k], mode="clip")
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                z[3] *= 2
+                z[3] -= 1
+                ck *= z[1]
+                z[3] *= z[0]
+                ck += z[3]
+                np.multiply(ck, -2, out=tk)
+                np.exp(tk, out=tk)
+                tk += 1
+                np.divide(2, tk, out=tk)
+                tk -= 1
+                np.multiply(z[2], tk, out=hk)
+                scores[t, :k] += hk @ out
+        return scores
+
+    def surely_plain(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Lines whose best path is provably all outside: no stretch of other tags can gain, however its transitions fall."""
+        steps, batch, _ = scores.shape
+        gain = scores[:, :, 1:].max(axis=2) - scores[:, :, 0] + self.stay
+        current, best = np.full(batch, -np.inf, np.float32), np.full(batch, -np.inf, np.float32)
+        for t in range(steps):
+            here = t < lengths
+            current = np.where(here, np.maximum(current, 0) + gain[t], -np.inf)
+            best = np.maximum(best, current)
+        return best + self.enter + self.leave - self.stay < 0
+
+    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray | None]:
+        """The best tag sequence of each column of (time, batch, tags); None if it is all outside."""
+        out: list[np.ndarray | None] = [None] * len(lengths)
+        open_ = np.flatnonzero(~self.surely_plain(scores, lengths))
+        if len(open_):
+            for j, path in zip(open_.tolist(), self._viterbi(scores[: lengths[open_].max(), open_], lengths[open_])):
+                out[j] = path if path.any() else None
+        return out
+
+    def _viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         steps, batch, _ = scores.shape
-        best = scores[0] + self.w["first"]
-        back = np.zeros((steps, batch, TAGS), np.int8)
-        kept = np.empty((steps, batch, TAGS), np.float32)
-        kept[0] = best
+        by_tag = np.ascontiguousarray(scores.transpose(0, 2, 1))
+        trans = self.w["trans"]
+        kept = np.empty_like(by_tag)
+        kept[0] = by_tag[0] + self.w["first"][:, None]
         for t in range(1, steps):
-            both = best[:, :, None] + self.w["trans"][None]
-            back[t] = both.argmax(axis=1)
-            best = both.max(axis=1) + scores[t]
-            kept[t] = best
-        last = lengths - 1
-        tag = kept[last, np.arange(batch)].argmax(axis=1)
+            kept[t] = (kept[t - 1][:, None, :] + trans[:, :, None]).max(axis=0) + by_tag[t]
+        last, columns = lengths - 1, np.arange(batch)
+        tag = kept[last, :, columns].argmax(axis=1)
         path = np.zeros((steps, batch), np.int8)
         for t in range(steps - 1, -1, -1):
             live = t <= last
             path[t, live] = tag[live]
             if t:
-                tag = np.where(live, back[t, np.arange(batch), tag], tag)
+                tag = np.where(live, (kept[t - 1] + trans[:, tag]).argmax(axis=0), tag)
         return [path[:n, j] for j, n in enumerate(lengths)]
 
 
@@ -172,7 +240,7 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask:
     t = _tables(w)
     out, saved = {}, {}
     for d in "fb":
-        out[d], saved[d] = _run({f"h{d}": t[f"h{d}"]}, d, t[d], x, True)
+        out[d], saved[d] = _run({f"h{d}": t[f"h{d}"]}, d, t[d], x, mask)
     n = HIDDEN
     both = np.concatenate([out["f"], out["b"]], axis=2)
     scores = both @ w["out"] + w["out_b"]
@@ -186,8 +254,9 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask:
         dh_next, dc_next = np.zeros_like(out[d][0]), np.zeros_like(out[d][0])
         gz_all = np.empty((len(x), x.shape[1], 4 * n), np.float32)
         for step, h, c, i, f, o, gate, tc in reversed(saved[d]):
-            dh = g_both[step, :, k * n : (k + 1) * n] + dh_next
-            dc = dc_next + dh * o * (1 - tc * tc)
+            here = mask[step][:, None]
+            dh = (g_both[step, :, k * n : (k + 1) * n] + dh_next) * here
+            dc = (dc_next + dh * o * (1 - tc * tc)) * here
             z = np.concatenate([dc * gate * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gate * gate)], axis=1)
             grads[f"h{d}"] += h.T @ z
             dh_next, dc_next = z @ w[f"h{d}"].T, dc * f
@@ -203,35 +272,41 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask:
     return loss, grads
 
 
-def train(lines: list[tuple[str, list[int]]], minutes: float, batch: int = 192, rate: float = 4e-3, seed: int = 7, report=print, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    """Adam over batches of lines of similar length until the time is over; the rate falls to a twentieth."""
-    w = {k: v.copy() for k, v in (start or initial(seed)).items()}
+def _share(task: tuple[dict[str, np.ndarray], list[tuple[str, list[int]]]]) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss and gradients of a share of a batch."""
+    w, lines = task
+    longest = max(len(t) for t, _ in lines)
+    x, tags, mask = np.full((longest, len(lines)), 32), np.zeros((longest, len(lines)), np.int64), np.zeros((longest, len(lines)), bool)
+    for j, (text, labels) in enumerate(lines):
+        x[: len(text), j], tags[: len(text), j], mask[: len(text), j] = encode(text), labels, True
+    return _gradients(w, x, tags, mask)
+
+
+def train(lines: list[tuple[str, list[int]]], steps: int, batch: int = 512, rate: float = 5e-3, seed: int = 7, workers: int = 8, report=print) -> dict[str, np.ndarray]:
+    """``steps`` steps of Adam over batches of lines of similar length, cut into equal shares; the rate falls linearly to a fiftieth."""
+    w = initial(seed)
     rng = np.random.default_rng(seed)
     order = sorted(range(len(lines)), key=lambda k: len(lines[k][0]))
     chunks = [order[k : k + batch] for k in range(0, len(order), batch)]
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v2 = {k: np.zeros_like(v) for k, v in w.items()}
-    began, step, shown = time.time(), 0, 0.0
-    while (gone := (time.time() - began) / 60) < minutes:
-        rows = chunks[rng.integers(len(chunks))]
-        longest = max(len(lines[k][0]) for k in rows)
-        x, tags, mask = np.full((longest, len(rows)), 32), np.zeros((longest, len(rows)), np.int64), np.zeros((longest, len(rows)), bool)
-        for j, k in enumerate(rows):
-            text, labels = lines[k]
-            x[: len(text), j], tags[: len(text), j], mask[: len(text), j] = encode(text), labels, True
-        loss, grads = _gradients(w, x, tags, mask)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / len(rows)
-        scale = min(1.0, 5.0 / (norm + 1e-9)) / len(rows)
-        step += 1
-        now = rate * max(0.05, 1 - gone / minutes) * min(1.0, step / 100)
-        for k, g in grads.items():
-            g = g * scale
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v2[k] = 0.999 * v2[k] + 0.001 * g * g
-            w[k] = (w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        shown = 0.98 * shown + 0.02 * loss / len(rows)
-        if step % 100 == 0:
-            report(f"{gone:.1f} min, step {step}: {shown:.3f} a line", flush=True)
+    began, shown = time.time(), 0.0
+    with multiprocessing.get_context("fork").Pool(workers, one_thread) as pool:
+        for step in range(1, steps + 1):
+            rows = chunks[rng.integers(len(chunks))]
+            parts = pool.map(_share, [(w, [lines[k] for k in rows[i::workers]]) for i in range(workers) if rows[i::workers]], 1)
+            loss, grads = sum(p[0] for p in parts), {k: sum(p[1][k] for p in parts) for k in w}
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / len(rows)
+            scale = min(1.0, 5.0 / (norm + 1e-9)) / len(rows)
+            now = rate * max(0.02, 1 - step / steps) * min(1.0, step / 100)
+            for k, g in grads.items():
+                g = g * scale
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v2[k] = 0.999 * v2[k] + 0.001 * g * g
+                w[k] = (w[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            shown = 0.98 * shown + 0.02 * loss / len(rows)
+            if step % 250 == 0:
+                report(f"step {step}: {shown:.3f} a line, {time.time() - began:.0f} s", flush=True)
     return w
 
 
@@ -243,6 +318,5 @@ def load(path: Path = WEIGHTS) -> dict[str, np.ndarray]:
 if __name__ == "__main__":
     from callweave.llm.personal_samples import sample
 
-    before = load() if "--continue" in sys.argv else None
-    found = train(sample(), float(sys.argv[1]), rate=2e-3 if before else 4e-3, start=before)
+    found = train(sample(), int(sys.argv[1]) if len(sys.argv) > 1 else STEPS)
     np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in found.items()})

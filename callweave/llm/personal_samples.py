@@ -1,190 +1,454 @@
 """Labelled spans for training: lines with slots, filled from rules, then damaged the way subtitle files are.
 
-Everything is invented.  Labels come from the construction: each slot's span is known before and after damage.
-The number of lines is a parameter (``SAMPLE_LINES``), the seed is fixed, so the sample is bounded and repeatable.
+Everything comes from general knowledge of the four languages and of the forms that numbers and addresses take; no line, name,
+street or town was taken from any table.  Half of the words are made of syllables, so that the tagger learns form and place rather than a
+vocabulary.  Every list is split by position: each fifth entry (``held_out``) never serves training, so accuracy on held-out lines is
+measured with names, streets, frames and sentences that the tagger hasn't seen.  The number of lines is a parameter
+(``SAMPLE_LINES``), the seed is fixed, so the sample is bounded and repeatable.
 """
 
 from __future__ import annotations
 
 import random
 import unicodedata
+from functools import lru_cache
 
-SAMPLE_LINES = 120_000
+SAMPLE_LINES = 160_000
 SEED = 20250
+LANGS = ("en", "de", "fr", "es")
 
-# Fixed values, by language: given names, endings of family names, lines with slots, and lines without personal data.
+# Fixed values, by language: given names, family names, and the syllables that further names are made of.
 GIVEN = {
-    "en": "Ida Elsie Winifred Edric Petra Tobin Amos Hollis Wren Tamsin Colm Orrin Nell Mara Jory Saul Garrick Maud Rufus Philippa Callum Greta Bertha",
-    "de": "Ilse Jörg Käthe Rainer Wiebke Trude Edda Götz Ulf Lothar Jürgen Anke Volker Gudrun Heike Sönke Björn",
-    "fr": "Anselme Élodie Bastien Lucie Gaspard Maëlle Solène Noémie Colette Odile Firmin Thibault Hervé Régis Zoé",
-    "es": "Begoña Rocío Ramiro Amparo Lucía Fermín Eulalia Jacinto Óscar Tomás Joaquín Inés Pilar Iñaki",
+    "en": "James Mary Robert Linda Michael Susan David Karen Thomas Nancy Daniel Betty Matthew Helen Anthony Sandra Mark Donna Steven Carol Andrew Ruth Kenneth Sharon George Laura Kevin Amy Brian Angela Edward Emma Ronald Olivia Timothy Grace Jason Sophie",
+    "de": "Hans Anna Peter Ursula Wolfgang Sabine Klaus Monika Jürgen Petra Dieter Renate Manfred Birgit Uwe Gisela Günter Andrea Bernd Claudia Frank Stefanie Matthias Kathrin Andreas Jutta Rüdiger Bärbel Holger Silke Lukas Hannah Jonas Lea",
+    "fr": "Jean Marie Pierre Nathalie Michel Isabelle Philippe Sylvie Alain Catherine Nicolas Françoise Christophe Valérie Patrick Sandrine Frédéric Stéphanie Laurent Céline Julien Aurélie Sébastien Émilie François Chloé Jérôme Manon Étienne Mathilde",
+    "es": "José María Antonio Carmen Manuel Ana Francisco Isabel Juan Laura David Cristina Javier Marta Daniel Lucía Carlos Elena Miguel Teresa Rafael Paula Pedro Raquel Ángel Rosa Sergio Mercedes Álvaro Nuria Andrés Sofía Raúl Jimena",
 }
-STEMS = "Gars Fenn Plint Skell Twyn Hald Lod Holv Thrask Osk Ebr Drus Krau Yel Qued Rhev Tarn Umb Zell Jund Penn Brem Marr Nav Ruv Gorm Vos Ozm Sturm Wynt Bael"
-ENDINGS = {
-    "en": "ampton stead ridder ering kard lowe thorby tock wickle quell dane brock mere",
-    "de": "öhner ingloh lingk ecker enhagen stätter wald mühlen üssel bröck",
-    "fr": "anne ugnac écourt aroche eaudry emond ivier oult illon ébault",
-    "es": "iaga urrieta ondo eñoz úñez ízar elar ibarra ocal alguera",
+FAMILY = {
+    "en": "Smith Johnson Williams Brown Taylor Davies Evans Walker Wright Robinson Thompson White Hughes Edwards Green Hall Wood Harris Clarke Jackson Turner Hill Cooper Ward Morris Moore Baker Parker Collins Murphy O'Brien McKenzie",
+    "de": "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Krüger Hartmann Lange Krause Lehmann Köhler Herrmann König Walter Jäger",
+    "fr": "Martin Bernard Dubois Durand Moreau Laurent Lefebvre Leroy Roux Fournier Girard Bonnet Lambert Fontaine Rousseau Vincent Faure Mercier Blanc Guérin Boyer Garnier Chevalier Legrand Gauthier Perrin Morel Lemaître Béranger Aubert",
+    "es": "García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Jiménez Ruiz Hernández Díaz Moreno Álvarez Romero Navarro Torres Domínguez Vázquez Ramos Gil Serrano Molina Castro Ortiz Rubio Marín Ibáñez Núñez",
 }
-PARTICLES = {"en": ["van"], "de": ["von"], "fr": ["de"], "es": ["de la", "de"]}
-LINES = {
-    "en": """My name is {n}.|Nobody trusts {n}.|I saw {n} at the harbour.|Signed by {n} and two witnesses.|Starring {n} as the watchman|Subtitles by {n}|Translation: {n}|Translation: {r}|Subtitles by {r}
-- {n}? - Never heard of them.|Where did {n} put the keys?|You are looking for {n}, aren't you?|Ask Doctor {n} tomorrow.|{n}, stay where you are!|[{n} sighs]|{U}: Nobody leaves.|{n} blames the crooked gardener.|{n} examines the vacant baker.
-{n} follows the salty tunnel.|{n} remembers the weary kettle!|Write to {e}, any time.|Send corrections to {e}|Contact: {e}|<{e}>|Errors to {e}|Perhaps {n} measures the wooden glacier.|Call me at {p}.|The number is {p}, write it down.|Phone {p}|- {p}? - Yes, after nine.
-His social security number is {i}.|Her insurance number? {i}.|Passport {i}, expired.|ID: {i}|She lives at {a}.|Send the parcel to {a}.|Taxi! {a}, please.|Taxi! {a},""",
-    "de": """Ich heiße {n}.|Gestern war {n} hier.|Ohne {n} geht es nicht.|Frau {n}, bitte.|Herr {n}, bitte.|Gesprochen von {n}|Übersetzung von {n}|Untertitel: {n}|Untertitel: {r}|Übersetzung von {r}|Suchen Sie {n}?|{n}, bleiben Sie stehen!|Frag {n} morgen früh.|[{n} seufzt]|{U}: Niemand geht.
-Schreib an {e}, bitte.|Kontakt: {e}|Korrekturen an {e}|Fehler bitte an {e}|Die Nummer ist {p}, notier sie.|Ruf mich an: {p}.|Tel. {p}|Seine Steuernummer ist {i}.|Versicherungsnummer {i}.|Ausweis {i}, abgelaufen.|Sie wohnt hier: {a}.|Das Paket geht an {a}.|Taxi! {a}, bitte.|Taxi! {a},""",
-    "fr": """Je m'appelle {n}.|Hier, {n} est passé ici.|Sans {n}, rien ne marche.|Vous cherchez {n} ?|{n}, ne bougez plus !|Demande à {n} demain.|Madame {n}, entrez.|Monsieur {n}, entrez.|Traduction de {n}|Sous-titrage : {n}|Sous-titrage : {r}|Traduction de {r}|[{n} soupire]|{U} : Personne ne sort.
-Écris à {e}, vite.|Contact : {e}|Corrections à {e}|Le numéro, c'est {p}, note-le.|Appelle-moi au {p}.|Tél. {p}|Son numéro de sécu est {i}.|Carte d'identité {i}.|Passeport {i}, périmé.|Elle habite {a}.|Le colis va au {a}.|Taxi ! {a}, vite.|Taxi ! {a},""",
-    "es": """Me llamo {n}.|Ayer vino {n} al puerto.|Sin {n} no hay trato.|¿Busca usted a {n}?|¡{n}, no se mueva!|Pregunta a {n} mañana.|Señora {n}, pase.|Señor {n}, pase.|Subtítulos: {n}|Subtítulos: {r}|Traducción de {n}|Con la voz de {n}|[{n} suspira]|{U}: Nadie sale.
-Escribe a {e}, por favor.|Correcciones a {e}|Contacto: {e}|El número es {p}, apúntalo.|Llámame al {p}.|Tel. {p}|Su DNI es {i}.|Número de afiliado {i}.|Pasaporte {i}, caducado.|Vive en {a}.|El paquete va a {a}.|¡Taxi! {a}, rápido.|¡Taxi! {a},""",
+ONSETS = "b br c ch cl d dr f fl g gr h j k kl l m n p pl pr qu r s sch sh sk sl st str t th tr v w wh z zw"
+CORES = {"en": "a e i o u y ai ea ee oo ou", "de": "a e i o u ä ö ü au ei eu ie", "fr": "a e i o u é è ai au eau eu oi ou", "es": "a e i o u á é í ó ú ue ia"}
+CODAS = {"en": "n r l s t d ck ll m rn sh th x nd rt lt mp", "de": "n r l s t ch ck f m tz nn ss rg ld nz pp", "fr": "n r l s t c x d nt rd gn ch", "es": "n r l s d z ll rr ñ"}
+FAMILY_ENDS = {
+    "en": "son ton ley ford field ham well man worth er wood by land shaw more",
+    "de": "mann berg er stein bach hauser feld dorf ig ler hardt lein thal hoff ke",
+    "fr": "et eau ard on ier oux elle in ault ois ot ret ert and ville",
+    "es": "ez era ales os illo ado ón eda ar uela ana aga eta ero ales",
+}
+PARTICLES = {"en": "de van", "de": "von zu van der vom", "fr": "de du le d' de la", "es": "de de la del y dos"}
+TITLES = {"en": "Mr. Mrs. Miss Ms. Doctor Dr. Professor Captain Sir Judge", "de": "Herr Frau Dr. Professor Hauptmann Doktor", "fr": "Monsieur Madame Mademoiselle Maître Docteur M. Mme", "es": "Señor Señora Don Doña Doctor Sr. Sra. Profesora"}
+
+# Fixed values, by language: frames.  n full name, r family name first, N full name in capitals, g given name alone, f family name alone, t title,
+# e address for mail, p phone, i identity number, a street address, w town, d some number, s a plain sentence.
+FRAMES = {
+    "en": """This is {n} speaking.|You must be {n}!|{n} called this morning.|I'd like to introduce {n}.|They arrested {n} last night.|Have you ever met {n}?|I owe {n} a favour.|{t} {n} is here to see you.|Did {t} {n} leave a message?|- Who did this? - {n}.|It was {n} all along.|{n} and {n} are getting married.|Nobody has seen {n} since Friday.
+Directed by {n}|Written by {n}|Captions: {n}|Produced by {r}|Translated by {n}|Music by {n} and {n}|With {n} as the lawyer|{N}: {s}|[{n} laughing]|({n} coughs)|{n}... is that you?|I'm {n}, from the office.|Hello, {n}. Please sit down.|{s} {n} knows that.|My husband, {n}, works nights.|Case against {r}|Patient: {r}|Who is {n}, anyway?|"{n}," she said.|Thank you, {n}!
+Email me: {e}|You can reach us at {e} or by phone.|My address is {e}.|Mail {e} for more information|{e}|Questions? {e}|Feedback welcome: {e}|It's {e}, all lower case.|Please reply to {e} today.|Send your comments to {e} {s}
+My phone number: {p}.|Just dial {p} and ask for me.|Text {p} when you land.|Is this {p}? - Wrong number.|Mobile {p}|You can call {p} day or night.|{p}. Got that?|Emergency line: {p}|Fax {p}, phone {p}|Try {p} instead. {s}
+The passport number is {i}.|SSN {i}|Your national insurance number, please. - {i}.|Tax number: {i}|Licence number {i}, born in May.|Card number {i}, issued here.|She wrote down {i} as her ID.|Identity card {i}|Social security: {i}
+We moved to {a} last year.|The house is at {a}.|Meet me at {a}, ten o'clock.|Deliver this to {a}.|Number: {a}.|They found him at {a}.|{a}|Drive me to {a}!|Our new office: {a}|Is it {a}? {s}|Postal address: {a}""",
+    "de": """Hier spricht {n}.|Sie sind sicher {n}!|{n} hat heute angerufen.|Darf ich {n} vorstellen?|Man hat {n} verhaftet.|Kennst du {n}?|Ich arbeite für {n}.|{t} {n} wartet draußen.|Ist {t} {n} zu sprechen?|- Wer war das? - {n}.|{n} und {n} heiraten.|Seit Freitag fehlt von {n} jede Spur.
+Regie: {n}|Drehbuch: {n}|Untertitelt von {n}|Übersetzt von {r}|Musik von {n}|Mit {n} als Anwalt|{N}: {s}|[{n} lacht]|({n} hustet)|{n}... bist du das?|Guten Tag, {n}. Setzen Sie sich.|{s} {n} weiß das.|Mein Mann, {n}, schläft schon.|Patient: {r}|Wer ist eigentlich {n}?|Danke, {n}!
+Meine Mail: {e}|Sie erreichen uns unter {e} oder per Post.|Mail an {e}|{e}|Fragen? {e}|Antworten Sie heute an {e}.|Es ist {e}, alles klein.|Hinweise an {e} {s}
+Meine Telefonnummer: {p}.|Wählen Sie {p}.|Unter {p} bin ich da.|Handy {p}|{p}. Hast du das?|Notruf: {p}|Fax {p}, Telefon {p}|Sonst {p} probieren. {s}
+Die Passnummer lautet {i}.|Steuer-ID {i}|Ihre Sozialversicherungsnummer? - {i}.|Personalausweis {i}|Führerschein Nummer {i}|Rentenversicherung: {i}|Kennnummer {i}, gültig.
+Wir sind in die {a} gezogen.|Das Haus steht {a}.|Treffpunkt {a}, zehn Uhr.|Liefern Sie das an {a}.|{a}|Fahren Sie mich zur {a}!|Unser Büro: {a}|Anschrift: {a}|Ist es {a}? {s}""",
+    "fr": """Ici {n} à l'appareil.|Vous devez être {n} !|{n} a appelé ce matin.|Je vous présente {n}.|On a arrêté {n} hier soir.|Tu connais {n} ?|Je travaille pour {n}.|{t} {n} vous attend.|Est-ce que {t} {n} est là ?|- Qui a fait ça ? - {n}.|{n} et {n} se marient.|Personne n'a revu {n} depuis vendredi.
+Réalisé par {n}|Scénario : {n}|Sous-titres : {n}|Traduit par {r}|Musique de {n}|Avec {n} dans le rôle du juge|{N} : {s}|[{n} rit]|({n} tousse)|{n}... c'est toi ?|Bonjour, {n}. Asseyez-vous.|{s} {n} le sait.|Mon mari, {n}, dort.|Patient : {r}|Qui est {n}, au fait ?|Merci, {n} !
+Mon adresse mail : {e}|Joignez-nous à {e} ou par courrier.|{e}|Des questions ? {e}|Répondez à {e} aujourd'hui.|C'est {e}, tout en minuscules.|Vos remarques à {e} {s}
+Mon numéro de téléphone : {p}.|Composez le {p}.|Au {p}, jour et nuit.|Portable {p}|{p}. C'est noté ?|Urgences : {p}|Fax {p}, téléphone {p}|Essaie le {p}. {s}
+Le numéro du passeport est {i}.|Numéro fiscal : {i}|Votre numéro de sécurité sociale ? - {i}.|Carte d'identité n° {i}|Permis numéro {i}|Assurance maladie : {i}
+On a déménagé {a}.|La maison est au {a}.|Rendez-vous {a}, dix heures.|Livrez ça au {a}.|{a}|Conduisez-moi {a} !|Notre bureau : {a}|Adresse : {a}|C'est bien {a} ? {s}""",
+    "es": """Habla {n}.|¡Usted debe de ser {n}!|{n} llamó esta mañana.|Le presento a {n}.|Anoche detuvieron a {n}.|¿Conoces a {n}?|Trabajo para {n}.|{t} {n} le espera.|¿Está {t} {n}?|- ¿Quién fue? - {n}.|{n} y {n} se casan.|Nadie ha visto a {n} desde el viernes.
+Dirigida por {n}|Guion: {n}|Subtitulado por {n}|Traducido por {r}|Música de {n}|Con {n} como el abogado|{N}: {s}|[{n} se ríe]|({n} tose)|{n}... ¿eres tú?|Hola, {n}. Siéntese.|{s} {n} lo sabe.|Mi marido, {n}, duerme.|Paciente: {r}|¿Y quién es {n}?|¡Gracias, {n}!
+Mi correo: {e}|Nos encuentra en {e} o por carta.|{e}|¿Preguntas? {e}|Responda hoy a {e}.|Es {e}, todo en minúsculas.|Comentarios a {e} {s}
+Mi teléfono: {p}.|Marque el {p}.|En el {p}, día y noche.|Móvil {p}|{p}. ¿Lo tienes?|Urgencias: {p}|Fax {p}, teléfono {p}|Prueba con {p}. {s}
+El número del pasaporte es {i}.|NIF {i}|¿Su número de la seguridad social? - {i}.|Carné de identidad {i}|Permiso número {i}|Tarjeta sanitaria: {i}
+Nos mudamos a {a}.|La casa está en {a}.|Nos vemos en {a}, a las diez.|Entregue esto en {a}.|{a}|¡Lléveme a {a}!|Nuestra oficina: {a}|Dirección: {a}|¿Es {a}? {s}""",
 }
 PLAIN = {
-    "en": """[♪ slow accordion ♪]|[PHONE BUZZES]|(THUNDER RUMBLES)|[distant siren]|(both laugh)|♪ la la la ♪|Captain Vosk, sir!|Mara and Tobin, come!|Doctor Vosk will see you.|The Grey Lantern sails at noon.|Low Quenby Station.|The Brackenhill Gazette, page 3.|The Aldersedge Bank is closed.|Bus 44 to Port Merrin.|MARA: Over here.|Room 12, second floor.|Case number 4471-22, sealed.
-Reel 7, frame 001245.|It cost 1,250,000 crowns.|Version 2.10.4 (build 20240117)|Flight 2207 leaves at 18:45.|Invoice 2024-1187-03 is unpaid.|Channel 5, at 555 metres.|Press 1 for cargo, 2 for mail.|At 5.30, at 7.15 and at 9.|See you at nine, at the corner.|Follow @nightcrew for more.|-= Ripped by @quartzlamp =-
-Support us and become a VIP member: cuepool.example/vip|x = 3.14159e-10;|100 %|Synced and corrected by team nightcrew|Subtitles fetched from www.cuepool.example|The copper dictionary blames the wooden lantern beside the vacant radio.|Look, the honest goose follows the rusty cabinet again and again.|- Wait. - Really?|You again?|Who's there?""",
-    "de": """[♪ langsame Musik ♪]|[♪ fröhliche Lieder ♪]|(flüstert)|Ilse, warte!|Der Zug nach Hallbrück.|Flug 2207 um 18.45 Uhr.|Rechnung 2024-1187-03 ist offen.|Zimmer 12, zweiter Stock.|Das kostet 1.250.000 Kronen.|Akte 4471-22, versiegelt.|Hier könnte Ihre Werbung stehen|Werde VIP-Mitglied: cuepool.example/vip|Angepasst von Team nightcrew|Untertitel von www.cuepool.example
-[Sirene in der Ferne]|[Tür knarrt]|Die gelben Schneider bewachen die stillen Keller ohne die fernen Flure!|Natürlich die salzigen Hämmer tauschen die hohlen Laternen?|Die geliehenen Klaviere verfolgen die sturen Brunnen jeden Donnerstag.|- Danke schön. - Wer ist da?|Schon wieder du?|Wirklich? Nicht heute.""",
-    "fr": """[♪ accordéon ♪]|(il chuchote)|Odile, attends !|Le train pour Vaubrelle.|Facture 2024-1187-03 impayée.|Chambre 12, deuxième étage.|Dossier 4471-22, scellé.|Vol 2207 à 18 h 45.|Devenez membre VIP : cuepool.example/vip|Sous-titres : www.cuepool.example|[la porte grince]|Les moulins lointains oublient les horlogers brisés sous les phares anciens!|Qui est là ? Attends.
-Bien sûr, les jardiniers jaunes comptent les vélos peints chez les boulangers cachés.|- Merci. - Pas ce soir.|Écoute, les voiliers creux portent les glaciers honnêtes.""",
-    "es": """[♪ música lenta ♪]|(susurra)|¡Pilar, espera!|El tren a Puertoluz.|Vuelo 2207 a las 18:45.|Factura 2024-1187-03 sin pagar.|Habitación 12, segundo piso.|Expediente 4471-22.|Hazte VIP: cuepool.example/vip|Subtítulos de www.cuepool.example|Los carros pintados cuentan los imanes cansados hacia los pianos amarillos?|Mañana los jardineros rotos cambian los paquetes verdes.
-Y sin embargo los tambores mudos llevan los faroles huecos.|- Gracias. - Espera.|¿Quién es? No es nada.""",
+    "en": """{o}|{o} is closed.|Welcome to {o}.|We met at {o}.|{t} {f}, sir!|The {o} leaves at {d}.|{o}, {d}|No, {g}, no!|Mom, {g} is crying!|{g}, come here!|{g} and {g} are late.|{t} {f} will see you now.|{t} {f}!|{G}: {s}|Goodbye, {g}.|The {w} Hotel is full.|{f} & Sons, established {d}|{f} Insurance Company|{w} United won again.|The train to {w} leaves at {d}.|Welcome to {w}!|West {w}, {d} miles|[door slams]|(music playing)|[{g} sighs]|[GUNSHOT]|♪ {s} ♪|♪♪|Page {d}, chapter {d}.|Flight {d} is boarding.|That'll be {d} dollars.|{d} percent|Score: {d}-{d}
+Order number {d}|Version {d} (build {d})|Room {d}, at the end of the hall.|Subtitles: team {w}|Downloaded from www.{x}.com|Visit {x}.net for more|Follow us: @{x}|On {d} March {d}|Platform {d}, gate {d}|Serial number {d}|Reference {d}-{d}|Twenty {d} times, I said.|The {f} Tribune|Lake {f}, population {d}|What time is it? - Half past {d}.|Inspector {f}, homicide.|Saint {g} Church|The {f} case is closed.|We have one, two, three tickets left.""",
+    "de": """{o}|{o} ist geschlossen.|Willkommen, {o}.|Wir waren bei {o}.|{o}, {d}|Nein, {g}, nein!|{g}, komm her!|{g} und {g} sind spät dran.|{t} {f} empfängt Sie jetzt.|{t} {f}!|{G}: {s}|Tschüss, {g}.|Das Hotel {w} ist voll.|{f} & Söhne, seit {d}|{f} Versicherung|{w} hat wieder gewonnen.|Der Zug nach {w} fährt um {d}.|Willkommen in {w}!|[Tür knallt]|(Musik spielt)|[{g} seufzt]|♪ {s} ♪|Seite {d}, Kapitel {d}.|Flug {d} ist bereit.|Das macht {d} Euro.|{d} Prozent|Spielstand {d}:{d}
+Bestellung {d}|Version {d}|Zimmer {d}, ganz hinten.|Untertitel: Team {w}|Heruntergeladen von www.{x}.de|Am {d}. März {d}|Gleis {d}|Aktenzeichen {d}/{d}|Die {f} Zeitung|Kommissar {f}, Mordkommission.|Der Fall {f} ist erledigt.|Ein, zwei, drei Karten noch.""",
+    "fr": """{o}|{o} est fermé.|On était à {o}.|{o}, {d}|Non, {g}, non !|{g}, viens ici !|{g} et {g} sont en retard.|{t} {f} va vous recevoir.|{t} {f} !|{G} : {s}|Au revoir, {g}.|L'hôtel {w} est complet.|{f} et fils, depuis {d}|Assurances {f}|{w} a encore gagné.|Le train pour {w} part à {d} h.|Bienvenue à {w} !|[une porte claque]|(musique)|[{g} soupire]|♪ {s} ♪|Page {d}, chapitre {d}.|Vol {d}, embarquement.|Ça fait {d} euros.|{d} pour cent|Score : {d} à {d}
+Commande {d}|Version {d}|Chambre {d}, au fond.|Sous-titres : équipe {w}|Téléchargé sur www.{x}.fr|Le {d} mars {d}|Quai {d}|Référence {d}-{d}|Le journal {f}|Commissaire {f}, brigade criminelle.|L'affaire {f} est close.|Il reste un, deux, trois billets.""",
+    "es": """{o}|{o} está cerrado.|Estábamos en {o}.|{o}, {d}|¡No, {g}, no!|{g}, ¡ven aquí!|{g} y {g} llegan tarde.|{t} {f} le recibe ahora.|¡{t} {f}!|{G}: {s}|Adiós, {g}.|El hotel {w} está lleno.|{f} e hijos, desde {d}|Seguros {f}|El {w} ganó otra vez.|El tren a {w} sale a las {d}.|¡Bienvenidos a {w}!|[portazo]|(música)|[{g} suspira]|♪ {s} ♪|Página {d}, capítulo {d}.|Vuelo {d}, embarque.|Son {d} euros.|{d} por ciento|Marcador: {d} a {d}
+Pedido {d}|Versión {d}|Habitación {d}, al fondo.|Subtítulos: equipo {w}|Descargado de www.{x}.es|El {d} de marzo de {d}|Andén {d}|Referencia {d}-{d}|El diario {f}|Inspector {f}, homicidios.|El caso {f} está cerrado.|Quedan uno, dos, tres billetes.""",
+}
+# Fixed values, by language: words of everyday sentences - links, adjectives, nouns, verbs.
+WORDS = {
+    "en": ("the a this that my your his her our no every some and but with without for from under near of in on at to", "big small old new good bad red black early late warm cold easy happy quiet loud heavy empty strange broken wet fast", "dog car table night friend water school letter window street money phone story garden teacher door city game chair boat doctor river morning dinner picture train", "sees wants knows takes finds opens likes needs has makes remembers loses brings closes is was runs waits sleeps talks"),
+    "de": ("der die das ein eine mein dein kein und aber mit ohne für von unter bei in auf zu nicht auch", "große kleine alte neue gute schlechte rote schwarze frühe späte warme kalte leichte frohe laute leere schwere seltsame nasse schnelle", "Hund Auto Tisch Nacht Freund Wasser Schule Brief Fenster Straße Geld Stimme Garten Lehrer Tür Stadt Spiel Stuhl Boot Arzt Fluss Morgen Essen Bild Zug", "sieht will kennt nimmt findet öffnet mag braucht hat macht vergisst verliert bringt schließt ist war läuft wartet schläft redet"),
+    "fr": ("le la les un une mon ta son et mais avec sans pour de sous près dans sur à pas aussi", "grand petit vieux nouveau bon mauvais rouge noir facile heureux calme lourd vide étrange cassé mouillé rapide chaud froid tardif", "chien voiture table nuit ami eau école lettre fenêtre argent histoire jardin porte ville jeu chaise bateau médecin rivière matin dîner image train voix", "voit veut connaît prend trouve ouvre aime cherche a fait oublie perd apporte ferme est était court attend dort parle"),
+    "es": ("el la los una un mi tu su y pero con sin para de bajo cerca en sobre a no también", "grande pequeño viejo nuevo bueno malo rojo negro fácil feliz tranquilo pesado vacío extraño roto mojado rápido caliente frío tarde", "perro coche mesa noche amigo agua escuela carta ventana dinero historia jardín puerta ciudad juego silla barco médico río mañana cena foto tren voz", "ve quiere conoce toma encuentra abre busca tiene hace olvida pierde trae cierra es era corre espera duerme habla"),
 }
-# Words of invented plain sentences (article, adjectives, nouns, verbs, links), and words of other scripts.
-FILLER = {
-    "en": ("The the", "copper honest rusty vacant tangled gentle folded amber crooked sunken distant weary brittle hidden salty", "dictionary lantern radio goose cabinet bicycle windmill schooner pigeon quarry fountain orchard carpenter telescope", "blames follows examines carries forgets buries counts envies repairs guards whispers~to", "beside against along toward beneath without across past"),
-    "de": ("Die die", "gelben stillen fernen salzigen hohlen geliehenen sturen gefrorenen rostigen samtenen müden krummen", "Schneider Keller Flure Hämmer Laternen Klaviere Brunnen Gänse Schreiner Puppen Magnete Bäcker Fähren", "bewachen tauschen verfolgen vergessen zeichnen jagen beneiden prüfen verstecken", "ohne gegen über neben durch auf zwischen hinter"),
-    "fr": ("Les les", "lointains brisés anciens jaunes peints cachés creux honnêtes têtus polis étroits gelés", "moulins horlogers phares jardiniers vélos boulangers voiliers glaciers rideaux miroirs tailleurs", "oublient comptent portent changent envient mesurent dessinent défendent traînent", "sous chez malgré derrière contre après dans vers"),
-    "es": ("Los los", "pintados amarillos rotos verdes mudos huecos tercos lejanos helados oxidados frágiles honestos", "carros imanes pianos jardineros paquetes tambores faroles barcos sastres cuadernos puentes", "cuentan cambian llevan prometen siguen miran acusan reparan sueñan guardan", "hacia contra sobre tras bajo entre desde según"),
+
+# Fixed values, by language: what makes a name that of a place, a firm or a thing, before or after it; and other words with a capital.
+ORGANS = {
+    "en": "The _ Hotel|The _ Post|_ Station|_ Bank|_ Airport|University of _|Mount _|_ River|_ Bridge|_ City|_ Brothers|_ & Co.|_ Museum|Port _|Fort _|The _ Foundation|_ Rovers|_ Elementary School|Cafe _|The _ Inn|_ Island|Low _ Station|Upper _|Old _ Station|The _ Times|_ High School|_ Square|_ Mill|The _ Club|_ Street Station|_ Gazette|_ Motors|_ Theatre|Radio _|Hotel _",
+    "de": "Hotel _|Der _ Bote|Bahnhof _|Bank _|Flughafen _|Universität _|_-Brücke|_ GmbH|_ AG|Museum _|Schloss _|_ Stiftung|FC _|Café _|Insel _|Gasthaus _|Radio _",
+    "fr": "Hôtel _|Le Courrier de _|Gare de _|Banque _|Aéroport de _|Université de _|Mont _|Pont de _|Musée _|Château de _|Fondation _|Café _|Île de _|Olympique _|Radio _|Établissements _",
+    "es": "Hotel _|El Diario de _|Estación de _|Banco _|Aeropuerto de _|Universidad de _|Monte _|Puente de _|Museo _|Castillo de _|Fundación _|Café _|Isla de _|Real _|Radio _|Hermanos _",
 }
-SCRIPTS = ("кто там снова тихий старый дождь лодка мост письмо город фонарь идёт молчит вечером ничего подожди", "ποιος είναι περίμενε σιωπή βροχή πάλι νύχτα γράμμα βάρκα παλιά φανάρι μόνος", "من هناك انتظر رسالة فانوس قديم الليل قارب هادئ مطر جسر مرة", "だれ 静かな 夜 雨 手紙 橋 の 見える 灯台 古い もう一度 ありがとう 待って ですか が あります")
-
-STREETS_EN = ("Sparrow|Ropewalk|Tallowmere|Candlewright|Long Acre|Upper Fennel|Old Foundry|Mill|Gull|Heron|Marrow|Brackenhill|Tinker's|Saint Orrin's", "Lane|Street|St.|Road|Rd|Row|Court|Close|Terrace|Hill|Ave|Blvd")
-STREETS_DE = ("Hasel|Kessel|Kupfer|Birn|Laternen|Nebel|Seiler|Linden|Möwen|Glocken|Krummweiden|Fähr", "straße|str.|weg|gasse|ufer|platz|damm|-Allee")
-STREETS_FR = ("rue|quai|impasse|avenue|place|chemin|bd|allée", "du Puits-Sec|de la Forge|des Ormeaux|des Cordiers|de l'Écluse|du Vieux-Moulin|Verte|Basse|aux Grives")
-STREETS_ES = ("Calle|C/|Avenida|Avda.|Paseo|Plaza|Camino", "Mayor Vieja|Cordeleros|del Muelle|de la Noria|de los Faroles|de la Garza|del Pozo|del Olmo Seco|San Ormedo|Nueva")
-TOWNS = {
-    "en": ("Alder|Brin|Winder|Mossel|Tarrow|Staver|Quen|Hock", "by|ness|mouth|combe|sedge|wick"),
-    "de": ("Unter|Ober|Neu|Groß|Kalt|Hall|Moor", "quell|moorstadt|see|hagen|brück|feld"),
-    "fr": ("Vau|Clair|Fon|Liss|Bel|Mont|Ner|Roque", "brelle|nay|val|eaux|tour|ormes"),
-    "es": ("Torre|Ribera|Cala|Villa|Puerto|Peña|Alcor|Mira", "vieja|negra|luz|armeda|bín|seca"),
+CAPITALS = {
+    "en": "Monday Friday Christmas Easter English French God America London Europe Paris TV FBI OK December",
+    "de": "Montag Freitag Weihnachten Ostern Gott Europa Berlin Amerika Paris TV Polizei OK Dezember",
+    "fr": "Noël Pâques Dieu Europe Paris Amérique Londres Français TV OK Allemagne",
+    "es": "Navidad Dios Europa Madrid América Londres París Alemania TV OK",
 }
-DIGITS = {
-    "en": "oh one two three four five six seven eight nine",
-    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+
+# Fixed values, by language: words that say what a number or a line is - an identity number, a phone, mail, an address; then nouns that other numbers follow.
+CUES = {
+    "en": {
+        "i": "passport number|social security number|SSN|tax number|national insurance number|identity card|ID number|driver's licence|insurance number|ID card no.|social security|ID|ID|identification|papers|passport|passport|insurance|residence permit|personal number|tax ID|national ID|social security number is|insurance no.",
+        "p": "phone number|phone|number|mobile|call|telephone|dial|cell|ring me at|reach me on|tel.|hotline",
+        "e": "e-mail|mail|write to|email address|contact|send it to|address|reply to|errors to",
+        "a": "address|lives at|moved to|located at|house at|deliver to|go to|home is|driving to|send it to|taxi to",
+        "d": "Invoice|Case|File|Room|Bus|Channel|Reel|Gate|Box|Unit|Article|Season|Episode|Track|Level|Highway|Flight|Order|Ticket|Version|Serial number|Reference|Batch|Floor|Frame|Model|Barcode|Tracking code|Account|Lot|Cell block|Line",
+        "open": "Perhaps|Maybe|Then|Now|Today|Yesterday|Tomorrow|Meanwhile|Suddenly|Surely|Only|Even|With|And|But|So|Because|When|Featuring|Starring|Introducing|Voice of|Based on a book by|Story by|Look,|Listen,|Well,|Is|Was|Did|Mister",
+        "after": "please|now|thanks|right away|okay|at nine|tomorrow|sir|quickly",
+    },
+    "de": {
+        "i": "Passnummer|Sozialversicherungsnummer|Steuernummer|Steuer-ID|Personalausweis|Ausweisnummer|Führerschein|Versicherungsnummer|Rentennummer|Versicherung|Ausweis|Ausweis|Pass|Reisepass|Steuernummer ist|Versichertennummer|Kennnummer|ID|Personalnummer",
+        "p": "Telefonnummer|Telefon|Nummer|Handy|ruf an|wähl|Tel.|erreichbar unter|Rufnummer",
+        "e": "E-Mail|Mail|schreib an|Mailadresse|Kontakt|schick es an|Antwort an|Fehler an",
+        "a": "Adresse|wohnt in der|gezogen in die|Haus in der|liefern an|fahr zur|Anschrift|Paket an|Taxi zur",
+        "d": "Rechnung|Akte|Zimmer|Bus|Kanal|Gleis|Kiste|Artikel|Staffel|Folge|Stufe|Flug|Auftrag|Version|Seriennummer|Etage|Modell|Sendungsnummer|Konto|Los|Linie",
+        "open": "Vielleicht|Dann|Jetzt|Heute|Gestern|Morgen|Plötzlich|Sicher|Nur|Sogar|Mit|Und|Aber|Also|Weil|Wenn|Es spielt|Sprecher:|Nach einem Buch von|Stimme von|Schau,|Hör zu,|Ist|War|Hat|Gesprochen von|Ein Film von",
+        "after": "bitte|jetzt|danke|sofort|gut|um neun|morgen|schnell",
+    },
+    "fr": {
+        "i": "numéro de passeport|numéro de sécurité sociale|sécu|numéro fiscal|carte d'identité|pièce d'identité|permis de conduire|numéro d'assuré|passeport|sécurité sociale|identité|passeport n°|numéro national|titre de séjour|identifiant fiscal|ID|carte d'identité",
+        "p": "numéro de téléphone|téléphone|numéro|portable|appelez le|composez le|tél.|joignable au|ligne directe",
+        "e": "e-mail|mail|écrivez à|adresse mail|contact|envoyez à|réponse à|erreurs à",
+        "a": "adresse|habite au|déménagé au|située|maison au|livrer au|va au|colis pour le|taxi pour le",
+        "d": "Facture|Dossier|Chambre|Bus|Chaîne|Quai|Boîte|Article|Saison|Épisode|Niveau|Vol|Commande|Version|Numéro de série|Étage|Modèle|Suivi|Compte|Lot|Ligne",
+        "open": "Peut-être|Alors|Maintenant|Aujourd'hui|Hier|Demain|Soudain|Même|Avec|Et|Mais|Donc|Parce que|Quand|Voix de|D'après un livre de|Texte de|Un film de|Traduction de|Regarde,|Écoute,|Est-ce que|Chez|Pour",
+        "after": "s'il vous plaît|maintenant|merci|tout de suite|d'accord|à neuf heures|demain|vite",
+    },
+    "es": {
+        "i": "número de pasaporte|número de la seguridad social|NIF|número fiscal|carné de identidad|documento de identidad|permiso de conducir|número de asegurado|pasaporte|DNI|DNI|afiliado|seguridad social|identidad|documento|NIE|permiso de residencia|ID|carné",
+        "p": "número de teléfono|teléfono|número|móvil|llame al|marque el|tel.|localizable en el|línea directa",
+        "e": "e-mail|correo|escriba a|dirección de correo|contacto|envíelo a|respuesta a|errores a",
+        "a": "dirección|vive en|mudado a|situada en|casa en|entregar en|vaya a|paquete para|taxi a",
+        "d": "Factura|Expediente|Habitación|Autobús|Canal|Andén|Caja|Artículo|Temporada|Episodio|Nivel|Vuelo|Pedido|Versión|Número de serie|Piso|Modelo|Envío|Cuenta|Lote|Línea",
+        "open": "Quizás|Entonces|Ahora|Hoy|Ayer|Mañana|De repente|Solo|Hasta|Con|Y|Pero|Así que|Porque|Cuando|Voz de|Basada en un libro de|Texto de|Una película de|Traducción de|Mira,|Oye,|¿Es|¿Y|Para|Según",
+        "after": "por favor|ahora|gracias|enseguida|vale|a las nueve|mañana|rápido",
+    },
+}
+
+# Parts of street addresses.
+STREETS_EN = ("Church|Station|Park|Victoria|Bridge|Oak|Maple|Cedar|Queen's|North|High|Garden|Washington|School|Market|Lower Green|Old Post|St. James'", "Street|St.|Road|Rd.|Rd|Avenue|Ave|Lane|Drive|Dr.|Court|Boulevard|Blvd|Square|Place|Way|Terrace|Close|Crescent|Row|Hill")
+STREETS_DE = ("Haupt|Bahnhof|Schul|Garten|Berg|Wald|Kirch|Markt|Goethe|Rosen|Wiesen|Schiller|Brunnen|Post|Burg|Tannen|Industrie", "straße|str.|weg|gasse|platz|allee|ring|ufer|damm|-Straße|steig|hof|chaussee")
+STREETS_FR = ("rue|avenue|boulevard|bd|av.|place|impasse|allée|chemin|quai|passage|cours", "de la République|Victor-Hugo|des Fleurs|de la Gare|du Moulin|Saint-Michel|des Écoles|Pasteur|de Paris|du Port|des Lilas|Neuve|Haute|du Général-Leclerc|de l'Église")
+STREETS_ES = ("Calle|C/|Avenida|Avda.|Av.|Plaza|Paseo|Camino|Ronda|Travesía", "Mayor|Real|del Sol|de la Constitución|San Juan|de las Flores|Cervantes|de la Paz|Nueva|del Carmen|de Madrid|Colón|Santa Ana|del Río|de los Reyes")
+TOWN_ENDS = {"en": "ton ham ford bury port field ville by mouth wood", "de": "burg stadt dorf heim hausen berg bach au furt ingen", "fr": "ville court mont bourg y ac gny sur-Mer lac champs", "es": "illa ejo osa anca ares uela eda edo illo alba"}
+TOWN_FIRST = {"en": "New Great Port North Saint", "de": "Bad Neu Alt Sankt Groß", "fr": "Saint- Le La Mont- Villeneuve", "es": "San Santa Villa La Puerto"}
+SPOKEN = {
+    "en": "zero/oh one two three four five six seven eight nine",
+    "de": "null eins zwei/zwo drei vier fünf sechs sieben acht neun",
     "fr": "zéro un deux trois quatre cinq six sept huit neuf",
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
+#: Names of the digits by language, in order.
+DIGITS = {k: " ".join(w.split("/")[0] for w in v.split()) for k, v in SPOKEN.items()}
+SPELLED = frozenset(x for v in SPOKEN.values() for w in v.split() for x in w.split("/"))
 PHONES = {
-    "en": "212-555-0###|(808) 555-0###|617.555.0###|555-0###|+44 1632 960 ###|+44 (0)1632 960###|01632 960###|01632 960 ###|+1 415 555 0###|808-555-0###|303 555 0###",
-    "de": "030 23125 ###|+49 30 23125###|+49 (0)89 99998 ###|(0)69 90009 ###|069/90009###|0049-30-23125-###|089 99998###",
-    "fr": "06-39-98-##-##|06.39.98.##.##|063998####|+33 1 99 00 ## ##|01 99 00 ## ##|+33 6 39 98 ## ##|0033 1 99 00 ## ##",
-    "es": "900 000 ###|900-00-##-00|+34 900 00 ## ##|(+34) 900000###|900 00 ## ##|900000###|0034 900 000 ###",
+    "en": "###-###-####|(###) ###-####|###.###.####|###-####|+1 ### ### ####|+44 #### ######|+44 (0)#### ######|0#### ######|0## #### ####|1-800-###-####|### ####|### ### ###",
+    "de": "0## #######|0### ######|+49 ## ########|+49 (0)### ######|(0##) ########|0##/#######|0049-##-#######|0### ## ## ##|0##-######",
+    "fr": "0# ## ## ## ##|0#.##.##.##.##|0#-##-##-##-##|0#########|+33 # ## ## ## ##|0033 # ## ## ## ##|+33 (0)# ## ## ## ##",
+    "es": "### ### ###|### ## ## ##|#########|+34 ### ### ###|(+34) #########|0034 ### ### ###|###-##-##-##|+34 ### ## ## ##",
 }
+#: Forms of identity numbers: # a digit, A a letter.
 IDS = {
-    "en": "9##-##-####|000 ## ####|X00######|QQ######B|QQ ## ## ## C|000-##-####",
-    "de": "T000#####|00 99#### Z ###|00 ### ### ###|0099####Z###|T00######",
-    "fr": "1 ## 99 00 ### ###|2##990#######|00ZZ#####|2 ## 99 00 ### ###|1##9900######",
-    "es": "X00#####-I|0000####-U|00.###.###-O|ZZZ######|00######-O",
+    "en": "###-##-####|### ## ####|A########|AA######A|AA ## ## ## A|#########|AAAAA######AA#AA|A##-###-###",
+    "de": "## ### ### ###|A########|##########|## ###### A ###|########A###|A######A#|AAA######",
+    "fr": "# ## ## ## ### ### ##|# ## ## ## ### ###|#############|##AA#####|# ## ## ### ### ###|AA#######",
+    "es": "########-A|########A|A#######-A|A#######A|AAA######|##.###.###-A|##/########/##",
 }
 FULL_WIDTH = str.maketrans("0123456789", "０１２３４５６７８９")
-MISREAD = {"o": "0", "O": "0", "l": "1I", "i": "1l", "I": "l1", "e": "c", "c": "e", "t": "f", "u": "ii", "m": ["rn"], "w": ["vv"], "S": "5", "s": "5", "B": "8", "b": "h", "h": "b", "n": "ri", "0": "O", "1": "lI", "5": "S", "8": "B", "rn": "m"}
-
-
-def _pattern(rng: random.Random, text: str) -> str:
-    return "".join(str(rng.randrange(10)) if c == "#" else c for c in text)
-
-
-def _family(rng: random.Random, lang: str) -> str:
-    if rng.random() < 0.25:
-        body = "".join(rng.choice("b d f g h k l m n p r s t v z br gr st tr kl sch th".split()) + rng.choice("a e i o u ä ö é au ei ie ou".split()) for _ in range(rng.randint(1, 3)))
-        return (body + rng.choice(["", "n", "r", "s", "ck", "tt", "ner", "son", "ez", "ard"])).capitalize()
-    stem, end = rng.choice(STEMS.split()), rng.choice(ENDINGS[lang].split())
-    return stem + (rng.choice(["", "", "e", "en"]) if lang == "de" and end[0] not in "öüe" else "") + end
-
-
-def _name(rng: random.Random, lang: str, reverse: bool = False) -> str:
-    lang = lang if rng.random() < 0.8 else rng.choice(list(GIVEN))
-    given, family = rng.choice(GIVEN[lang].split()), _family(rng, lang)
-    if rng.random() < 0.12:
-        family += "-" + _family(rng, rng.choice([lang, rng.choice(list(GIVEN))]))
-    if rng.random() < 0.12:
-        family = rng.choice(PARTICLES[lang]) + " " + family
-    if rng.random() < 0.14:
-        given += f" {rng.choice('ABCDEGHJKLMNPRST')}."
-    return f"{family}, {given}" if reverse else f"{given} {family}"
-
-
-def _ascii(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.replace("ß", "ss")) if ord(c) < 128 and (c.isalnum()))
-
-
-def _email(rng: random.Random, lang: str) -> str:
-    given, family = _ascii(rng.choice(GIVEN[lang].split())).lower(), _ascii(_family(rng, lang)).lower()
-    number = str(rng.randrange(2, 99))
-    local = rng.choice([f"{given}.{family}", f"{given}_{family[:4]}{number}", f"{family}+subs", f"{given[0]}{family}", f"{family}{number}", f"{given}.{family}{number}"])
-    domain = rng.choice(["post", "mailbox", "cue-mail", "subs", "lettera", "web-box"]) + "." + rng.choice(["example", "test", "invalid", "example.org", "example.net", "example.com"])
-    kind = rng.random()
-    if kind < 0.5:
-        out = f"{local}@{domain}"
-    elif kind < 0.58:
-        out = f"{local} @ {domain}"
-    elif kind < 0.66:
-        out = f"{local}©{domain}"
-    elif kind < 0.75:
-        out = f"{local}(at){domain.replace('.', '(dot)')}"
-    elif kind < 0.83:
-        out = f"{local} [at] {domain}"
-    else:
-        out = f"{local.replace('_', ' underscore ').replace('.', ' dot ').replace('+', ' plus ')} at {domain.replace('.', ' dot ')}"
-    return out.upper() if rng.random() < 0.12 else out
-
-
-def _phone(rng: random.Random, lang: str) -> str:
-    number = _pattern(rng, rng.choice(PHONES[lang].split("|")))
-    kind = rng.random()
-    if kind < 0.14:
-        return " ".join(DIGITS[lang].split()[int(c)] for c in number if c.isdigit())
-    if kind < 0.22:
-        return number.translate(FULL_WIDTH)
-    if kind < 0.32:
-        return number.replace("0", "O").replace("1", rng.choice("1lI"))
-    return number
-
-
-def _town(rng: random.Random, lang: str) -> str:
-    if lang == "en" and rng.random() < 0.1:
-        return "Port Merrin"
-    a, b = TOWNS[lang]
-    return rng.choice(a.split("|")) + rng.choice(b.split("|"))
-
-
-def _address(rng: random.Random, lang: str) -> str:
-    n = str(rng.randrange(1, 300))
-    code = f"00{rng.randrange(1000):03d}"
-    where = rng.random()
-    town = _town(rng, lang)
-    if lang == "en":
-        a, b = STREETS_EN
-        out = f"{n}{rng.choice(['', '', 'b'])} {rng.choice(a.split('|'))} {rng.choice(b.split('|'))}"
-        out += rng.choice(["", ", Flat 2", f", Apt {rng.randrange(2, 40)}"])
-        return out + ("" if where < 0.4 else f", {town}" if where < 0.7 else f", {town} 000{rng.randrange(100):02d}")
-    if lang == "de":
-        a, b = STREETS_DE
-        out = f"{rng.choice(a.split('|'))}{rng.choice(b.split('|'))} {n}{rng.choice(['', 'a'])}"
-    elif lang == "fr":
-        a, b = STREETS_FR
-        out = f"{n}{rng.choice(['', ' bis'])}{rng.choice([' ', ', '])}{rng.choice(a.split('|'))} {rng.choice(b.split('|'))}"
-    else:
-        a, b = STREETS_ES
-        out = f"{rng.choice(a.split('|'))} {rng.choice(b.split('|'))} {rng.choice(['', 'n.º '])}{n}{rng.choice(['', ', 3.º B'])}"
-    return out + ("" if where < 0.4 else f", {town}" if where < 0.65 else f", {code} {town}")
+#: Letters that character recognition confuses.
+MISREAD = {"o": "0", "O": "0", "l": "1I", "i": "1l", "I": "l1", "e": "c", "c": "e", "t": "f", "u": ["ii"], "m": ["rn"], "w": ["vv"], "S": "5", "s": "5", "B": "8", "b": "h", "h": "b", "n": ["ri"], "0": "O", "1": "lI", "5": "S", "8": "B"}
+KINDS = ("email", "phone", "id_number", "address", "name")
+_SLOT = {"n": 5, "r": 5, "N": 5, "e": 1, "p": 2, "i": 3, "a": 4}
+
+
+@lru_cache(None)
+def _pool(text: str, sep: str | None, held_out: bool) -> tuple[str, ...]:
+    """The entries of a list that serve training, or the held-out fifth."""
+    entries = [x for row in text.split("\n") for x in row.split(sep)]
+    return tuple(x for k, x in enumerate(entries) if (k % 5 == 3) == held_out or len(entries) < 5)
+
+
+class _Maker:
+    """Draws names, numbers, addresses and sentences."""
+
+    def __init__(self, rng: random.Random, held_out: bool):
+        self.rng, self.held_out = rng, held_out
+
+    def of(self, text: str, sep: str | None = None) -> str:
+        return self.rng.choice(_pool(text, sep, self.held_out))
+
+    def any(self, text: str, sep: str | None = None) -> str:
+        return self.rng.choice(text.split(sep))
+
+    def syllables(self, lang: str, least: int, most: int) -> str:
+        r = self.rng
+        out = ""
+        for _ in range(r.randint(least, most)):
+            out += ("" if r.random() < 0.12 else self.of(ONSETS)) + self.of(CORES[lang]) + (self.of(CODAS[lang]) if r.random() < 0.45 else "")
+        return out
+
+    def given(self, lang: str) -> str:
+        r = self.rng
+        out = self.of(GIVEN[lang]) if r.random() < 0.55 else (self.syllables(lang, 1, 2) + r.choice(["a", "o", "", "e", "in", "us", "iel", "ie"])).capitalize()
+        return out + "-" + self.of(GIVEN[lang]) if r.random() < 0.03 else out
+
+    def family(self, lang: str) -> str:
+        r = self.rng
+        way = r.random()
+        if way < 0.4:
+            out = self.of(FAMILY[lang])
+        elif way < 0.8:
+            out = (self.syllables(lang, 1, 2) + self.of(FAMILY_ENDS[lang])).capitalize()
+        else:
+            out = self.syllables(lang, 1, 3).capitalize()
+        return out
+
+    def name(self, lang: str, reverse: bool = False) -> str:
+        r = self.rng
+        given, family = self.given(lang), self.family(lang if r.random() < 0.8 else r.choice(LANGS))
+        if r.random() < 0.12:
+            family += ("-" if r.random() < 0.7 else " ") + self.family(lang)
+        if r.random() < 0.13:
+            particle = self.any(PARTICLES[lang], " ") if lang == "en" else self.any({"de": "von|zu|van der|vom", "fr": "de|du|le|de la", "es": "de|de la|del|dos"}[lang], "|")
+            family = f"{particle} {family}"
+        if r.random() < 0.14:
+            given += f" {r.choice('ABCDEFGHIJKLMNOPRSTVW')}."
+        if r.random() < 0.05:
+            given += " " + self.given(lang)
+        if r.random() < 0.03:
+            given = f"{given[0]}. {r.choice('ABCDEJKLMPRST')}." if r.random() < 0.5 else f"{given[0]}."
+        return f"{family}, {given}" if reverse else f"{given} {family}"
+
+    def digits(self, pattern: str) -> str:
+        return "".join(str(self.rng.randrange(10)) if c == "#" else self.rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") if c == "A" else c for c in pattern)
+
+    def email(self, lang: str) -> str:
+        r = self.rng
+        plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.replace("ß", "ss")) if ord(c) < 128 and c.isalnum()).lower()
+        given, family, number = plain(self.given(lang)), plain(self.family(lang)), str(r.randrange(1, 2000))
+        local = r.choice([f"{given}.{family}", f"{given}_{family}", f"{family}.{given}", f"{given[0]}{family}", f"{family}{number}", f"{given}{number}", f"{given}-{family}", f"{family}+{plain(self.syllables(lang, 1, 2))}", f"{given}_{family[:4]}{number}", given, f"{given}.{family}{number}"])
+        host = plain(self.syllables(lang, 1, 3)) + r.choice(["", "", "", "-" + plain(self.syllables(lang, 1, 1)), "mail", "box", "net"])
+        domain = host + "." + r.choice(["com", "org", "net", "de", "fr", "es", "co.uk", "info", "eu", "example", "test", "invalid", "example.com", "example.org", "edu"])
+        kind = r.random()
+        at, dot = "@", "."
+        if kind < 0.08:
+            at = " @ "
+        elif kind < 0.16:
+            at = "©"
+        elif kind < 0.25:
+            at, dot = r.choice([("(at)", "(dot)"), (" (at) ", " (dot) "), ("(at)", "."), ("{at}", "{dot}")])
+        elif kind < 0.33:
+            at, dot = r.choice([(" [at] ", "."), ("[at]", "[dot]"), (" [at] ", " [dot] ")])
+        elif kind < 0.47:
+            at, dot = " at ", " dot "
+            local = local.replace("_", " underscore ").replace(".", " dot ").replace("+", " plus ").replace("-", " dash ")
+        out = local + at + domain.replace(".", dot)
+        return out.upper() if r.random() < 0.12 else out
+
+    def grouped(self) -> str:
+        """Digits of a phone number in groups, with or without a country or area code."""
+        r = self.rng
+        mark = r.choice([" ", " ", "-", ".", "", "/"])
+        head = r.choice(["", "", "", "0", "0", "+## ", "(0##) ", "(###) ", "00##" + mark, "+##" + mark, "(+##) ", "0##/"])
+        body, left = [], r.randint(6, 9)
+        while left > 0:
+            body.append("#" * min(left, r.choice([2, 2, 3, 3, 4])))
+            left -= len(body[-1])
+        return head + mark.join(body)
+
+    def phone(self, lang: str) -> str:
+        r = self.rng
+        number = self.digits(self.any(PHONES[lang], "|") if r.random() < 0.7 else self.grouped())
+        kind = r.random()
+        if kind < 0.15:
+            words = [x.split("/") for x in SPOKEN[lang].split()]
+            said = [r.choice(words[int(c)]) for c in number if c.isdigit()]
+            return r.choice([" ", " ", " ", ", ", "-"]).join(said)
+        if kind < 0.22:
+            return number.translate(FULL_WIDTH)
+        if kind < 0.32:
+            return number.replace("0", "O").replace("1", r.choice("1lI"))
+        return number
+
+    def town(self, lang: str) -> str:
+        out = (self.syllables(lang, 1, 1) + self.any(TOWN_ENDS[lang], " ")).capitalize() if self.rng.random() < 0.7 else self.syllables(lang, 2, 3).capitalize()
+        first = self.any(TOWN_FIRST[lang], " ") if self.rng.random() < 0.15 else ""
+        return first + ("" if first.endswith("-") or not first else " ") + out
+
+    def address(self, lang: str) -> str:
+        r = self.rng
+        n, code = str(r.randrange(1, 400)), self.digits("#####")
+        street = lambda: self.syllables(lang, 1, 2).capitalize() + r.choice(["", "", "er", "s"])
+        a, b = {"en": STREETS_EN, "de": STREETS_DE, "fr": STREETS_FR, "es": STREETS_ES}[lang]
+        if lang == "en":
+            base = self.of(a, "|") if r.random() < 0.5 else street() + ("'s" if r.random() < 0.1 else "")
+            out = f"{n}{r.choice(['', '', '', 'a', 'B'])} {base} {self.any(b, '|')}"
+            out += r.choice(["", "", "", f", Flat {r.randrange(1, 30)}", f", Apt {r.randrange(1, 99)}", f", Apt. {r.randrange(1, 30)}B", f", Suite {r.randrange(1, 400)}"])
+            tail = r.choice(["", "", f", {self.town(lang)}", f", {self.town(lang)} {code}", f", {self.town(lang)}, {self.digits('AA')} {code}", f", {self.town(lang)} {self.digits('AA# #AA')}"])
+            return out + tail
+        if lang == "de":
+            kind = self.any(b, "|")
+            base = self.of(a, "|") if r.random() < 0.5 else street()
+            out = f"{base}{kind} {n}{r.choice(['', '', 'a', ' b'])}" if r.random() < 0.9 else f"{r.choice(['Am', 'An der', 'Im', 'Zum'])} {base.capitalize()} {n}"
+        elif lang == "fr":
+            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "du ", "des ", "de la ", ""]) + street()
+            out = f"{n}{r.choice(['', '', '', ' bis', ' ter'])}{r.choice([' ', ', '])}{self.any(a, '|')} {base}"
+        else:
+            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "del ", "de la ", ""]) + street()
+            out = f"{self.any(a, '|')} {base}{r.choice([' ', ', '])}{r.choice(['', '', 'n.º ', 'nº '])}{n}{r.choice(['', '', ', 3.º B', ', 2º izq.', ', bajo'])}"
+        return out + r.choice(["", "", f", {self.town(lang)}", f", {code} {self.town(lang)}"])
+
+    def number(self) -> str:
+        """A number of any form: counts, times, dates, prices, versions, file numbers."""
+        r = self.rng
+        if r.random() < 0.5:
+            return self.digits(r.choice(["#", "##", "###", "####", "19##", "20##", "#.##", "#:##", "##:##", "##.##", "#,###", "#.###.###", "#,###,###", "##/##/####", "##.##.####", "#.#.#", "#.##.#", "##%", "#.#####e-##", "#e#", "#.####", "####x###", "## h ##", "##h##", "## h", "#e", "##-##-##"]))
+        mark = r.choice(["", "-", "-", "/", ".", " ", ":", "_", "#"])
+        groups = ["#" * r.choice([1, 2, 2, 3, 4, 4, 5, 6, 8]) for _ in range(r.choice([1, 1, 2, 2, 3, 3, 4]))]
+        return self.digits(r.choice(["", "", "", "", "A", "AA", "#A", "AA-", "20##-"]) + mark.join(groups))
+
+    def carried(self, lang: str) -> str:
+        """A frame made on the spot: a slot between random words, after a cue where numbers need one."""
+        r = self.rng
+        cues = CUES[lang]
+        slot = r.choice("nnnnnrNepiaaddddd")
+        few = lambda: " ".join(self.sentence(lang, bare=True).split()[: r.randint(1, 4)])
+        if slot in "nr" and r.random() < 0.45:
+            return f"{self.of(cues['open'], '|')} {{{slot}}} {few() if r.random() < 0.6 else ''}".strip() + r.choice([".", "", "!", "?", "..."])
+        before, after = few() if r.random() < 0.6 else "", few() if r.random() < 0.45 else ""
+        if slot in "piead" and r.random() < (0.55 if slot in "ea" else 0.95):
+            cue = self.of(cues[slot], "|")
+            cue = cue[0].upper() + cue[1:] if r.random() < 0.4 else cue
+            before = (before + " " if before and r.random() < 0.5 else "") + cue + r.choice(["", "", "", ":", ":", " is" if lang == "en" else "", "?", ",", " -"])
+        elif slot == "r":
+            before += ":" if before else ""
+        if r.random() < 0.2:
+            after = ", " + self.of(cues["after"], "|") + r.choice([".", "!", ""])
+        elif after:
+            after = r.choice([" ", " ", " ", ", ", ". ", "? - ", " - "]) + after
+        else:
+            after = r.choice([".", ".", "", "!", "?", ",", "...", ":"]) if slot not in "e" or r.random() < 0.5 else ""
+        if slot == "N" and r.random() < 0.7:
+            before, after = "", ": {s}"
+        frame = f"{before} {{{slot}}}{after}".strip()
+        if r.random() < 0.08:
+            frame = r.choice(["[_]", "(_)", "<i>_</i>", "\"_\"", "♪ _ ♪", "-= _ =-"]).replace("_", frame)
+        return frame[0].upper() + frame[1:] if r.random() < 0.6 else frame
+
+    def decoy(self, lang: str) -> str:
+        """Lines that look like personal data and are none."""
+        r = self.rng
+        _, adjectives, nouns, verbs = WORDS[lang]
+        loud = [self.word(lang) if r.random() < 0.5 else self.of(r.choice([adjectives, nouns, verbs])) for _ in range(r.choice([1, 2, 2, 2, 3]))]
+        caps = " ".join(loud if r.random() < 0.7 else self.sentence(lang, bare=True).split()[: r.randint(1, 4)]).upper()
+        some = lambda t: (self.of(t) if r.random() < 0.5 else self.word(lang)).capitalize()
+        title = {"en": f"The {some(adjectives)} {some(nouns)}", "de": f"{r.choice(['Der', 'Die', 'Das'])} {some(adjectives)} {some(nouns)}", "fr": f"{r.choice(['Le', 'La', 'Les'])} {some(nouns)} {some(adjectives)}", "es": f"{r.choice(['El', 'La', 'Los'])} {some(nouns)} {some(adjectives)}"}[lang]
+        handle = r.choice(["@{x}", "@{x}{x}", "@{x}_{d}", "#{x}", "www.{x}.com", "{x}.net/{x}", "http://{x}.org", "team {x}", "Team {x}"])
+        number = self.of(CUES[lang]["d"], "|") + " {d}"
+        travel = {"en": ["to {w}", "for {w}", "from {w}"], "de": ["nach {w}", "aus {w}"], "fr": ["pour {w}", "à {w}", "de {w}"], "es": ["a {w}", "para {w}", "de {w}"]}[lang]
+        clock = {"en": "at {d}", "de": "um {d}", "fr": "à {d}", "es": "a las {d}"}[lang]
+        lines = {
+            "sound": [f"[{caps}]", f"[{caps}]", f"({caps})", f"({caps})", f"[♪ {caps.lower()} ♪]", f"[{caps.lower()}]", f"({caps.lower()})", f"- [{caps}]", f"[{caps}] {{s}}", caps],
+            "title": [title, f"{title} {self.of(verbs)} {clock}.", f"{title} {self.of(verbs)} {{s}}", f"{{s}} {title}", f"{title}, {{d}}"],
+            "handle": [handle, f"{{s}} {handle}", f"-= {handle} =-", f"-= {some(nouns)} by {handle} =-", f"by {handle}"],
+            "number": [f"{number}, {{s}}", f"{number} {r.choice(travel)}", f"{number} {clock}.", f"{number}.", f"{{s}} {number}", f"{number}, {self.of(adjectives)} {self.of(nouns)}."],
+            "partly": ["{g}, {g}!", "{t} {f}, {s}", "{t} {f}.", "{g}!", "{G}!", "{G}: {s}", "{g} {s}", "{s} {g}.", "{f}, {s}"],
+            "organ": ["{o}", "{o} {s}", "{s} {o}", f"{{o}} {clock}.", "{o}."],
+        }
+        return r.choice(lines[r.choice(list(lines))])
+
+    def organ(self, lang: str) -> str:
+        """A place, a firm or a thing with a name: no person."""
+        r = self.rng
+        own = lambda: self.word(lang).capitalize() if r.random() < 0.5 else self.of(WORDS[lang][1 + r.randrange(2)]).capitalize() if r.random() < 0.5 else self.family(lang)
+        return self.of(ORGANS[lang], "|").replace("_", own() + (" " + own() if r.random() < 0.3 else ""))
+
+    def word(self, lang: str) -> str:
+        return self.syllables(lang, 1, 3)
+
+    def sentence(self, lang: str, bare: bool = False) -> str:
+        """A sentence of everyday or made words; ``bare`` without names, capitals and marks."""
+        r = self.rng
+        links, adjectives, nouns, verbs = WORDS[lang]
+        made = r.random() < 0.5
+
+        def pick(text: str) -> str:
+            if made and text is not links and r.random() < 0.8:
+                out = self.word(lang)
+                return out.capitalize() if lang == "de" and text is nouns else out
+            return self.of(text)
+
+        def phrase() -> list[str]:
+            noun = [pick(nouns)]
+            if r.random() < 0.6:
+                noun = [pick(adjectives), *noun] if lang in ("en", "de") else [*noun, pick(adjectives)]
+            return [self.of(links), *noun]
+
+        words = phrase() + [pick(verbs)] + phrase() + (([self.of(links)] if r.random() < 0.4 else []) + phrase() if r.random() < 0.5 else [])
+        if bare:
+            return " ".join(words)
+        if r.random() < 0.15:
+            named = r.choice([self.organ, self.town, self.given, lambda x: self.of(CAPITALS[x]), lambda x: f"{self.any(TITLES[x])} {self.family(x)}"])(lang)
+            words.insert(r.randrange(len(words) + 1), named)
+        if r.random() < 0.25:
+            words = words[r.randrange(len(words)) :]
+        if r.random() < 0.2:
+            words = words[: r.randint(1, 3)]
+        text = " ".join(words)
+        if r.random() < 0.8:
+            text = text[0].upper() + text[1:]
+        if r.random() < 0.1:
+            text = text.replace(" ", ", ", 1)
+        mark = r.choice([".", ".", ".", "!", "?", "...", "…", ""])
+        return ("¿" if lang == "es" and mark == "?" else "¡" if lang == "es" and mark == "!" else "") + text + (" " if lang == "fr" and mark in ("!", "?") else "") + mark
+
+    def script(self) -> str:
+        """Words of other scripts: letters drawn from a range."""
+        r = self.rng
+        low, high, longest = r.choice([(0x430, 0x44F, 9), (0x3B1, 0x3C9, 9), (0x627, 0x64A, 8), (0x3042, 0x3093, 6), (0x4E00, 0x9000, 4), (0x5D0, 0x5EA, 7), (0xAC00, 0xD000, 4), (0x915, 0x939, 6)])
+        words = ["".join(chr(r.randint(low, high)) for _ in range(r.randint(1, longest))) for _ in range(r.randint(1, 8))]
+        if low in (0x430, 0x3B1):
+            words = [w.capitalize() if r.random() < 0.25 else w for w in words]
+        return " ".join(words) + r.choice(["", ".", "?", "…", "!"])
+
+    def fill(self, lang: str, frame: str) -> tuple[str, list[int]]:
+        text, labels = "", []
+        while "{" in frame:
+            before, _, rest = frame.partition("{")
+            slot, frame = rest[0], rest[2:]
+            text, labels = text + before, labels + [0] * len(before)
+            value = {
+                "n": lambda: self.name(lang), "r": lambda: self.name(lang, True), "N": lambda: self.name(lang).upper(), "g": lambda: self.given(lang), "G": lambda: self.given(lang).upper(),
+                "f": lambda: self.family(lang), "t": lambda: self.any(TITLES[lang]), "e": lambda: self.email(lang), "p": lambda: self.phone(lang), "i": lambda: self.digits(self.any(IDS[lang], "|")),
+                "a": lambda: self.address(lang), "w": lambda: self.town(lang), "d": self.number, "s": lambda: self.sentence(lang), "x": lambda: self.word("en"), "o": lambda: self.organ(lang),
+            }[slot]()
+            kind = _SLOT.get(slot, 0)
+            labels += [2 * kind - 1] + [2 * kind] * (len(value) - 1) if kind else [0] * len(value)
+            text += value
+        return text + frame, labels + [0] * len(frame)
 
 
 def _damage(rng: random.Random, text: str, labels: list[int]) -> tuple[str, list[int]]:
     """Misread letters, wrong encodings, lost accents or capitals; labels follow their characters."""
     kind = rng.random()
-    if kind < 0.70:
+    if kind < 0.68:
         return text, labels
     out: list[str] = []
     own: list[int] = []
@@ -193,12 +457,12 @@ def _damage(rng: random.Random, text: str, labels: list[int]) -> tuple[str, list
         out.append(piece)
         own.extend([label] + [label + 1 if label % 2 else label] * (len(piece) - 1))
 
-    if kind < 0.82:
-        rate = rng.choice([0.03, 0.08])
+    if kind < 0.81:
+        rate = rng.choice([0.05, 0.15])
         for c, label in zip(text, labels):
             swap = MISREAD.get(c)
-            put(rng.choice(list(swap)) if swap and rng.random() < rate * 2 else c, label)
-    elif kind < 0.92:
+            put(rng.choice(list(swap)) if swap and rng.random() < rate else c, label)
+    elif kind < 0.91:
         way = rng.random()
         for c, label in zip(text, labels):
             if ord(c) < 128:
@@ -211,7 +475,7 @@ def _damage(rng: random.Random, text: str, labels: list[int]) -> tuple[str, list
                 put("�" if way < 0.6 else "?", label)
             else:
                 put(c.encode("cp1252", "replace").decode("cp1251", "replace"), label)
-    elif kind < 0.97:
+    elif kind < 0.95:
         for c, label in zip(text, labels):
             put("".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) or c, label)
     else:
@@ -220,60 +484,27 @@ def _damage(rng: random.Random, text: str, labels: list[int]) -> tuple[str, list
     return "".join(out), own
 
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-_SLOT = {"n": 5, "r": 5, "U": 5, "e": 1, "p": 2, "i": 3, "a": 4}
-
-
-def _fill(rng: random.Random, lang: str, line: str) -> tuple[str, list[int]]:
-    text, labels = "", []
-    while "{" in line:
-        before, _, rest = line.partition("{")
-        slot, line = rest[0], rest[2:]
-        text, labels = text + before, labels + [0] * len(before)
-        value = {
-            "n": lambda: _name(rng, lang), "r": lambda: _name(rng, lang, True), "U": lambda: _name(rng, lang).upper(),
-            "e": lambda: _email(rng, lang), "p": lambda: _phone(rng, lang), "i": lambda: _pattern(rng, rng.choice(IDS[lang].split("|"))), "a": lambda: _address(rng, lang),
-        }[slot]()
-        kind = _SLOT[slot]
-        labels += [2 * kind - 1] + [2 * kind] * (len(value) - 1)
-        text += value
-    return text + line, labels + [0] * len(line)
-
-
-def _filler(rng: random.Random, lang: str) -> str:
-    if rng.random() < 0.25:
-        words = rng.choice(SCRIPTS).split()
-        return " ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "?", "…", "!"])
-    if rng.random() < 0.06:
-        return "".join(rng.choice("0123456789") for _ in range(rng.randint(12, 18)))
-    articles, adjectives, nouns, verbs, links = (x.split() for x in FILLER[lang])
-    phrase = lambda first: f"{articles[not first]} {rng.choice(adjectives)} {rng.choice(nouns)}" if lang in ("en", "de") else f"{articles[not first]} {rng.choice(nouns)} {rng.choice(adjectives)}"
-    out = f"{phrase(True)} {rng.choice(verbs)} {phrase(False)}".replace("~", " ")
-    if rng.random() < 0.5:
-        out += f" {rng.choice(links)} {phrase(False)}"
-    if rng.random() < 0.3:
-        out += rng.choice([". ", "? ", "! "]) + f"{phrase(True)} {rng.choice(verbs)} {phrase(False)}".replace("~", " ")
-    words = out.split()
-    if rng.random() < 0.5:
-        words = words[rng.randrange(len(words)) :]
-    return " ".join(words) + rng.choice([".", "?", "!", "", ""])
-
-
-def sample(count: int = SAMPLE_LINES, seed: int = SEED) -> list[tuple[str, list[int]]]:
+def sample(count: int = SAMPLE_LINES, seed: int = SEED, held_out: bool = False) -> list[tuple[str, list[int]]]:
     """``count`` lines with a label per character: 0 outside, 2k - 1 the first and 2k a later character of kind k."""
     rng = random.Random(seed)
-    lines = {k: [x for row in v.split("\n") for x in row.split("|")] for k, v in LINES.items()}
-    plain = {k: [x for row in v.split("\n") for x in row.split("|")] for k, v in PLAIN.items()}
+    make = _Maker(rng, held_out)
     out = []
     for _ in range(count):
-        lang = rng.choices(["en", "de", "fr", "es"], [4, 2, 2, 2])[0]
+        lang = rng.choices(LANGS, [4, 2, 2, 2])[0]
         text, labels = "", []
         for _ in range(rng.choice([1, 1, 1, 2, 2, 3])):
-            pool = lines if rng.random() < 0.62 else plain
-            line = _filler(rng, lang) if pool is plain and rng.random() < 0.5 else rng.choice(pool[lang])
-            t, own = _fill(rng, lang, line)
-            if pool is plain and rng.random() < 0.25:
-                t = t.upper() if len(t.upper()) == len(t) else t
+            way = rng.random()
+            if way < 0.5:
+                t, own = make.fill(lang, make.carried(lang) if way < 0.28 else make.of(FRAMES[lang], "|"))
+            elif way < 0.74:
+                t, own = make.fill(lang, make.decoy(lang) if way < 0.62 else make.of(PLAIN[lang], "|"))
+            else:
+                t = make.script() if way > 0.95 else make.sentence(lang)
+                own = [0] * len(t)
+            if way >= 0.5 and rng.random() < 0.1 and len(t.upper()) == len(t):
+                t = t.upper()
+            if rng.random() < 0.08:
+                t, own = "- " + t, [0, 0, *own]
             if text:
                 text, labels = text + " ", labels + [0]
             text, labels = text + t, labels + own

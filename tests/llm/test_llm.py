@@ -326,11 +326,13 @@ def finder():
     return personal.Finder(personal_model.load())
 
 
-def test_held_out_accuracy(finder):
-    held_out = personal_samples.sample(1500, seed=424242)
-    got = finder.spans([t for t, _ in held_out])
+@pytest.mark.parametrize("held_out, precision, recall", [(False, 0.93, 0.90), (True, 0.82, 0.74)])
+def test_held_out_accuracy(finder, held_out, precision, recall):
+    """Fresh lines; with ``held_out`` their frames, names, streets and words are those that never served training."""
+    lines = personal_samples.sample(1500, seed=424242, held_out=held_out)
+    got = finder.spans([t for t, _ in lines])
     right = wrong = missed = 0
-    for (text, labels), spans in zip(held_out, got):
+    for (text, labels), spans in zip(lines, got):
         want, begin = set(), -1
         for i, x in enumerate([*labels, 0]):
             if begin >= 0 and (x == 0 or x % 2):
@@ -340,7 +342,29 @@ def test_held_out_accuracy(finder):
                 begin = i
         have = {(text[a:b], k) for a, b, k in spans}
         right, wrong, missed = right + len(want & have), wrong + len(have - want), missed + len(want - have)
-    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.96
+    assert right / (right + wrong) > precision and right / (right + missed) > recall
+
+
+def test_held_out_entries_never_train():
+    for lists in (personal_samples.FRAMES, personal_samples.PLAIN):
+        for text in lists.values():
+            assert not set(personal_samples._pool(text, "|", True)) & set(personal_samples._pool(text, "|", False)) - {"{a}", "{e}", "{N}: {s}"}
+
+
+def test_plain_lines_are_recognised_exactly(finder):
+    """``surely_plain`` only spares decodings whose result is all outside."""
+    texts = sorted((t for t, _ in personal_samples.sample(300, seed=11) if t), key=len, reverse=True)
+    lengths = np.array([len(t) for t in texts])
+    x = np.full((lengths[0], len(texts)), 32)
+    for j, t in enumerate(texts):
+        x[: len(t), j] = personal_model.encode(t)
+    scores = finder.tagger.emissions(x, lengths)
+    plain = finder.tagger.surely_plain(scores, lengths)
+    paths = finder.tagger._viterbi(scores, lengths)
+    assert not any(p.any() for p, sure in zip(paths, plain) if sure)
+    for j in (0, 100, len(texts) - 1):  # a line alone is scored as it is among others
+        alone = finder.tagger.emissions(x[: lengths[j], [j]], lengths[[j]])
+        assert np.allclose(alone[:, 0], scores[: lengths[j], j], atol=1e-4)
 
 
 def test_gradients_are_right():
@@ -362,15 +386,15 @@ def test_gradients_are_right():
 
 
 def test_documents(spark):
-    text = "1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>My name is\r\nWinifred Plintstead.</i>\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\nCall me at +44 1632 960 746.\r\n\r\n3\r\n00:00:05,000 --> 00:00:06,000\r\nThe train to Port Merrin.\r\n"
-    long = "\n\n".join(f"{n}\n00:00:01,000 --> 00:00:02,000\nThe copper goose counts the tidy wagon." for n in range(3000)) + "\n\nWrite to ida.fennlowe@post.example, any time.\n"
+    text = "1\r\n00:00:01,000 --> 00:00:02,000\r\n<i>This is Margaret\r\nHolloway speaking.</i>\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\nMy phone number: +44 7700 900 746.\r\n\r\n3\r\n00:00:05,000 --> 00:00:06,000\r\nThe dog sees the table.\r\n"
+    long = "\n\n".join(f"{n}\n00:00:01,000 --> 00:00:02,000\nThe small dog sees the old table." for n in range(3000)) + "\n\nYou can reach us at ida.fennlowe@post.example today.\n"
     rows = [(1, text), (2, None), (3, ""), (4, "  \n"), (5, long), (1, text)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("clash"))
     got = {tuple(r) for r in personal.personal_spans(df).collect()}
-    assert got == {(1, "name", "Winifred Plintstead"), (1, "phone", "+44 1632 960 746"), (5, "email", "ida.fennlowe@post.example")}
+    assert got == {(1, "name", "Margaret Holloway"), (1, "phone", "+44 7700 900 746"), (5, "email", "ida.fennlowe@post.example")}
     out = {r["doc_id"]: r["text"] for r in personal.redacted(df).collect()}
     assert out[2] is None and out[3] == ""
-    assert "My name is\r\n<NAME>.</i>" in out[1] and "Call me at <PHONE>." in out[1]
+    assert "This is <NAME> speaking.</i>" in out[1] and "My phone number: <PHONE>." in out[1]
     assert personal.personal_spans(df.limit(0)).count() == 0
 
 
@@ -378,8 +402,9 @@ def test_documents(spark):
     "line, kind, passage",
     [
         ("Send corrections to ELSIE.GARSKELL(AT)POST(DOT)EXAMPLE", "email", "ELSIE.GARSKELL(AT)POST(DOT)EXAMPLE"),
-        ("Vous cherchez Йlodie Garsanne ?", "name", "Йlodie Garsanne"),
-        ("¿Busca usted a Уscar Fenniaga?", "name", "Уscar Fenniaga"),
+        ("Dial five five five oh one three nine, please.", "phone", "five five five oh one three nine"),
+        ("Passport number: K4471902.", "id_number", "K4471902"),
+        ("We moved to 14 Cedar Lane, Flat 2 last year.", "address", "14 Cedar Lane, Flat 2"),
     ],
 )
 def test_every_block_is_read(finder, line, kind, passage):
@@ -403,5 +428,5 @@ def test_plain_blocks_are_left(finder, line):
 
 
 def test_windows_are_reconciled(finder):
-    line = "The copper goose counts the tidy wagon beside the silent orchard. " * 3 + "My name is Hollis Fennampton. " + "The copper goose counts the tidy wagon beside the silent orchard. " * 3
-    assert [line[a:b] for a, b, _ in finder.spans([line])[0]] == ["Hollis Fennampton"]
+    line = "This is Daniel Whitcombe speaking. " + "The small dog sees the old table. " * 8 + "Have you ever met Laura Whitcombe?"
+    assert [line[a:b] for a, b, _ in finder.spans([line])[0]] == ["Daniel Whitcombe", "Laura Whitcombe"]
