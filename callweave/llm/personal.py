@@ -20,10 +20,9 @@ from callweave.llm.personal_model import TAGS, Tagger, encode, load, one_thread
 from callweave.llm.personal_samples import KINDS, SPELLED
 
 WINDOW = 128
-_BATCH = 512
+_BATCH = 256
 _CENTRAL = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None]
 
-_BREAK = re.compile(r"^(?:﻿?[ \t]*\d+[ \t]*\n)?[^\n]*-->[^\n]*\n?|^[ \t]*\n|\A﻿?WEBVTT[^\n]*\n?", re.M)
 _SIGNED = re.compile(r"[\w.+-]*[\w+](?:@|©| @ )[\w-]+(?:\.[\w-]+)+")
 _BLANKS = re.compile("[ \t\n\r\f\v]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>@]*>|\{\\[^{}]*\}")
@@ -31,19 +30,27 @@ _TAG = re.compile(r"</?[A-Za-z][^<>@]*>|\{\\[^{}]*\}")
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans of spoken lines; together with cue numbers, times and blank lines they make up the text."""
-    out, begin = [], 0
-    for found in _BREAK.finditer(text):
-        if found.start() > begin:
-            out.append((begin, found.start()))
-        begin = found.end()
-    if begin < len(text):
+    out, begin, at = [], -1, 0
+    lines = text.split("\n")
+    timed = ["-->" in line for line in lines] if "-->" in text else [False] * len(lines)
+    timed.append(False)
+    for i, line in enumerate(lines):
+        bare = line.strip(" \t\ufeff")
+        if timed[i] or (bare.isdecimal() and timed[i + 1]) or not line.strip(" \t") or (i == 0 and bare.startswith("WEBVTT")):
+            if begin >= 0:
+                out.append((begin, at))
+                begin = -1
+        elif begin < 0:
+            begin = at
+        at += len(line) + 1
+    if begin >= 0:
         out.append((begin, len(text)))
     return out
 
 
 def _clean(piece: str) -> str:
     """A block without markup, each run of blanks one blank."""
-    return _BLANKS.sub(" ", _TAG.sub("", piece)).lstrip(" ")
+    return _BLANKS.sub(" ", _TAG.sub("", piece) if "<" in piece or "{" in piece else piece).lstrip(" ")
 
 
 def _places(piece: str) -> list[int]:
