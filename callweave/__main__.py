@@ -45,9 +45,10 @@ def main(argv: list[str] | None = None) -> int:
     given = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
     cfg = from_toml(args.config, **given) if args.config else MergeConfig(**given)
     paths = args.vcf or path_list(args.vcf_list)
+    command = " ".join(["callweave", *(sys.argv[1:] if argv is None else argv)])
     if args.print_header:
         headers = [vcf.read_header(p) for p in paths]
-        sys.stdout.write(header_text(vcf.contig_order(headers), [s for h in headers for s in h.samples], version=not cfg.no_version))
+        sys.stdout.write(header_text(vcf.contig_order(headers), [s for h in headers for s in h.samples], vcf.declared_fields(headers), not cfg.no_version, command))
         return 0
     if args.dump_path and args.dump_path == args.output:
         raise SystemExit("output and dump path are the same")
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     if "BND" in cfg.svtype:
         lines = record_lines(merged.records).unionByName(record_lines(merge_breakends(spark, paths, cfg)))
         lines = sorted_lines(lines, merged.contigs) if cfg.sort_output else lines
-    write_file(lines, merged.header(not cfg.no_version), path, kind, index=cfg.sort_output and kind == "z")
+    write_file(lines, merged.header(not cfg.no_version, command), path, kind, index=cfg.sort_output and kind == "z")
     if args.dump_path:
         diagnostics.write_tsv(diagnostics.diagnostics(merged.calls, merged.membership), args.dump_path)
     return 0

@@ -116,7 +116,7 @@ def from_toml(path: str | Path, **overrides: object) -> MergeConfig:
     unknown = set(content) - known
     if unknown:
         raise ConfigError(f"unknown settings: {sorted(unknown)}")
-    tidy = {k: tuple(v) if isinstance(v, list) else v for k, v in content.items()}
+    tidy = {k: tuple(v) if isinstance(v, list) else v for k, v in content.items()}  # paths aren't settings: they come from the command line
     return replace(MergeConfig(**tidy), **overrides)
 
 

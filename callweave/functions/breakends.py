@@ -21,6 +21,12 @@ def mate_pos0(alt: Column) -> Column:
     return F.when(pos < 1, F.raise_error(F.lit("breakend position below 1")).cast("bigint")).otherwise(pos - 1)
 
 
+def anchor(alt: Column) -> Column:
+    """The bases outside the brackets of an ALT; none is an error."""
+    found = F.regexp_replace(alt, r"[\[\]].*[\[\]]", "")
+    return F.when(found == "", F.raise_error(F.concat(F.lit("no anchor in "), alt)).cast("string")).otherwise(found)
+
+
 def strands(alt: Column, given: Column | None = None) -> Column:
     """Orientation from the brackets; a given two-letter value wins."""
     inferred = (

@@ -46,11 +46,11 @@ def bucket_class(svtype: Column, ident: Column) -> Column:
 
 
 def output_id(ident: Column, vcf_id: Column, sample_map: Column | None = None) -> Column:
-    """The id in the output: file ordinal as prefix, or the output index in place of a known local sample prefix."""
+    """The id in the output: the file's ordinal as prefix, or, for an id that begins with the number of a sample of its file, the
+    sample's number in the output in its place.  ``sample_map`` leads from "file:number" to the latter."""
     plain = F.concat_ws("_", vcf_id.cast("string"), ident)
     if sample_map is None:
         return plain
-    local = F.regexp_extract(ident, r"^(\d+)_", 1)
-    mapped = F.try_element_at(sample_map, local.try_cast("int"))
-    rest = F.regexp_replace(ident, r"^\d+_", "")
-    return F.when((local != "") & mapped.isNotNull(), F.concat_ws("_", mapped.cast("string"), rest)).otherwise(plain)
+    local = F.regexp_extract(ident, r"^\+?(\d+)_", 1)
+    mapped = F.try_element_at(sample_map, F.concat_ws(":", vcf_id.cast("string"), local.try_cast("bigint").cast("string")))
+    return F.when((local != "") & mapped.isNotNull(), F.concat_ws("_", mapped.cast("string"), F.regexp_replace(ident, r"^[^_]*_", ""))).otherwise(plain)

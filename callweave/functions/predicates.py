@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callweave.config import EPSILON, MergeConfig
+from callweave.functions import masks
 from callweave.functions.scalars import rotated, round_half_up
 
 Side = Callable[[str], Column]
@@ -50,7 +51,7 @@ def reach(call: Side, cfg: MergeConfig) -> Column:
 
 
 def share_sample(a: Side, b: Side) -> Column:
-    return a("support_mask").bitwiseAND(b("support_mask")) != 0
+    return masks.shared(a("support_mask"), b("support_mask"))
 
 
 def size_similarity(a: Side, b: Side) -> Column:
@@ -93,16 +94,22 @@ def overlaps_match(a: Side, b: Side, least: Column) -> Column:
     return F.when(none, F.lit(True)).when(shared <= 0, F.lit(False)).otherwise(shared + F.lit(EPSILON) >= longest * least.cast("double"))
 
 
-def pair_verdict(a: Side, b: Side, cfg: MergeConfig) -> Column:
+def sequences_pass(a: Side, b: Side, cfg: MergeConfig) -> Column:
+    """``sequences_match``, but for calls of one sample that are let through."""
+    return sequences_match(a, b, cfg) if cfg.allow_intrasample else F.when(share_sample(a, b), True).otherwise(sequences_match(a, b, cfg))
+
+
+def pair_verdict(a: Side, b: Side, cfg: MergeConfig, sequences: bool = True) -> Column:
     """Whether two calls may match; cheap tests first, each reached only if those before it passed.
 
     Calls of one sample are let through without the dear tests where intra-sample matches are refused later anyway.
+    Without ``sequences`` their test is left to ``sequences_pass``.
     """
     deferred = F.lit(False) if cfg.allow_intrasample else share_sample(a, b)
     overlap = F.when(same_repeat(a, b), _single(cfg.tr_min_recip_overlap)).otherwise(_single(cfg.min_reciprocal_overlap))
     rest = (
         F.when(~sizes_match(a, b, cfg.min_size_similarity), False)
-        .when(~sequences_match(a, b, cfg), False)
+        .when(~sequences_match(a, b, cfg) if sequences else F.lit(False), False)
         .otherwise(overlaps_match(a, b, overlap) if cfg.min_reciprocal_overlap > 0 else F.lit(True))
     )
     return F.when(repeat_conflict(a, b), False).when(distance(a, b) > pair_limit(a, b, cfg) + EPSILON, False).when(deferred, True).otherwise(rest)

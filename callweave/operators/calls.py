@@ -41,7 +41,7 @@ def clusterable(rows: DataFrame, cfg: MergeConfig | None = None) -> DataFrame:
         F.coalesce("start_variance", F.lit(0.0)).alias("start_variance"),
         F.coalesce("svlen_mean", length).alias("svlen_mean"),
         F.coalesce("svlen_variance", F.lit(0.0)).alias("svlen_variance"),
-        "support_mask",
+        F.array("support_mask").alias("support_mask"),
         F.coalesce("support_calls", F.lit(1)).alias("support_calls"),
         "max_dist",
         F.coalesce("info_hash", F.lit(0)).alias("info_hash"),
@@ -50,7 +50,6 @@ def clusterable(rows: DataFrame, cfg: MergeConfig | None = None) -> DataFrame:
         "svclaim",
         F.when(spans, F.col("start_pos")).alias("interval_start"),
         F.when(spans, F.col("start_pos") + F.abs(length)).alias("interval_end"),
-        F.lit(None).cast("string").alias("sequence"),
         F.lit(0).alias("motif_len"),
     )
 

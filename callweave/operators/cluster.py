@@ -1,48 +1,83 @@
 """Clustering of calls: order-free components, and ordered agglomeration under constraints.
 
 Components (no sample rule, no constraint) are found by alternating neighbour contraction in DataFrame joins.  The
-ordered form is sequential by nature: edges join clusters nearest first, so it runs as one Python function per shard,
-fed with the pairs that Catalyst found and judged.  Shards of one call, the large majority, never reach Python.
+ordered form is sequential by nature: edges join clusters nearest first, so it runs as one Python function per component of the pair
+graph, fed with the pairs that Catalyst found and judged; no cluster crosses components, and each is a part of one shard.
+Calls without a pair, the large majority, never reach Python.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.config import EPSILON, MergeConfig
+from callweave.functions.masks import as_words
 from callweave.operators.pairs import candidate_pairs
-from callweave.operators.shards import independent_shards
-from callweave.session import cut
+from callweave.session import cut, shuffle_width
+
+
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of one task as stars: each node joined to the smallest of its component within the task."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        top = i
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[i] != top:
+            root[i], i = top, root[i]
+        return top
+
+    for frame in frames:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    stars = [(find(i), i) for i in root]
+    yield pd.DataFrame([s for s in stars if s[0] != s[1]], columns=["u", "v"])
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): connected components, named by their smallest node.
 
-    Each round links a node's larger neighbours, then its smaller ones, to the smallest neighbour; paths shorten
-    geometrically.  Stops when a round changes nothing.  Nodes without edges are their own component.
+    Every task first turns its own edges into stars, which leaves little to do where near nodes have near numbers.  Then each round
+    links a node's larger neighbours, then its smaller ones, to the smallest neighbour; paths shorten geometrically.  Stops when only stars
+    are left.  Nodes without edges are their own component.
     """
-    current = cut(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct())
-    before = (-1, None)
+    links = edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v")
+    current = cut(links.repartitionByRange(shuffle_width(edges.sparkSession), "u").mapInPandas(_forest, "u bigint, v bigint"))
     for _ in range(most_rounds):
+        ends = current.select(F.col("u").alias("n"), F.lit(0).alias("d")).distinct().unionByName(current.select(F.col("v").alias("n"), F.lit(1).alias("d")))
+        if ends.groupBy("n").agg(F.count("*").alias("c"), F.max("d").alias("d")).filter("c > 1 and d = 1").isEmpty():
+            break
         both = current.union(current.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v"), F.col("_m").alias("u")).filter("u <> v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("_m"))
         small = large.join(down, "v").select(F.when(F.col("u") == F.col("_m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("_m").alias("u"))
         current = cut(small.filter("u <> v").select("u", "v").distinct())
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if (state[0], state[1]) == before:
-            break
-        before = (state[0], state[1])
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = current.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("_root"))
-    return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("_root", "node").alias("component"))
+    return nodes.select("node").join(current.select(F.col("v").alias("node"), F.col("u").alias("_root")), "node", "left").select("node", F.coalesce("_root", "node").alias("component"))
+
+
+class _Offer:
+    """A pair on offer: nearer first; distances within a billionth of each other are ties and go by ``tie``."""
+
+    __slots__ = ("near", "tie")
+
+    def __init__(self, near: int, tie: tuple):
+        self.near, self.tie = near, tie
+
+    def __lt__(self, other: _Offer) -> bool:
+        if abs(self.near - other.near) > 1:
+            return self.near < other.near
+        return self.tie < other.tie
 
 
 class Forest:
@@ -126,14 +161,14 @@ def agglomerate(calls: list[dict], pairs: list[tuple[int, int, float, bool, bool
             return all(math.sqrt((points[i][0] - cx) ** 2 + (points[i][1] - cy) ** 2) <= calls[i]["max_dist"] + EPSILON for i in both)
         return True
 
-    def offer(a: int, b: int, dist: float) -> tuple:
+    def offer(a: int, b: int, dist: float) -> _Offer:
         x, y = calls[a], calls[b]
-        return (round(dist * 1e9), x["hash"], y["hash"], x["rank"], y["rank"], a, b)
+        return _Offer(math.floor(dist * 1e9 + 0.5), (x["hash"], y["hash"], x["rank"], y["rank"], a, b))
 
     heap = [offer(i, i, 0.0) for i in range(n)]
     heapq.heapify(heap)
     while heap:
-        *_, a, b = heapq.heappop(heap)
+        a, b = heapq.heappop(heap).tie[-2:]
         if a != b:
             ra, rb = forest.find(a), forest.find(b)
             if ra != rb and forest.allowed(ra, rb) and fits(a, b, ra, rb):
@@ -147,17 +182,25 @@ def agglomerate(calls: list[dict], pairs: list[tuple[int, int, float, bool, bool
     return [least[forest.find(i)] for i in range(n)]
 
 
+_WORD = (1 << 64) - 1
+
+
 def _solve(cfg: MergeConfig):
     def run(calls: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        calls = calls.sort_values("idx").reset_index(drop=True)
+        """Several components, one after another."""
         if not len(calls):
             return pd.DataFrame({"block": [], "idx": [], "group_id": []})
+        edges = dict(list(pairs.groupby("pair_comp")))
+        return pd.concat([one(part, edges[comp]) for comp, part in calls.groupby("comp")])
+
+    def one(calls: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        calls = calls.sort_values("idx").reset_index(drop=True)
         ids = calls["idx"].tolist()
         place = {v: i for i, v in enumerate(ids)}
         ranks = calls.sort_values(["id", "idx"], key=lambda c: c.map(lambda v: v.encode()) if c.name == "id" else c).index
         rank = {int(i): r for r, i in enumerate(ranks)}
         rows = [
-            {"start": c.start, "end": c.end, "max_dist": c.max_dist, "mask": int(c.support_mask) or 1 << int(c.sample_id), "hash": int(c.info_hash), "rank": rank[i], "trid": c.trid if isinstance(c.trid, str) else None}
+            {"start": c.start, "end": c.end, "max_dist": c.max_dist, "mask": sum((int(v) & _WORD) << 64 * k for k, v in enumerate(c.support_mask)) or 1 << int(c.sample_id), "hash": int(c.info_hash), "rank": rank[i], "trid": c.trid if isinstance(c.trid, str) else None}
             for i, c in enumerate(calls.itertuples(index=False))
         ]
         edges = [(place[p.a], place[p.b], p.dist, p.a_asks, p.b_asks) for p in pairs.itertuples(index=False)]
@@ -167,21 +210,31 @@ def _solve(cfg: MergeConfig):
     return run
 
 
+#: Calls of small components that one Python call takes together.
+_TOGETHER = 2000
+
+
 def cluster_calls(calls: DataFrame, cfg: MergeConfig) -> DataFrame:
     """(block, idx, group_id): the cluster of each call, named by its smallest idx.
 
-    Pairs are found and judged by Catalyst; only shards with at least one pair go to Python.  Results don't depend on
-    sharding.  An empty input gives an empty result.
+    ``idx`` is unique.  Pairs are found and judged by Catalyst, components of the pair graph by joins; only calls with a pair go
+    to Python, small components many at a time.  A component is never cut, so the result is that of one run over everything.
+    An empty input gives an empty result.
     """
-    shards = cut(independent_shards(calls, cfg))
+    calls = as_words(calls)
     pairs = cut(candidate_pairs(calls, cfg))
-    placed = pairs.join(shards.withColumnRenamed("idx", "a"), ["block", "a"])
-    touched = placed.select("block", "shard").distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    found = components(ends, pairs.select("a", "b")).select(F.col("node").alias("idx"), F.col("component").alias("comp"))
+    # Small components share a Python call, large ones have their own.
+    sizes = found.groupBy("comp").agg(F.count("*").alias("_n"))
+    bins = F.greatest(F.lit(1), F.floor(F.lit(ends.count()) / _TOGETHER))
+    own = F.struct(F.lit(True).alias("large"), F.col("comp").alias("number"))
+    together = F.struct(F.lit(False).alias("large"), F.pmod(F.xxhash64("comp"), bins).alias("number"))
+    home = cut(found.join(sizes, "comp").select("idx", "comp", F.when(F.col("_n") > _TOGETHER, own).otherwise(together).alias("bin")))
     columns = ["block", "idx", "id", "start", "end", "max_dist", "support_mask", "sample_id", "info_hash", "trid"]
-    inside = shards.join(touched, ["block", "shard"], "left_semi")
-    busy = calls.select(*columns).join(inside, ["block", "idx"])
-    edges = placed.select(F.col("block").alias("_block"), F.col("shard").alias("_shard"), "a", "b", "dist", "a_asks", "b_asks")
-    grouped = busy.groupBy("block", "shard").cogroup(edges.groupBy("_block", "_shard"))
-    solved = grouped.applyInPandas(_solve(cfg), "block string, idx bigint, group_id bigint")
-    alone = shards.join(touched, ["block", "shard"], "left_anti").select("block", "idx", F.col("idx").alias("group_id"))
+    busy = calls.select(*columns).join(home, "idx")
+    placed = home.select(F.col("idx").alias("a"), F.col("comp").alias("pair_comp"), F.col("bin").alias("pair_bin"))
+    edges = pairs.select("a", "b", "dist", "a_asks", "b_asks").join(placed, "a")
+    solved = busy.groupBy("bin").cogroup(edges.groupBy("pair_bin")).applyInPandas(_solve(cfg), "block string, idx bigint, group_id bigint")
+    alone = calls.select("block", "idx").join(home, "idx", "left_anti").select("block", "idx", F.col("idx").alias("group_id"))
     return solved.unionByName(alone)

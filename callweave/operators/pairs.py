@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.config import EPSILON, MergeConfig
-from callweave.functions.predicates import distance, pair_verdict, reach, share_sample, side
+from callweave.functions.masks import as_words
+from callweave.functions.predicates import distance, pair_verdict, reach, sequences_pass, share_sample, side
 
-_COLUMNS = ["idx", "start", "end", "svlen", "svtype", "max_dist", "support_mask", "trid", "motif_len", "sequence", "interval_start", "interval_end"]
+_COLUMNS = ["idx", "start", "end", "svlen", "svtype", "max_dist", "support_mask", "trid", "motif_len", "interval_start", "interval_end"]
 
 
 def candidate_pairs(calls: DataFrame, cfg: MergeConfig) -> DataFrame:
-    """(block, a, b, dist, a_asks, b_asks): unordered pairs a < b that pass all tests, and who has whom in reach."""
+    """(block, a, b, dist, a_asks, b_asks): unordered pairs a < b that pass all tests, and who has whom in reach.
+
+    Sequences stay out of the bins: pairs that pass all other tests fetch theirs by ``idx`` (unique), and only if the
+    table has a ``sequence`` column.
+    """
+    calls = as_words(calls)
     near = calls.select("block", *_COLUMNS).withColumn("_reach", reach(F.col, cfg) + F.lit(EPSILON))
     near = near.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("_reach", F.lit(1.0))))).cast("int"))
     at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("bigint")
@@ -33,7 +39,12 @@ def candidate_pairs(calls: DataFrame, cfg: MergeConfig) -> DataFrame:
         (F.col("p_idx") != F.col("q_idx")) & ((F.col("_own") < F.col("_level")) | (F.col("p_idx") < F.col("q_idx")))
     )
     a, b = side("p_"), side("q_")
-    joined = joined.withColumn("dist", distance(a, b)).filter((F.col("dist") <= F.greatest("p__reach", "q__reach")) & pair_verdict(a, b, cfg))
+    joined = joined.withColumn("dist", distance(a, b)).filter((F.col("dist") <= F.greatest("p__reach", "q__reach")) & pair_verdict(a, b, cfg, sequences=False))
+    if "sequence" in calls.columns:
+        texts = calls.filter(F.col("sequence").isNotNull()).select("idx", "sequence")
+        for s in ("p", "q"):
+            joined = joined.join(texts.select(F.col("idx").alias(f"{s}_idx"), F.col("sequence").alias(f"{s}_sequence")), f"{s}_idx", "left")
+        joined = joined.filter(sequences_pass(a, b, cfg))
     turn = F.col("p_idx") > F.col("q_idx")
     asks = lambda s: F.col("dist") <= F.col(f"{s}__reach")
     return joined.select(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.config import ConfigError, MergeConfig
+from callweave.functions import masks
 from callweave.operators import aggregate as agg
 from callweave.operators import mates
 from callweave.operators.cluster import cluster_calls
@@ -28,26 +29,25 @@ class Merged:
     calls: DataFrame
     contigs: dict[str, int | None]
     samples: tuple[str, ...]
+    headers: tuple[vcf.Header, ...] = ()
 
     def lines(self, ordered: bool = False) -> DataFrame:
         made = sink.record_lines(self.records)
         return sink.sorted_lines(made, self.contigs) if ordered else made
 
-    def header(self, version: bool = True) -> str:
-        return sink.header_text(self.contigs, self.samples, version=version)
+    def header(self, version: bool = True, command: str | None = None) -> str:
+        return sink.header_text(self.contigs, self.samples, vcf.declared_fields(self.headers), version, command)
 
 
 def annotate_repeats(calls: DataFrame, repeats: DataFrame, cfg: MergeConfig) -> DataFrame:
     """Adds the repeat of insertions and deletions; other classes have none."""
-    key = calls.withColumn("_key", F.xxhash64("block", "idx"))
-    dels = key.filter(F.col("svtype") == "DEL").select(
-        F.struct("block", "idx").alias("idx"), "contig", F.col("pos0").alias("del_start"), (F.col("pos0") + F.abs("svlen").cast("bigint")).alias("del_end")
+    dels = calls.filter(F.col("svtype") == "DEL").select(
+        "idx", "contig", F.col("pos0").alias("del_start"), (F.col("pos0") + F.abs("svlen").cast("bigint")).alias("del_end")
     )
-    ins = key.filter(F.col("svtype") == "INS").select(F.struct("block", "idx").alias("idx"), "contig", (F.col("pos0") + 1).alias("pos"))
+    ins = calls.filter(F.col("svtype") == "INS").select("idx", "contig", (F.col("pos0") + 1).alias("pos"))
     best = repeat_of_deletions(dels, repeats, cfg.tr_span_query_slop, cfg.tr_min_span_containment, cfg.tr_min_span_overlap_bp)
     best = best.unionByName(repeat_of_insertions(ins, repeats, cfg.tr_ins_max_dist))
-    best = best.select(F.col("idx.block").alias("block"), F.col("idx.idx").alias("idx"), F.col("tr_id").alias("trid"), "motif_len")
-    joined = calls.join(best, ["block", "idx"], "left")
+    joined = calls.join(best.withColumnRenamed("tr_id", "trid"), "idx", "left")
     return joined.filter(F.col("trid").isNull()) if cfg.filter_tr_contained else joined
 
 
@@ -58,31 +58,58 @@ def format_order(tags) -> F.Column:
     return F.transform(F.array_sort(F.transform(tags, lambda t: F.struct(place(t).alias("p"), t.alias("t")))), lambda s: s["t"])
 
 
-def sample_columns(members: DataFrame, n_samples: int, places: dict[tuple[int, int], int]) -> DataFrame:
+def _same_types(headers: list[vcf.Header]) -> tuple[Column | None, list[str]]:
+    """("file:tag" to type, the tags) for FORMAT tags that the files declare with different types; null if there are none."""
+    kinds = [vcf.format_types(h) for h in headers]
+    odd = sorted({t for k in kinds for t in k if len({x[t] for x in kinds if t in x}) > 1})
+    pairs = [F.lit(x) for f, k in enumerate(kinds) for t in odd if t in k for x in (f"{f}:{t}", k[t])]
+    return (F.create_map(*pairs) if pairs else None), odd
+
+
+def _padded(gt: Column, ploidy: Column) -> Column:
+    """A genotype with missing alleles up to the ploidy of its record."""
+    have = F.size(F.split(gt, "[/|]"))
+    return F.concat(gt, F.repeat(F.lit("/."), F.greatest(ploidy - have, F.lit(0))))
+
+
+def sample_columns(members: DataFrame, headers: list[vcf.Header]) -> DataFrame:
     """(block, group_id, format, cells): rendered FORMAT values of each cluster.
 
     A cluster of one call keeps all samples of its file as they are.  In others a sample that supports the cluster shows the
-    values of its first supporting member in member order; the rest is missing.
+    values of its first supporting member in member order; the rest is missing.  Genotypes are padded to the record's ploidy, at least two.
+    A tag that members carry with different declared types is an error.
     """
-    owner = F.create_map(*[F.lit(x) for (f, i), k in places.items() for x in (f * 100000 + i, k)])
-    cells = members.withColumn("first_sample", agg.first_sample(F.col("support_mask"))).select(
-        "block", "group_id", "first_sample", "id", "idx", "format", "support_mask", "vcf_id", F.posexplode("samples").alias("_i", "_v")
+    n_samples = sum(len(h.samples) for h in headers)
+    begin = F.array(*[F.lit(sum(len(h.samples) for h in headers[:f])) for f, _ in enumerate(headers)])
+    keys = ["block", "group_id"]
+    cells = members.withColumn("first_sample", masks.first(F.col("support_mask"))).select(
+        *keys, "first_sample", "id", "idx", "format", "support_mask", "vcf_id", F.posexplode("samples").alias("_i", "_v")
     )
-    cells = cells.withColumn("sample", F.element_at(owner, F.col("vcf_id") * 100000 + F.col("_i")))
-    sizes = members.groupBy("block", "group_id").agg(F.count("*").alias("_n"), F.first("format").alias("_f"), F.collect_set("format").alias("_all"))
-    joined = cells.join(sizes, ["block", "group_id"]).filter((F.col("_n") == 1) | (F.getbit("support_mask", F.col("sample")) == 1))
-    best = joined.groupBy("block", "group_id", "sample").agg(F.min(F.struct("first_sample", "id", "idx", "format", "_v")).alias("_b"))
-    tags = F.array_distinct(F.flatten(F.transform("_all", lambda f: F.split(f, ":"))))
-    layout = sizes.select("block", "group_id", F.when(F.col("_n") == 1, F.split("_f", ":")).otherwise(format_order(tags)).alias("_tags"))
-    pairs = F.map_from_arrays(F.split("_b.format", ":"), F.transform(F.split("_b.format", ":"), lambda t, i: F.coalesce(F.get(F.split("_b._v", ":"), i), F.lit("."))))
-    rendered = best.join(layout, ["block", "group_id"]).withColumn("_map", pairs)
-    missing = lambda t: F.when(t == "GT", F.lit("./.")).otherwise(F.lit("."))
-    cell = F.array_join(F.transform("_tags", lambda t: F.coalesce(F.try_element_at("_map", t), missing(t))), ":")
-    filled = rendered.groupBy("block", "group_id").agg(F.map_from_entries(F.collect_list(F.struct("sample", cell.alias("c")))).alias("_cells"))
-    whole = layout.join(filled, ["block", "group_id"], "left")
-    none = F.array_join(F.transform("_tags", missing), ":")
-    every = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.coalesce(F.try_element_at("_cells", i), none))
-    return whole.select("block", "group_id", F.array_join("_tags", ":").alias("format"), every.alias("cells"))
+    cells = cells.withColumn("sample", F.get(begin, F.col("vcf_id")) + F.col("_i"))
+    kinds, odd = _same_types(headers)
+    tags_of = lambda f: F.split(f, ":")
+    aggregates = [F.count("*").alias("_n"), F.first("format").alias("_f"), F.collect_set("format").alias("_all")]
+    if kinds is not None:
+        typed = F.transform(F.filter(tags_of(F.col("format")), lambda t: t.isin(*odd)), lambda t: F.struct(t.alias("t"), F.try_element_at(kinds, F.concat_ws(":", F.col("vcf_id").cast("string"), t)).alias("k")))
+        aggregates.append(F.array_distinct(F.flatten(F.collect_set(typed))).alias("_kinds"))
+    sizes = members.groupBy(*keys).agg(*aggregates)
+    if kinds is not None:
+        clash = F.size("_kinds") > F.size(F.array_distinct(F.transform("_kinds", lambda s: s["t"])))
+        sizes = sizes.withColumn("_f", F.when(clash, F.raise_error(F.concat(F.lit("FORMAT tags of different types are merged: "), F.array_join(F.transform("_kinds", lambda s: F.concat_ws(" ", s["t"], s["k"])), ", "))).cast("string")).otherwise(F.col("_f")))
+    joined = cells.join(sizes.select(*keys, "_n"), keys).filter((F.col("_n") == 1) | masks.holds(F.col("support_mask"), F.col("sample")))
+    best = joined.groupBy(*keys, "sample").agg(F.min(F.struct("first_sample", "id", "idx", "format", "_v")).alias("_b"))
+    tags = F.array_distinct(F.flatten(F.transform("_all", tags_of)))
+    layout = sizes.select(*keys, F.when(F.col("_n") == 1, tags_of(F.col("_f"))).otherwise(format_order(tags)).alias("_tags"))
+    pairs = F.map_from_arrays(tags_of(F.col("_b.format")), F.transform(tags_of(F.col("_b.format")), lambda t, i: F.coalesce(F.get(F.split("_b._v", ":"), i), F.lit("."))))
+    filled = best.select(*keys, F.struct("sample", pairs.alias("m")).alias("_s")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("_s")).alias("_cells"))
+    whole = layout.join(filled, keys, "left")
+    genotypes = F.transform(F.map_values("_cells"), lambda m: F.size(F.split(F.coalesce(F.try_element_at(m, F.lit("GT")), F.lit("./.")), "[/|]")))
+    whole = whole.withColumn("_ploidy", F.greatest(F.lit(2), F.coalesce(F.array_max(genotypes), F.lit(2))))
+    missing = lambda t: F.when(t == "GT", F.concat(F.lit("."), F.repeat(F.lit("/."), F.col("_ploidy") - 1))).otherwise(F.lit("."))
+    value = lambda m, t: F.when((t == "GT") & F.try_element_at(m, t).isin("", "."), missing(t)).when(t == "GT", _padded(F.try_element_at(m, t), F.col("_ploidy"))).otherwise(F.try_element_at(m, t))
+    cell = lambda i: F.array_join(F.transform("_tags", lambda t: F.coalesce(value(F.try_element_at("_cells", i), t), missing(t))), ":")
+    every = F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), cell)
+    return whole.select(*keys, F.array_join("_tags", ":").alias("format"), every.alias("cells"))
 
 
 def merge_files(spark: SparkSession, paths: list[str], cfg: MergeConfig | None = None, repeats: str | None = None) -> Merged:
@@ -93,7 +120,7 @@ def merge_files(spark: SparkSession, paths: list[str], cfg: MergeConfig | None =
     for path in paths:
         vcf.validate(path)
     headers = [vcf.read_header(p) for p in paths]
-    places = vcf.sample_index(headers)
+    words = masks.words_for(sum(len(h.samples) for h in headers))
     calls = vcf.derive_calls(vcf.raw_records(spark, paths), headers, cfg).filter(F.col("bucket") != "BND")
     if repeats:
         calls = annotate_repeats(cut(calls), text.repeat_catalog(spark, repeats), cfg)
@@ -101,27 +128,40 @@ def merge_files(spark: SparkSession, paths: list[str], cfg: MergeConfig | None =
         calls = calls.withColumn("trid", F.lit(None).cast("string")).withColumn("motif_len", F.lit(0))
     calls = cut(calls.drop("_info"))
     membership = cut(cluster_calls(calls, cfg))
-    members = calls.join(membership, ["block", "idx"])
-    records = agg.merged_records(members, cfg)
-    alleles = members.select("block", F.col("idx").alias("_rep"), "ref", "alt")
-    first = agg.representatives(members).select("block", "group_id", F.col("rep_idx").alias("_rep"))
-    records = records.join(first, ["block", "group_id"]).join(alleles, ["block", "_rep"]).drop("_rep")
+    members = cut(calls.join(membership, ["block", "idx"]))
+    records = agg.merged_records(members, cfg, words)
+    alleles = members.select(F.col("idx").alias("rep_idx"), "ref", "alt")
+    records = records.join(alleles, "rep_idx").drop("rep_idx")
     records = records.withColumn("alt", F.when(F.col("svtype") == "CNV", "<CNV>").otherwise(F.col("alt")))
-    records = records.join(sample_columns(members, len(places), places), ["block", "group_id"])
-    return Merged(records, membership, calls, vcf.contig_order(headers), tuple(s for h in headers for s in h.samples))
+    records = records.join(sample_columns(members, headers), ["block", "group_id"])
+    return Merged(records, membership, calls, vcf.contig_order(headers), tuple(s for h in headers for s in h.samples), tuple(headers))
 
 
 def merge_breakends(spark: SparkSession, paths: list[str], cfg: MergeConfig | None = None) -> DataFrame:
-    """Merge the breakends of call files: two records per merged event, ready for ``record_lines``.
+    """Merge the breakends of call files: two records per merged event with their samples, ready for ``record_lines``.
 
-    Pairs that disagree raise an error that names what differs; breakends without a mate are dropped.
+    Contigs and regions choose breakends; a breakend whose mate isn't among those chosen is dropped.  Pairs that disagree raise an error that
+    names what differs, and so does a breakend that could be paired with several others.
     """
     cfg = cfg or MergeConfig()
     headers = [vcf.read_header(p) for p in paths]
     vcf.sample_index(headers)
+    words = masks.words_for(sum(len(h.samples) for h in headers))
     found = mates.paired(cut(vcf.derive_breakends(vcf.raw_records(spark, paths), headers, cfg)))
-    checked = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.lit("mates disagree: "), "reason")).cast("string"))
-    events = cut(mates.events(found.withColumn("reason", checked)))
+    events = mates.events(mates.unambiguous(cut(found)), words)
+    events = cut(events if cfg.keep_monomorphic else events.filter(~masks.empty(F.col("support_mask"))))
     membership = cut(cluster_calls(mates.as_calls(events, cfg.max_dist), cfg))
-    records = mates.merged_events(events, membership)
-    return records.filter(F.col("supp") >= cfg.min_supp).withColumn("svtype", F.lit("BND")).withColumn("filter", F.when(F.col("eventtype") == "INV", "InvBreakpoint"))
+    records = mates.merged_events(events, membership, words)
+    members = events.join(membership.select("idx", "group_id"), "idx").withColumnRenamed("a_vcf_id", "vcf_id")
+    sides = [sample_columns(members.withColumnsRenamed({f"{s}_format": "format", f"{s}_samples": "samples"}), headers).withColumn("side", F.lit(s)) for s in "ab"]
+    keep = (F.col("supp") >= cfg.min_supp) | ((F.col("supp") == 0) if cfg.keep_monomorphic else F.lit(False))
+    records = records.filter(keep).join(sides[0].unionByName(sides[1]), ["block", "group_id", "side"])
+    return records.withColumn("svtype", F.lit("BND")).withColumn("filter", F.when(F.col("eventtype") == "INV", "InvBreakpoint"))
+
+
+def orphans_in_scope(spark: SparkSession, paths: list[str], cfg: MergeConfig) -> DataFrame:
+    """Breakends without a mate although its place was chosen too: what a merge drops and should tell."""
+    headers = [vcf.read_header(p) for p in paths]
+    rows = vcf.derive_breakends(vcf.raw_records(spark, paths), headers, cfg)
+    regions = text.regions(list(cfg.target_positions)) if cfg.target_positions else []
+    return mates.in_scope(mates.orphans(cut(rows)), list(cfg.contig), regions)

@@ -153,17 +153,26 @@ def tr_containment_del(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_of_deletions(dels, _catalog(spark, folder), CFG.tr_span_query_slop, CFG.tr_min_span_containment, CFG.tr_min_span_overlap_bp)
 
 
-@query(
-    "tr_containment_ins",
-    _REPEATS
-    + """, ins AS (SELECT call_id AS idx, contig, CAST(floor(start_pos) AS BIGINT) + 1 AS pos FROM one WHERE svtype = 'INS'),
-p AS (SELECT idx, tr_id, motif_len, stop - start AS tl, start FROM ins JOIN cat USING (contig) WHERE (start <= pos AND stop >= pos) OR (start <= pos - 1 AND stop >= pos - 1)),
-b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY tl, start, tr_id) AS rn FROM p) SELECT idx, tr_id, motif_len FROM b WHERE rn = 1""",
-)
+_NEAR_REPEATS = """, ins AS (SELECT call_id AS idx, contig, CAST(floor(start_pos) AS BIGINT) + 1 AS pos FROM one WHERE svtype = 'INS'),
+p AS (SELECT idx, tr_id, motif_len, stop - start AS tl, start, greatest(start - pos, pos - stop, 0) AS d0, greatest(start - pos + 1, pos - 1 - stop, 0) AS d1 FROM ins JOIN cat USING (contig)),
+b AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY (least(d0, d1) = 0) DESC, least(d0, d1), tl, start, tr_id) AS rn FROM p WHERE least(d0, d1) <= {most}) SELECT idx, tr_id, motif_len FROM b WHERE rn = 1"""
+
+
+def _insertions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _rows(spark, folder).dropDuplicates(["call_id"]).filter((F.col("svtype") == "INS") & F.col("contig").isNotNull() & F.col("start_pos").isNotNull())
+    return rows.select(F.col("call_id").alias("idx"), "contig", (F.col("start_pos") + 1).cast("bigint").alias("pos"))
+
+
+@query("tr_containment_ins", _REPEATS + _NEAR_REPEATS.format(most=0))
 def tr_containment_ins(spark: SparkSession, folder: str) -> DataFrame:
     """The best repeat of each insertion."""
-    rows = _rows(spark, folder).dropDuplicates(["call_id"]).filter((F.col("svtype") == "INS") & F.col("contig").isNotNull() & F.col("start_pos").isNotNull())
-    return repeat_of_insertions(rows.select(F.col("call_id").alias("idx"), "contig", (F.col("start_pos") + 1).cast("bigint").alias("pos")), _catalog(spark, folder), CFG.tr_ins_max_dist)
+    return repeat_of_insertions(_insertions(spark, folder), _catalog(spark, folder), CFG.tr_ins_max_dist)
+
+
+@query("tr_near_ins", _REPEATS + _NEAR_REPEATS.format(most=20000))
+def tr_near_ins(spark: SparkSession, folder: str) -> DataFrame:
+    """The best repeat within 20,000 bases of each insertion: distances decide."""
+    return repeat_of_insertions(_insertions(spark, folder), _catalog(spark, folder), 20000)
 
 
 # Parts stand in as repeats for the interval joins that SQL checks.
@@ -284,6 +293,45 @@ def seq_similarity_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter(text_similar(F.col("s"), F.col("t"), F.lit(0.8).cast("float"))).select("a", "b", F.levenshtein("s", "t").alias("edits"))
 
 
+_SIMILAR = """least(length({s}), length({t}))::FLOAT / greatest(length({s}), length({t}))::FLOAT >= {least} AND (1::FLOAT - levenshtein({s}, {t})::FLOAT / greatest(length({s}), length({t}))::FLOAT) >= {least}"""
+_ROTATED = "(right({t}, ((({x}) % length({t}) + length({t})) % length({t}))::INTEGER) || left({t}, (length({t}) - (({x}) % length({t}) + length({t})) % length({t}))::INTEGER))"
+_LITERAL = """lit AS (SELECT rec_id, contig, pos0, upper(list_filter(alleles, lambda x: regexp_full_match(x, '[ACGTNacgtn]+'))[1]) AS t FROM write_records WHERE contig IS NOT NULL AND pos0 IS NOT NULL),
+near AS (SELECT a.rec_id AS a, b.rec_id AS b, a.t AS s, b.t AS t, a.pos0 - b.pos0 AS delta FROM lit a JOIN lit b ON a.contig = b.contig AND a.rec_id < b.rec_id
+  WHERE a.t IS NOT NULL AND b.t IS NOT NULL AND sqrt((a.pos0 - b.pos0)::DOUBLE ** 2 + (length(a.t) - length(b.t))::DOUBLE ** 2) <= {limit} + 1e-9)"""
+
+
+def _literal_calls(spark: SparkSession, folder: str, repeat: bool) -> DataFrame:
+    """Records with a literal allele as insertions at their place; ``repeat``: those of a contig in one repeat with a motif of three bases."""
+    plain = F.filter("alleles", lambda x: x.rlike("^[ACGTNacgtn]+$"))
+    rows = table(spark, folder, "write_records").select("rec_id", "vcf_id", "contig", "pos0", F.upper(F.get(plain, F.lit(0))).alias("sequence")).filter("sequence IS NOT NULL AND contig IS NOT NULL AND pos0 IS NOT NULL")
+    none = F.lit(None)
+    return rows.select(
+        F.col("rec_id").alias("idx"), F.col("contig").alias("block"), F.col("pos0").cast("double").alias("start"), F.length("sequence").cast("double").alias("end"),
+        F.length("sequence").cast("double").alias("svlen"), F.lit("INS").alias("svtype"), F.lit(20000.0).alias("max_dist"), F.array(F.lit(1).cast("bigint")).alias("support_mask"),
+        (F.concat(F.lit("R"), "contig") if repeat else none.cast("string")).alias("trid"), F.lit(3).alias("motif_len"), "sequence",
+        none.cast("double").alias("interval_start"), none.cast("double").alias("interval_end"),
+    )
+
+
+@query("pairs_sequence", f"WITH {_LITERAL.format(limit=20000.0)} SELECT a, b FROM near WHERE " + _SIMILAR.format(s="s", t="t", least="CAST(0.8 AS FLOAT)"))
+def pairs_sequence(spark: SparkSession, folder: str) -> DataFrame:
+    """The similarity join with sequences: near places, like sequences."""
+    return candidate_pairs(cut(_literal_calls(spark, folder, False)), _OPEN).select("a", "b")
+
+
+_TURNS = " OR ".join(
+    f"(({x}) <> 0 AND (({_SIMILAR.format(s=s, t=t, least='CAST(0.6 AS FLOAT)')})))"
+    for x in ("delta", "-delta", "((delta % 3) + 3) % 3", "-(((delta % 3) + 3) % 3)")
+    for s, t in (("s", _ROTATED.format(t="t", x=x)), (_ROTATED.format(t="s", x=x), "t"))
+)
+
+
+@query("pairs_rotation", f"WITH {_LITERAL.format(limit=4000.0)} SELECT a, b FROM near WHERE ({_SIMILAR.format(s='s', t='t', least='CAST(0.6 AS FLOAT)')}) OR {_TURNS}")
+def pairs_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    """The similarity join within repeats: the repeat's own thresholds, sequences turned by their offset."""
+    return candidate_pairs(cut(_literal_calls(spark, folder, True)), _OPEN).select("a", "b")
+
+
 @query("seq_rotation", "SELECT rec_id, CASE WHEN length(alleles[1]) = 0 THEN alleles[1] ELSE right(alleles[1], (pos0 % length(alleles[1]))::INTEGER) || left(alleles[1], (length(alleles[1]) - pos0 % length(alleles[1]))::INTEGER) END AS turned FROM write_records WHERE alleles[1] IS NOT NULL")
 def seq_rotation(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "write_records").withColumn("t", F.get("alleles", F.lit(0))).filter(F.col("t").isNotNull())
@@ -335,7 +383,7 @@ for _constraint in ("none", "bbox_diameter", "clique", "centroid"):
 
     @query(f"cluster_{_constraint}")
     def _clusters(spark: SparkSession, folder: str, constraint: str = _constraint) -> DataFrame:
-        """Ordered, sample-exclusive clusters; pinned by tests against a direct model."""
+        """Ordered, sample-exclusive clusters; tests hold them to a model without heap and forest."""
         return cluster_calls(_calls(spark, folder), replace(CFG, merge_constraint=constraint))
 
 
@@ -362,15 +410,24 @@ m2 AS (SELECT block, group_id, ms, ml, sum(support_calls * (start_variance + (st
   sum(support_calls * (svlen_variance + (svlen_mean - ml) * (svlen_mean - ml))) / sum(support_calls) AS vl FROM mem JOIN m1 USING (block, group_id) GROUP BY 1, 2, 3, 4)"""
 
 
+_RECORD = """rp AS (SELECT block, group_id, id AS rep_id, CAST(s + 1 AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY block, group_id ORDER BY first_sample, id, idx) AS rn FROM mem) WHERE rn = 1),
+ci AS (SELECT m2.*, rep_id, pos, CAST(floor(abs(ml) + 0.5) AS BIGINT) AS len, CAST(floor(ms - 1.96 * sqrt(vs) + 0.5) AS BIGINT) - pos AS lo, CAST(floor(ms + 1.96 * sqrt(vs) + 0.5) AS BIGINT) - pos AS hi,
+  CAST(floor(ms + abs(ml) - 1.96 * sqrt(vs + vl) + 0.5) AS BIGINT) - pos - CAST(floor(abs(ml) + 0.5) AS BIGINT) AS elo, CAST(floor(ms + abs(ml) + 1.96 * sqrt(vs + vl) + 0.5) AS BIGINT) - pos - CAST(floor(abs(ml) + 0.5) AS BIGINT) AS ehi
+  FROM m2 JOIN rp USING (block, group_id))"""
+
+
 @query(
     "group_moments_ci",
-    f"""WITH RECURSIVE {_COMPONENTS}, {_MOMENTS} SELECT block, group_id, floor(ms * 100 + 0.5) / 100 AS mean_start, floor(ml * 100 + 0.5) / 100 AS mean_svlen,
-  floor(vs * 100 + 0.5) / 100 AS var_start, floor(vl * 100 + 0.5) / 100 AS var_svlen FROM m2""",
+    f"""WITH RECURSIVE {_COMPONENTS}, {_MOMENTS}, {_RECORD} SELECT block, group_id, floor(ms * 100 + 0.5) / 100 AS mean_start, floor(ml * 100 + 0.5) / 100 AS mean_svlen,
+  floor(vs * 100 + 0.5) / 100 AS var_start, floor(vl * 100 + 0.5) / 100 AS var_svlen, lo AS ci_low, hi AS ci_high FROM ci""",
 )
 def group_moments(spark: SparkSession, folder: str) -> DataFrame:
-    found = agg.moments(_members(spark, folder))
+    """Means, variances and the confidence interval of the start around the representative's position."""
+    members = _members(spark, folder)
+    found = agg.moments(members).join(agg.representatives(members), ["block", "group_id"])
     cents = lambda c: (round_half_up(F.col(c) * 100) / 100).alias(c)
-    return found.select("block", "group_id", *[cents(c) for c in ("mean_start", "mean_svlen", "var_start", "var_svlen")])
+    low, high = agg.interval_offsets(F.col("mean_start"), F.col("var_start"), F.col("pos"))
+    return found.select("block", "group_id", *[cents(c) for c in ("mean_start", "mean_svlen", "var_start", "var_svlen")], low.alias("ci_low"), high.alias("ci_high"))
 
 
 @query(
@@ -409,7 +466,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY block, group_id, sample ORDER BY
 SELECT block, group_id, CAST(sample AS INTEGER) AS sample, idx FROM r WHERE rn = 1""",
 )
 def sample_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return agg.sample_cells(_members(spark, folder), 64)
+    return agg.sample_cells(_members(spark, folder))
 
 
 @query("min_supp_having", f"WITH RECURSIVE {_COMPONENTS} SELECT block, group_id, CAST(bit_count(bit_or(support_mask)) AS BIGINT) AS supp FROM mem GROUP BY 1, 2 HAVING bit_count(bit_or(support_mask)) >= 2")
@@ -437,6 +494,44 @@ def incremental_merge(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("block", "group_id", "support_calls", cents("mean"), cents("variance"))
 
 
+@query(
+    "records_intrasample",
+    f"""WITH RECURSIVE {_COMPONENTS}, {_MOMENTS}, {_RECORD}, k AS (SELECT block, group_id, any_value(contig) AS contig, any_value(bucket) AS svtype, CAST(bit_count(bit_or(support_mask)) AS BIGINT) AS supp,
+  CAST(sum(support_calls) AS BIGINT) AS supp_calls, array_to_string(list_sort(flatten(list(id_list))), ',') AS idlist, list_sort(list(DISTINCT svclaim) FILTER (svclaim IS NOT NULL)) AS cl, count(*) AS n, count(svclaim) AS c,
+  arg_min(trid, (first_sample, id, idx)) FILTER (trid IS NOT NULL) AS tr_contained FROM mem GROUP BY 1, 2)
+SELECT contig, pos, rep_id AS id, svtype, CAST(CASE WHEN svtype = 'DEL' THEN -len ELSE len END AS INTEGER) AS svlen, CASE WHEN svtype IN ('DEL', 'DUP', 'INV', 'CNV') THEN pos + len END AS stop,
+  lo || ',' || hi AS cipos, CASE WHEN svtype IN ('DEL', 'DUP', 'INV', 'CNV') THEN elo || ',' || ehi END AS ciend, supp, supp_calls, idlist,
+  CASE WHEN svtype IN ('DEL', 'DUP') AND len(cl) = 1 AND n = c THEN cl[1] END AS svclaim,
+  CASE WHEN svtype IN ('DEL', 'DUP', 'CNV') AND NOT coalesce(svtype <> 'CNV' AND len(cl) = 1 AND n = c, false) AND len(cl) > 0 THEN array_to_string(cl, ',') END AS svclaim_set, tr_contained
+  FROM k JOIN ci USING (block, group_id)""",
+)
+def records_intrasample(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged records of clusters without the sample rule, which are the components: all that a record holds."""
+    calls = _calls(spark, folder)
+    members = cut(calls.join(cluster_calls(calls, _OPEN), ["block", "idx"]))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return agg.merged_records(members, _OPEN).select(
+        "contig", "pos", "id", "svtype", "svlen", F.col("end").alias("stop"), text("cipos"), text("ciend"), "supp", "supp_calls", text("idlist"), "svclaim", text("svclaim_set"), "tr_contained"
+    )
+
+
+@query(
+    "diagnostics_intrasample",
+    f"""WITH RECURSIVE {_COMPONENTS}, s AS (SELECT block, group_id, count(*) AS size FROM mem GROUP BY 1, 2)
+SELECT 'kd_coord' AS record_type, block, idx, NULL::BIGINT AS group_id, id, s AS x, e AS y, CAST(support_mask AS VARCHAR) AS support_mask, trid, NULL::BIGINT AS group_size, NULL::BIGINT AS n_groups FROM calls
+UNION ALL SELECT 'group_variant', block, idx, group_id, id, s, e, CAST(support_mask AS VARCHAR), trid, NULL, NULL FROM mem
+UNION ALL SELECT 'group_size_count', block, NULL, NULL, NULL, NULL, NULL, NULL, NULL, size, count(*) FROM s GROUP BY block, size""",
+)
+def diagnostics_intrasample(spark: SparkSession, folder: str) -> DataFrame:
+    """The diagnostics table of those clusters, its texts read back as numbers."""
+    calls = _calls(spark, folder)
+    whole = lambda c: F.col(c).cast("bigint")
+    return diagnostics(calls, cluster_calls(calls, _OPEN)).select(
+        "record_type", "block", whole("idx").alias("idx"), whole("group_id").alias("group_id"), "id", F.col("start").cast("double").alias("x"), F.col("end").cast("double").alias("y"),
+        "support_mask", "trid", whole("group_size").alias("group_size"), whole("n_groups").alias("n_groups"),
+    )
+
+
 @query("merged_records")
 def merged_records(spark: SparkSession, folder: str) -> DataFrame:
     """The whole merge of all calls: clusters under the default settings, one record each."""
@@ -481,7 +576,7 @@ def sorted_output(spark: SparkSession, folder: str) -> DataFrame:
 
 _BND = """live AS (SELECT DISTINCT ON (vcf_id, id) * FROM breakends WHERE deleted_at IS NULL AND id IS NOT NULL ORDER BY vcf_id, id, loaded_at DESC, rec_id DESC),
 pr AS (SELECT a.*, b.rec_id AS b_rec, b.contig AS b_contig, b.pos0 AS b_pos0, b.id AS b_id, b.mate_contig AS b_mate_contig, b.mate_pos0 AS b_mate_pos0, b.homlen AS b_homlen, b.gts AS b_gts,
-  b.support_calls AS b_support, b.strands AS b_strands FROM live a JOIN live b ON a.vcf_id = b.vcf_id AND a.mate_id = b.id AND b.mate_id = a.id
+  b.support_calls AS b_support, b.strands AS b_strands, b.inv_event_id AS b_inv, b.inv_filter AS b_flag FROM live a JOIN live b ON a.vcf_id = b.vcf_id AND a.mate_id = b.id AND b.mate_id = a.id
   WHERE (a.contig, a.pos0, a.id) < (b.contig, b.pos0, b.id)),
 jd AS (SELECT *, CASE WHEN mate_contig <> b_contig OR b_mate_contig <> contig THEN 'contig'
   WHEN NOT list_contains([0, coalesce(homlen, 0), coalesce(b_homlen, 0)], abs(mate_pos0 - b_pos0)) OR NOT list_contains([0, coalesce(homlen, 0), coalesce(b_homlen, 0)], abs(b_mate_pos0 - pos0)) THEN 'position'
@@ -502,9 +597,10 @@ def bnd_orphans(spark: SparkSession, folder: str) -> DataFrame:
     return mates.orphans(_live(spark, folder)).select("rec_id")
 
 
-@query("bnd_ambiguous", f"WITH {_BND} SELECT vcf_id, mate_id, count(*) AS n_claims FROM live WHERE mate_id IS NOT NULL AND mate_id <> '.' GROUP BY 1, 2 HAVING count(*) > 1")
+@query("bnd_ambiguous", "SELECT vcf_id, mate_id, count(*) AS n_claims FROM breakends WHERE mate_id IS NOT NULL AND mate_id <> '.' GROUP BY 1, 2 HAVING count(*) > 1")
 def bnd_ambiguous(spark: SparkSession, folder: str) -> DataFrame:
-    return mates.ambiguous(_live(spark, folder))
+    """Mates claimed more than once, among all deliveries."""
+    return mates.ambiguous(table(spark, folder, "breakends"))
 
 
 @query("bnd_canonical", f"WITH {_BND} SELECT least(rec_id, b_rec) AS idx, concat_ws('_', contig, b_contig, 'TRA', strands, b_strands) AS block, CAST(pos0 AS DOUBLE) AS start, CAST(mate_pos0 AS DOUBLE) AS \"end\", id || '/' || b_id AS id FROM jd WHERE reason IS NULL")
@@ -541,6 +637,30 @@ def bnd_alt_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return alt.select("rec_id", "alt", notation.mate_contig(a).alias("contig"), notation.mate_pos0(a).alias("pos0"), notation.strands(a).alias("orientation"))
 
 
+_EVENTS = """ev AS (SELECT concat_ws('_', contig, b_contig, 'TRA', strands, b_strands) AS block, contig AS ac, b_contig AS bc, strands AS ast, b_strands AS bst, pos0 + 1 AS ap, mate_pos0 + 1 AS bp, vcf_id,
+  coalesce(support_calls, 1) AS w, [id, b_id] AS ids, CASE WHEN inv_event_id = b_inv AND inv_filter AND b_flag THEN inv_event_id END AS inv FROM jd WHERE reason IS NULL),
+g AS (SELECT block, ap, bp, any_value(ac) AS ac, any_value(bc) AS bc, any_value(ast) AS ast, any_value(bst) AS bst, count(DISTINCT vcf_id) AS supp, CAST(sum(w) AS BIGINT) AS supp_calls,
+  array_to_string(list_sort(flatten(list(ids))), '|') AS idl, CASE WHEN min(inv) = max(inv) AND count(inv) = count(*) THEN min(inv) END AS inversion FROM ev GROUP BY 1, 2, 3),
+n AS (SELECT *, coalesce(inversion, concat_ws('_', 'ev', ac, ap, bc, bp, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(idl) + 1), lambda i: ascii(substr(idl, i, 1))::BIGINT)), lambda h, c: (h * 17 + c) % 1000000007))) AS event FROM g),
+r AS (SELECT *, 'A' AS own, 'B' AS other, ac AS contig, ap AS pos, bc AS mc, bp AS mp, ast AS strands FROM n UNION ALL SELECT *, 'B', 'A', bc, bp, ac, ap, bst FROM n)"""
+
+
+@query(
+    "bnd_records",
+    f"""WITH {_BND}, {_EVENTS} SELECT contig, pos, event || '_' || own AS id, event || '_' || other AS mate_id, mc AS mate_contig, 'N' AS ref,
+  CASE strands WHEN '+-' THEN '[' || mc || ':' || mp || '[N' WHEN '--' THEN ']' || mc || ':' || mp || ']N' WHEN '++' THEN 'N[' || mc || ':' || mp || '[' WHEN '-+' THEN 'N]' || mc || ':' || mp || ']' END AS alt,
+  strands, '0,0' AS cipos, supp, supp_calls, replace(idl, '|', ',') AS idlist, event, CASE WHEN inversion IS NOT NULL THEN 'INV' END AS eventtype FROM r""",
+)
+def bnd_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Two records for each set of events at the very same two places."""
+    found = cut(mates.events(mates.paired(_live(spark, folder))))
+    place = ["block", "start", "end"]
+    same = found.groupBy(*place).agg(F.min("idx").alias("group_id"))
+    made = mates.merged_events(found, found.select("idx", *place).join(same, place))
+    text = lambda c, mark=",": F.array_join(F.col(c).cast("array<string>"), mark).alias(c)
+    return made.select("contig", "pos", "id", "mate_id", "mate_contig", "ref", "alt", "strands", text("cipos"), "supp", "supp_calls", text("idlist"), "event", "eventtype")
+
+
 @query("bnd_merged")
 def bnd_merged(spark: SparkSession, folder: str) -> DataFrame:
     """Breakend events of all files, clustered and written as two records each."""

@@ -14,7 +14,9 @@ def diagnostics(calls: DataFrame, membership: DataFrame) -> DataFrame:
     """16 text columns; tabs and line breaks inside values become blanks."""
 
     def shape(df: DataFrame, kind: str) -> DataFrame:
-        clean = lambda c: F.regexp_replace(F.col(c).cast("string"), "[\t\r\n]", " ")
+        kinds = dict(df.dtypes)
+        value = lambda c: F.array_join(F.col(c).cast("array<string>"), ",") if kinds[c].startswith("array") else F.col(c).cast("string")
+        clean = lambda c: F.regexp_replace(value(c), "[\t\r\n]", " ")
         own = [clean(c).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in _COLUMNS[1:]]
         return df.select(F.lit(kind).alias("record_type"), *own)
 

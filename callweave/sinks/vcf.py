@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable
@@ -32,18 +33,24 @@ EVENTTYPE:1:String:Class of the event as a whole"""
 _EMPTY_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def header_text(contigs: dict[str, int | None], samples: Iterable[str], formats: Iterable[str] = (), version: bool = True, command: str | None = None) -> str:
-    """The header of a merged file; also what header-only mode prints."""
-    lines = ["##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=InvBreakpoint,Description="Breakpoint of an inversion">']
-    lines += [f"##contig=<ID={c}" + (f",length={n}" if n is not None else "") + ">" for c, n in contigs.items()]
+def header_text(contigs: dict[str, int | None], samples: Iterable[str], declared: Iterable[str] = (), version: bool = True, command: str | None = None) -> str:
+    """The header of a merged file; also what header-only mode prints.
+
+    ``declared`` are the INFO, FILTER and FORMAT lines of the inputs; the fields that a merge itself writes are declared as it writes them.
+    """
+    own = ['##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=InvBreakpoint,Description="Breakpoint of an inversion">']
     for row in _INFO.splitlines():
         name, number, kind, text = row.split(":")
-        lines.append(f'##INFO=<ID={name},Number={number},Type={kind},Description="{text}">')
-    lines += list(formats) or ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
+        own.append(f'##INFO=<ID={name},Number={number},Type={kind},Description="{text}">')
+    own.append('##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">')
+    field = lambda line: re.match(r"##(\w+)=<(?:.*?,)?ID=([^,>]+)", line).groups()
+    mine = {field(line) for line in own}
+    lines = ["##fileformat=VCFv4.2", *own, *[line for line in declared if field(line) not in mine]]
+    lines += [f"##contig=<ID={c}" + (f",length={n}" if n is not None else "") + ">" for c, n in contigs.items()]
     if version:
         lines.append(f"##callweave_version={__version__}")
-    if command:
-        lines.append(f"##callweave_command={command}")
+        if command:
+            lines.append(f"##callweave_command={command}")
     return "\n".join([*lines, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]) + "\n"
 
 
@@ -66,14 +73,16 @@ def record_lines(records: DataFrame) -> DataFrame:
     alt = F.coalesce(F.col("alt"), symbolic) if "alt" in have else symbolic
     cells = F.array_join("cells", "\t") if "cells" in have else F.lit("./.")
     parts = ["contig", F.col("pos").cast("string"), "id", column("ref", "N"), alt, F.lit("."), column("filter", "."), F.concat_ws(";", *items), column("format", "GT"), cells]
-    return records.select("contig", "pos", F.concat_ws("\t", *parts).alias("line"))
+    stop = F.coalesce(F.col("end").cast("bigint"), F.col("pos")) if "end" in have else F.col("pos")
+    alleles = F.concat(F.array(column("ref", "N")), F.split(alt, ","))
+    return records.select("contig", "pos", stop.alias("stop"), alleles.alias("alleles"), F.concat_ws("\t", *parts).alias("line"))
 
 
 def sorted_lines(lines: DataFrame, contigs: dict[str, int | None]) -> DataFrame:
-    """Global order by contig rank, position and line; Spark sorts by ranges and spills as it must."""
+    """Global order by contig rank, position, alleles and line; Spark sorts by ranges and spills as it must."""
     order = list(contigs)
     rank = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("contig"))
-    return lines.withColumn("rid", F.when(rank == 0, F.raise_error(F.concat(F.lit("contig is in no header: "), "contig")).cast("int")).otherwise(rank - 1)).orderBy("rid", "pos", "line")
+    return lines.withColumn("rid", F.when(rank == 0, F.raise_error(F.concat(F.lit("contig is in no header: "), "contig")).cast("int")).otherwise(rank - 1)).orderBy("rid", "pos", "alleles", "line")
 
 
 def _block(data: bytes) -> bytes:
@@ -120,32 +129,36 @@ def _bin(begin: int, end: int) -> int:
     return 0
 
 
-def write_index(path: str, places: list[tuple[str, int, int, int, int]]) -> None:
-    """A tabix index from (contig, begin, end, first offset, last offset) of sorted records."""
-    names = list(dict.fromkeys(p[0] for p in places))
-    joined = b"".join(n.encode() + b"\0" for n in names)
-    out = struct.pack("<4siiiiiiii", b"TBI\x01", len(names), 2, 1, 2, 0, ord("#"), 0, len(joined)) + joined
-    for name in names:
-        bins: dict[int, list[list[int]]] = {}
-        linear: list[int] = []
-        for contig, begin, end, first, last in places:
-            if contig != name:
-                continue
-            chunks = bins.setdefault(_bin(begin, end), [])
-            if chunks and chunks[-1][1] == first:
-                chunks[-1][1] = last
-            else:
-                chunks.append([first, last])
-            for window in range(begin >> 14, ((end - 1) >> 14) + 1):
-                while len(linear) <= window:
-                    linear.append(linear[-1] if linear else first)
-        out += struct.pack("<i", len(bins))
-        for number, chunks in bins.items():
-            out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
-        out += struct.pack("<i", len(linear)) + b"".join(struct.pack("<Q", x) for x in linear)
-    index = BlockWriter(f"{path}.tbi")
-    index.write(out)
-    index.close()
+class Index:
+    """A tabix index, built while sorted records are written: what is kept grows with bins and windows, not with records."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, tuple[dict[int, list[list[int]]], list[int]]] = {}
+
+    def add(self, contig: str, begin: int, end: int, first: int, last: int) -> None:
+        """A record over [begin, end) whose line lies between two virtual offsets."""
+        bins, linear = self.parts.setdefault(contig, ({}, []))
+        chunks = bins.setdefault(_bin(begin, end), [])
+        if chunks and chunks[-1][1] >> 16 == first >> 16:
+            chunks[-1][1] = last
+        else:
+            chunks.append([first, last])
+        top = (end - 1) >> 14
+        if len(linear) <= top:
+            linear += [linear[-1] if linear else first] * ((begin >> 14) - len(linear))
+            linear += [first] * (top + 1 - len(linear))
+
+    def write(self, path: str) -> None:
+        joined = b"".join(n.encode() + b"\0" for n in self.parts)
+        out = struct.pack("<4siiiiiiii", b"TBI\x01", len(self.parts), 2, 1, 2, 0, ord("#"), 0, len(joined)) + joined
+        for bins, linear in self.parts.values():
+            out += struct.pack("<i", len(bins))
+            for number, chunks in bins.items():
+                out += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+            out += struct.pack("<i", len(linear)) + b"".join(struct.pack("<Q", x) for x in linear)
+        index = BlockWriter(f"{path}.tbi")
+        index.write(out)
+        index.close()
 
 
 def output_kind(path: str, kind: str | None = None) -> str:
@@ -165,17 +178,17 @@ def write_file(lines: DataFrame, header: str, path: str, kind: str | None = None
     packed = output_kind(path, kind) == "z"
     target = BlockWriter(path) if packed else open(path, "wb")
     target.write(header.encode())
-    places: list[tuple[str, int, int, int, int]] = []
+    places = Index()
     count = 0
     for row in lines.toLocalIterator(prefetchPartitions=True):
         first = target.tell()
         target.write(row["line"].encode() + b"\n")
         if packed and index:
-            places.append((row["contig"], row["pos"] - 1, row["pos"], first, target.tell()))
+            places.add(row["contig"], row["pos"] - 1, max(row["pos"], row["stop"]), first, target.tell())
         count += 1
     target.close()
     if packed and index:
-        write_index(path, places)
+        places.write(path)
     return count
 
 

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from callweave.config import EPSILON, MergeConfig
+from callweave.functions import masks
 from callweave.operators import aggregate as agg
 from callweave.operators.cluster import Forest, agglomerate, cluster_calls, components
 from callweave.operators.intervals import interval_join, repeat_of_deletions, repeat_of_insertions
@@ -87,9 +88,53 @@ def direct_pairs(rows, cfg):
     return out
 
 
+def plain_clusters(rows, pairs, cfg):
+    """The rules told step by step: every call offers its nearest partner left; the best offer of all is taken next.  No heap, no forest."""
+    names = sorted(range(len(rows)), key=lambda i: (rows[i][5].encode(), i))
+    rank = {i: k for k, i in enumerate(names)}
+    wishes = {i: [] for i in range(len(rows))}
+    for a, b, d, a_asks, b_asks in pairs:
+        if a_asks:
+            wishes[a].append((d, b))
+        if b_asks:
+            wishes[b].append((d, a))
+    wishes = {i: [(0.0, i), *sorted(w)] for i, w in wishes.items()}
+    home = {i: frozenset([i]) for i in range(len(rows))}
+    place = lambda i: (rows[i][7], rows[i][8])
+    gap = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+
+    def limit(i, j):
+        if rows[i][19] and rows[i][19] == rows[j][19]:
+            return cfg.tr_max_dist
+        return (max if cfg.no_mutual_distance else min)(rows[i][16], rows[j][16])
+
+    def good(i, j, union):
+        if any(rows[x][14] & rows[y][14] for x in home[i] for y in home[j]):
+            return False
+        xs, ys = [place(k)[0] for k in union], [place(k)[1] for k in union]
+        if cfg.merge_constraint == "bbox_diameter":
+            return gap((min(xs), min(ys)), (max(xs), max(ys))) <= limit(i, j) + EPSILON
+        if cfg.merge_constraint == "clique":
+            return all(gap(place(x), place(y)) <= limit(x, y) + EPSILON and not (rows[x][19] and rows[y][19] and rows[x][19] != rows[y][19]) for x in home[i] for y in home[j])
+        if cfg.merge_constraint == "centroid":
+            middle = (sum(xs) / len(xs), sum(ys) / len(ys))
+            return all(gap(place(k), middle) <= rows[k][16] + EPSILON for k in union)
+        return True
+
+    while any(wishes.values()):
+        offers = [(round(w[0][0] * 1e9), 0, 0, rank[i], rank[w[0][1]], i, w[0][1]) for i, w in wishes.items() if w]
+        *_, i, j = min(offers)
+        wishes[i].pop(0)
+        union = home[i] | home[j]
+        if home[i] != home[j] and good(i, j, union):
+            for k in union:
+                home[k] = union
+    return sorted({tuple(sorted(c)) for c in home.values()})
+
+
 @pytest.mark.parametrize("constraint", ["none", "bbox_diameter", "clique", "centroid"])
-def test_clusters_equal_unsharded_model(spark, constraint):
-    rng = random.Random(hash(constraint) % 1000)
+def test_clusters_equal_plain_model(spark, constraint):
+    rng = random.Random(len(constraint))
     for no_mutual in (False, True):
         cfg = MergeConfig(merge_constraint=constraint, no_mutual_distance=no_mutual, tr_max_dist=30)
         rows = [
@@ -98,12 +143,15 @@ def test_clusters_equal_unsharded_model(spark, constraint):
         pairs = direct_pairs(rows, cfg)
         got = candidate_pairs(spark.createDataFrame(rows, SCHEMA), cfg).collect()
         assert sorted((r["a"], r["b"]) for r in got) == sorted((p[0], p[1]) for p in pairs)
-        ranks = {i: k for k, i in enumerate(sorted(range(len(rows)), key=lambda i: (rows[i][5].encode(), i)))}
-        model = [{"start": r[7], "end": r[8], "max_dist": r[16], "mask": r[14], "hash": 0, "rank": ranks[i], "trid": r[19]} for i, r in enumerate(rows)]
-        want = {}
-        for i, g in enumerate(agglomerate(model, pairs, cfg)):
-            want.setdefault(g, []).append(i)
-        assert groups(spark, rows, cfg) == sorted(want.values())
+        assert groups(spark, rows, cfg) == [list(c) for c in plain_clusters(rows, pairs, cfg)]
+
+
+def test_near_ties_go_by_order():
+    """Distances a billionth apart are ties: the smaller hash comes first although its offer is farther."""
+    calls = [{"start": 0.0, "end": 0.0, "max_dist": 9.0, "mask": m, "hash": h, "rank": k, "trid": None} for k, (m, h) in enumerate([(1, 5), (2, 1), (2, 1)])]
+    pairs = [(0, 1, 3.0 + 0.9e-9, False, True), (0, 2, 3.0, True, False)]
+    assert agglomerate(calls, pairs, MergeConfig()) == [0, 0, 2]
+    assert agglomerate(calls, [(0, 1, 3.0 + 5e-9, False, True), (0, 2, 3.0, True, False)], MergeConfig()) == [0, 1, 0]
 
 
 @settings(max_examples=40, deadline=None)
@@ -184,10 +232,30 @@ def test_variance_is_stable(spark):
     assert abs(agg.moments(members).first()["var_start"] - 0.01) < 1e-12
 
 
-def test_first_sample(spark):
-    masks = [(1,), (6,), (-(1 << 63),), (0,), (-1,)]
-    got = spark.createDataFrame(masks, "m long").select(agg.first_sample(F.col("m"))).collect()
-    assert [r[0] for r in got] == [0, 1, 63, 64, 0]
+def test_masks_of_any_width(spark):
+    words = [([1],), ([6],), ([-(1 << 63)],), ([0],), ([-1],), ([0, 4, 0],)]
+    got = spark.createDataFrame(words, "m array<long>").select(masks.first(F.col("m")), masks.samples_of(F.col("m"))).collect()
+    assert [r[0] for r in got] == [0, 1, 63, masks._NONE, 0, 66]
+    assert got[1][1] == [1, 2] and got[4][1] == list(range(64)) and got[5][1] == [66]
+    rows = spark.createDataFrame([([0, 63, 64, 129],), ([None, 64],), ([],)], "s array<int>").select("s", masks.of_samples(F.col("s"), 3).alias("m"))
+    assert [r[1] for r in rows.collect()] == [[-(1 << 63) + 1, 1, 2], [0, 1, 0], [0, 0, 0]]
+    assert rows.agg(masks.union_size("m", 3)).first()[0] == 4
+    assert [r[0] for r in rows.select(masks.holds(F.col("m"), F.lit(64))).collect()] == [True, True, False]
+    assert [r[0] for r in rows.select(masks.shared(F.col("m"), F.array(*[F.lit(x).cast("bigint") for x in (0, 1)]))).collect()] == [True, True, False]
+    with pytest.raises(Exception, match="beyond"):
+        rows.select(masks.of_samples(F.col("s"), 1)).collect()
+
+
+def test_many_samples(spark):
+    """130 samples, each with a call of one place: the mask has three words, support counts all samples."""
+    rows = [call(i, 100 + i % 3, 50, 0) for i in range(130)]
+    wide = spark.createDataFrame(rows, SCHEMA).withColumn("sample_id", F.col("idx").cast("int")).withColumn("support_mask", masks.of_samples(F.array(F.col("idx").cast("int")), 3))
+    members = wide.join(cluster_calls(wide, MergeConfig()), ["block", "idx"])
+    record = agg.merged_records(members, MergeConfig(), 3).collect()
+    assert [(r["supp"], r["supp_calls"]) for r in record] == [(130, 130)]
+    twice = wide.withColumn("support_mask", masks.of_samples(F.array((F.col("idx") % 65).cast("int")), 3))
+    found = cluster_calls(twice, MergeConfig()).groupBy("group_id").count().collect()
+    assert sorted(r["count"] for r in found) == [43, 43, 44]  # one cluster a place: those of one sample never join
 
 
 def test_settings_that_change_nothing(spark):

@@ -5,7 +5,7 @@ import pytest
 
 from callweave.__main__ import main
 from callweave.config import ConfigError, MergeConfig
-from callweave.plans.merge import merge_breakends, merge_files
+from callweave.plans.merge import merge_breakends, merge_files, orphans_in_scope
 from callweave.sinks.diagnostics import diagnostics
 from callweave.sinks.vcf import _block, output_kind, write_file
 from callweave.sources import bcf, vcf
@@ -157,6 +157,71 @@ def test_breakends_of_files(spark, tmp_path):
         merge_breakends(spark, [odd]).collect()
 
 
+def test_command_line_with_breakends(spark, tmp_path):
+    """Two files, three samples, a deletion and an inversion's breakends: every line has the header's columns."""
+    info = ";HOMLEN=0;EVENT=i1;EVENTTYPE=INV"
+    mate = lambda pos, name, ref, alt, other, gts: f"{pos[0]}\t{pos[1]}\t{name}\t{ref}\t{alt}\t.\tInvBreakpoint\tSVTYPE=BND;MATEID={other}{info}\tGT:GQ\t{gts}"
+    one = write(tmp_path / "a.vcf", ["s1"], [A[1], mate(("chr1", 200), "p", "G", "]chr1:900]G", "q", "0/1:9"), mate(("chr1", 900), "q", "T", "T[chr1:200[", "p", "0/1:9")])
+    two = write(tmp_path / "b.vcf", ["s2", "s3"], [B[1], mate(("chr1", 202), "u", "C", "]chr1:903]CA", "v", "0/1:5\t1/1:6"), mate(("chr1", 903), "v", "A", "A[chr1:202[", "u", "0/1:5\t1/1:6")])
+    for path in (one, two):
+        text = open(path).read().replace("##FORMAT=<ID=GT", '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="q">\n##FORMAT=<ID=GT')
+        open(path, "w").write(text)
+    out = tmp_path / "out.vcf"
+    assert main(["merge", "--vcf", one, two, "-o", str(out), "--sort-output"]) == 0
+    lines = out.read_text().splitlines()
+    head = [x for x in lines if x.startswith("#CHROM")][0].split("\t")
+    rows = [dict(zip(head, x.split("\t"))) for x in lines if not x.startswith("#")]
+    assert all(len(x.split("\t")) == len(head) == 12 for x in lines if not x.startswith("#"))
+    assert any(x.startswith("##FORMAT=<ID=GQ") for x in lines) and any(x.startswith("##callweave_command=callweave merge") for x in lines)
+    a, cut_out, b = rows
+    assert (a["POS"], a["ID"], a["REF"], a["ALT"], a["FILTER"]) == ("201", "i1_A", "C", "]chr1:902]CA", "InvBreakpoint")
+    assert (b["POS"], b["ID"], b["REF"], b["ALT"]) == ("902", "i1_B", "A", "A[chr1:201[")
+    assert "STRANDS=--" in a["INFO"] and "STRANDS=++" in b["INFO"] and "SUPP=3;SUPP_CALLS=2" in a["INFO"] and "CIPOS=-2,2" in a["INFO"] and "EVENTTYPE=INV" in b["INFO"]
+    assert (a["FORMAT"], a["s1"], a["s2"], a["s3"]) == ("GT:GQ", "0/1:9", "0/1:5", "1/1:6")
+    assert cut_out["ALT"] == "<DEL>"
+
+
+def test_claimed_twice_and_scope(spark, tmp_path):
+    rows = [_bnd(("chr1", 200), "m", "]chr2:100]N", "n"), _bnd(("chr2", 100), "n", "]chr1:200]N", "m"), _bnd(("chr2", 100), "n", "]chr1:200]N", "m")]
+    path = write(tmp_path / "a.vcf", ["s1"], rows)
+    with pytest.raises(Exception, match="several mates"):
+        merge_breakends(spark, [path]).collect()
+    path = write(tmp_path / "b.vcf", ["s1"], [*rows[:2], _bnd(("chr1", 9), "lone", "N[chr2:7[", "gone")])
+    assert merge_breakends(spark, [path]).count() == 2
+    assert merge_breakends(spark, [path], MergeConfig(contig=("chr1",))).count() == 0
+    assert [r["id"] for r in orphans_in_scope(spark, [path], MergeConfig()).collect()] == ["0_lone"]
+    assert orphans_in_scope(spark, [path], MergeConfig(contig=("chr1",))).count() == 0
+
+
+def test_averages_give_the_plane_point(spark, tmp_path):
+    rows = [_bnd(("chr1", 200), "m", "]chr2:100]N", "n", ";AVG_START=201.5;AVG_END=99.25;CIPOS=-2,2"), _bnd(("chr2", 100), "n", "]chr1:200]N", "m", ";AVG_START=99.25;AVG_END=201.5")]
+    path = write(tmp_path / "a.vcf", ["s1"], rows)
+    found = {r["id"]: r for r in vcf.derive_breakends(vcf.raw_records(spark, [path]), [vcf.read_header(path)], MergeConfig()).collect()}
+    assert (found["0_m"]["start"], found["0_m"]["end"]) == (found["0_n"]["start"], found["0_n"]["end"]) == (200.5, 98.25)
+    assert abs(found["0_m"]["start_variance"] - (2 / 1.96) ** 2) < 1e-12 and found["0_n"]["start_variance"] == 0
+
+
+def test_formats_of_members(spark, tmp_path):
+    """Genotypes are padded to the record's ploidy; a tag of two types in one cluster is an error."""
+    one = write(tmp_path / "a.vcf", ["s1"], ["chr1\t501\tx\tN\t<DEL>\t.\t.\tSVTYPE=DEL;SVLEN=-50\tGT:GQ\t1:9"])
+    two = write(tmp_path / "b.vcf", ["s2", "s3"], ["chr1\t501\ty\tN\t<DEL>\t.\t.\tSVTYPE=DEL;SVLEN=-50\tGT:GQ\t0/1/1:9\t0/0/0:1"])
+    cells = merge_files(spark, [one, two], MergeConfig()).records.first()["cells"]
+    assert cells == ["1/./.:9", "0/1/1:9", "././.:."]
+    for path, kind in ((one, "Integer"), (two, "Float")):
+        text = open(path).read().replace("##FORMAT=<ID=GT", f'##FORMAT=<ID=GQ,Number=1,Type={kind},Description="q">\n##FORMAT=<ID=GT')
+        open(path, "w").write(text)
+    with pytest.raises(Exception, match="different types"):
+        merge_files(spark, [one, two], MergeConfig()).records.collect()
+
+
+def test_merged_files_keep_their_samples(spark, tmp_path):
+    """Ids that begin with a sample's number follow the sample; others get the file's ordinal."""
+    one = write(tmp_path / "a.vcf", ["s1"], ["chr1\t501\t0_x\tN\t<DEL>\t.\t.\tSVTYPE=DEL;SVLEN=-50;IDLIST=0_x,7_y\tGT\t0/1"])
+    two = write(tmp_path / "b.vcf", ["s2", "s3"], ["chr1\t901\t1_z\tN\t<DEL>\t.\t.\tSVTYPE=DEL;SVLEN=-50;IDLIST=1_z,0_w\tGT\t0/1\t0/1"])
+    got = {r["id"]: r["id_list"] for r in vcf.derive_calls(vcf.raw_records(spark, [one, two]), [vcf.read_header(one), vcf.read_header(two)], MergeConfig()).collect()}
+    assert got == {"0_x": ["0_x", "0_7_y"], "2_z": ["2_z", "1_w"]}
+
+
 def _typed(code, values, size=None):
     kind = {1: "b", 2: "h", 3: "i", 5: "f"}
     if code == 7:
