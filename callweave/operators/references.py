@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from callweave.operators.prefix import prefix_scan
 from callweave.session import cut
 
+#: A parent table of at most so many rows, with at most so many to a key, is sent to all tasks; beyond, everything is shuffled.
+SMALL_PARENT, SMALL_KEY = 10_000, 32
 _ALWAYS, _NEVER = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 
 
@@ -39,7 +41,8 @@ def broken_references(
     tables give an empty result or all ``missing``.
 
     Plan: distinct (key, time) pairs are anti-joined with the parent keys; what remains is decided by a running count of
-    open targets, which splits hot keys over tasks; rows are joined back last, with broken pairs only.
+    open targets, which splits hot keys over tasks; rows are joined back last, with broken pairs only.  A parent table that is counted
+    and found small goes to all tasks instead, and child rows are judged where they are.
     """
     k = [f"_k{i}" for i in range(len(foreign_key))]
     last = foreign_key[-1]
@@ -53,6 +56,10 @@ def broken_references(
         _moment(parent_from, _ALWAYS).alias("_from"),
         _moment(parent_until, _NEVER).alias("_until"),
     ).dropna(subset=k)
+    if targets.limit(SMALL_PARENT + 1).count() <= SMALL_PARENT:
+        per_key = targets.groupBy(*k).agg(F.collect_list(F.struct("_from", "_until")).alias("_all"))
+        if per_key.filter(F.size("_all") > SMALL_KEY).isEmpty():
+            return _judged(refs, per_key, k, keep)
     # Each side is scanned once here and kept as distinct (key, time): all decisions are made on these.
     asked = cut(refs.select(*k, "_t").distinct())
     starts = F.struct(F.col("_from").alias("_t"), (F.col("_until") > F.col("_from")).cast("int").alias("_d"), F.col("_from").alias("_start"))
@@ -74,6 +81,15 @@ def broken_references(
     return refs.join(broken, reduce(lambda x, y: x & y, same)).select(*keep, "status")
 
 
+def _judged(refs: DataFrame, per_key: DataFrame, k: list[str], keep: list[str]) -> DataFrame:
+    """Broken references against few targets, sent to all tasks: (kept columns, status)."""
+    judged = refs.join(F.broadcast(per_key), k, "left")
+    at = F.col("_t")
+    fine = F.exists("_all", lambda x: (x["_from"] <= at) & (x["_until"] > at))
+    status = F.when(F.col("_all").isNull(), "missing").when(fine, F.lit(None)).when(F.exists("_all", lambda x: x["_from"] > at), "late").otherwise("deleted")
+    return judged.select(*keep, status.alias("status")).filter(F.col("status").isNotNull())
+
+
 def breakend_references(breakends: DataFrame, contigs: DataFrame) -> DataFrame:
     """Broken ``mate_id`` and ``mate_contig`` references: (rec_id, loaded_at, field_name, status)."""
     keep = ["rec_id", "loaded_at"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callweave.operators.heavy import heavy_keys, per_key_distinct
 from callweave.operators.ingest import load_catalog, parse_catalog_lines
 from callweave.operators.prefix import prefix_scan
+from callweave.operators import references
 from callweave.operators.references import broken_references
 
 GOOD = "chr1\t10\t20\tID=a;MOTIFS=AC,G"
@@ -76,7 +77,9 @@ def _day(n):
     return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 
 
-def test_broken_references_match_direct_model(spark):
+@pytest.mark.parametrize("small", [10_000, -1])
+def test_broken_references_match_direct_model(spark, monkeypatch, small):
+    monkeypatch.setattr(references, "SMALL_PARENT", small)
     rng = random.Random(5)
     parents = [(rng.choice(["a", "b", "c", None]), rng.randrange(2), _day(rng.randrange(20)), rng.choice([None, _day(rng.randrange(30))])) for _ in range(60)]
     children = [(i, rng.choice(["a", "b", "c", "gone", ".", None]), rng.choice([0, 1, None]), _day(rng.randrange(25))) for i in range(300)]
