@@ -6,14 +6,15 @@ found by branch and bound: bundles are assigned in order, candidates best first,
 plus the best that each open bundle could still add does not beat the incumbent.
 
 The bound is computed before anything is gathered: one aggregation keeps, for each group and bundle, the best
-record (the root's bound).  A bundle without dependencies attains its bound at the root, so it needs no more than
-that aggregation, which combines on the map side and is safe for a group of any size.  Bundles tied by dependencies go on:
+record (the root's bound).  That aggregation combines on the map side and is safe for a group of any size.  A bundle without
+dependencies attains its bound at the root, so its search needs nothing else and closes at the first leaf.  Bundles tied by dependencies go on:
 their distinct value combinations, each with its best record, are shuffled by group and component, after those
 combinations that can't beat the incumbent (the best single record that serves all bundles) are dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,21 +55,22 @@ Score = tuple[int, int, int]
 def branch_and_bound(
     order: list[str], candidates: dict[str, list[tuple[Score, str, int]]], together: dict[tuple[str, str], set[tuple[str, str]]]
 ) -> dict[str, tuple[Score, str, int]]:
-    """The assignment with the greatest summed score; a bundle without any candidate stays open.
+    """The assignment of most bundles, and of these the one with the greatest summed score.
 
     ``candidates``: for each bundle (score, value, record), best first.  ``together``: for each dependency the value
-    pairs that occur in one record.  Scores add up element by element and compare lexicographically.
+    pairs that occur in one record.  Scores add up element by element and compare lexicographically.  A bundle without any candidate
+    stays open, and so does one that no candidate fits once the dependencies can't all be met: a group with a candidate never ends empty.
     """
     best: dict[str, tuple[Score, str, int]] = {}
-    best_score: Score | None = None
+    best_score: tuple[int, ...] | None = None
     todo = [b for b in order if candidates.get(b)]
-    bound: list[Score] = [(0, 0, 0)]
+    add = lambda score, more: (score[0] + 1, *(x + y for x, y in zip(score[1:], more)))
+    bound: list[tuple[int, ...]] = [(0, 0, 0, 0)]
     for b in reversed(todo):
-        top = candidates[b][0][0]
-        bound.append(tuple(x + y for x, y in zip(bound[-1], top)))
+        bound.append(add(bound[-1], candidates[b][0][0]))
     bound.reverse()
 
-    def go(depth: int, chosen: dict[str, tuple[Score, str, int]], score: Score) -> None:
+    def go(depth: int, chosen: dict[str, tuple[Score, str, int]], score: tuple[int, ...]) -> None:
         nonlocal best, best_score
         if best_score is not None and tuple(x + y for x, y in zip(score, bound[depth])) <= best_score:
             return
@@ -77,7 +79,7 @@ def branch_and_bound(
             return
         name = todo[depth]
         for candidate in candidates[name]:
-            reached = tuple(x + y for x, y in zip(score, candidate[0]))
+            reached = add(score, candidate[0])
             if best_score is not None and tuple(x + y for x, y in zip(reached, bound[depth + 1])) <= best_score:
                 break  # candidates come best first: none of the rest can do better
             fits = all(
@@ -89,8 +91,9 @@ def branch_and_bound(
                 chosen[name] = candidate
                 go(depth + 1, chosen, reached)
                 del chosen[name]
+        go(depth + 1, chosen, score)  # the bundle stays open
 
-    go(0, {}, (0, 0, 0))
+    go(0, {}, (0, 0, 0, 0))
     return best
 
 
@@ -109,8 +112,8 @@ def best_representatives(
     The order of records within a bundle is: higher ``trust`` (null lowest), later ``recency`` (timestamp, null
     earliest), smaller record id; ties are thus impossible, since ids are unique.  Rows with a null key belong to no
     group; repeated rows count as records.  A bundle without a usable record yields no row.  An empty table yields none.
-    A dependency (det, dep) demands that the two chosen values occur together in a record usable for both; if
-    the two have no such record in common, the less trusted one of them is left to the open choice of the search.
+    A dependency (det, dep) demands that the two chosen values occur together in a record usable for both.  If dependencies can't all be
+    met, as many bundles as can are chosen, and of these choices the one of most trust; a bundle left open yields no row.
     """
     dependencies = dependencies or []
     names = [b.name for b in bundles]
@@ -137,11 +140,7 @@ def best_representatives(
     )
     tied = {n for c in _components(bundles, dependencies) if len(c) > 1 for n in c}
     free = [i for i, n in enumerate(names) if n not in tied]
-    found = roots.select(
-        "first_record", F.explode(F.array(*[F.struct(F.lit(names[i]).alias("bundle"), (-F.col(f"_b{i}.i")).alias("record")) for i in free])).alias("_x")
-    ).select("first_record", "_x.bundle", "_x.record") if free else None
-    if found is not None:
-        found = found.filter(F.col("record").isNotNull())
+    found = _free(roots, [names[i] for i in free], free) if free else None
     for component in _components(bundles, dependencies):
         if len(component) > 1:
             part = _tied(rows, roots, names, component, [d for d in dependencies if d[0] in component])
@@ -149,15 +148,39 @@ def best_representatives(
     return found
 
 
+def _free(roots: DataFrame, names: list[str], at: list[int]) -> DataFrame:
+    """Branch and bound over bundles without dependencies: their root bounds are attained, so each search closes at its first leaf."""
+    columns = [F.col(f"_b{i}.{part}").cast("string").alias(f"{part}{j}") for j, i in enumerate(at) for part in "tri"]  # text keeps all digits beside nulls
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            groups, names_out, records = [], [], []
+            scores = [list(zip(*(frame[f"{part}{j}"].tolist() for part in "tri"))) for j, _ in enumerate(names)]
+            for k, first in enumerate(frame["first_record"].tolist()):
+                whole = {n: tuple(map(int, scores[j][k])) for j, n in enumerate(names) if isinstance(scores[j][k][2], str)}
+                candidates = {n: [(score, "", -score[2])] for n, score in whole.items()}
+                for n, (_, _, rec) in branch_and_bound(names, candidates, {}).items():
+                    groups.append(first)
+                    names_out.append(n)
+                    records.append(rec)
+            yield pd.DataFrame({"first_record": groups, "bundle": names_out, "record": records})
+
+    return roots.select("first_record", *columns).mapInPandas(solve, "first_record bigint, bundle string, record bigint")
+
+
 def _tied(rows: DataFrame, roots: DataFrame, names: list[str], component: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Branch and bound over the bundles of one component of the dependency graph."""
     at = [names.index(n) for n in component]
     usable = [F.col(f"_u{i}") for i in at]
-    values = F.struct(*[F.when(F.coalesce(F.col(f"_u{i}"), F.lit(False)), F.col(f"_v{i}")).alias(f"v{j}") for j, i in enumerate(at)])
+    value = [f"v{j}" for j in range(len(at))]
+    values = [F.when(F.coalesce(F.col(f"_u{i}"), F.lit(False)), F.col(f"_v{i}")).alias(v) for v, i in zip(value, at)]
     some = usable[0]
     for u in usable[1:]:
         some = some | u
-    combos = rows.filter(some).groupBy("_key", values.alias("_values")).agg(F.max("_score").alias("_score"))
+    combos = rows.filter(some).groupBy("_key", *values).agg(F.max("_score").alias("_score"))
+    for j, v in enumerate(value):  # a value may stand in several combinations; what it is worth is its best record's score
+        worth = combos.filter(F.col(v).isNotNull()).groupBy("_key", v).agg(F.max("_score").alias(f"_s{j}"))
+        combos = combos.join(worth, ["_key", v], "left")
     whole = usable[0]
     for u in usable[1:]:
         whole = whole & u
@@ -171,30 +194,28 @@ def _tied(rows: DataFrame, roots: DataFrame, names: list[str], component: list[s
 
     def ceiling(j: int) -> Column:
         others = [k for k in range(len(at)) if k != j]
-        return F.struct(*[sum((wide(F.col(f"_b{k}.{p}")) for k in others), wide(F.col(f"_score.{p}"))).cast("decimal(38,0)").alias(p) for p in parts])
+        return F.struct(*[sum((wide(F.col(f"_b{k}.{p}")) for k in others), wide(F.col(f"_s{j}.{p}"))).cast("decimal(38,0)").alias(p) for p in parts])
 
     floor = F.struct(*[floor[p].cast("decimal(38,0)").alias(p) for p in parts])
-    reach = [F.col(f"_values.v{j}").isNotNull() & (ceiling(j) >= floor) for j in range(len(at))]
+    reach = [F.col(v).isNotNull() & (ceiling(j) >= floor) for j, v in enumerate(value)]
     anyone = reach[0]
     for r in reach[1:]:
         anyone = anyone | r
-    kept_rows = joined.filter(F.col("_inc").isNull() | anyone).select(
-        "first_record", *[F.col(f"_values.v{j}").alias(f"v{j}") for j in range(len(at))], "_score.t", "_score.r", "_score.i"
-    )
+    scores = [F.col(f"_s{j}.{p}").cast("string").alias(f"{p}{j}") for j in range(len(at)) for p in parts]  # text keeps all digits beside nulls
+    kept_rows = joined.filter(F.col("_inc").isNull() | anyone).select("first_record", *value, *scores)
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         candidates: dict[str, dict[str, tuple[Score, str, int]]] = {n: {} for n in component}
         together: dict[tuple[str, str], set[tuple[str, str]]] = {p: set() for p in pairs}
         for row in group.itertuples(index=False):
-            value = {n: getattr(row, f"v{j}") for j, n in enumerate(component)}
-            s = (int(row.t), int(row.r), int(row.i))
-            for n, v in value.items():
-                if v is not None and (v not in candidates[n] or candidates[n][v][0] < s):
-                    candidates[n][v] = (s, v, -s[2])
+            stands = {n: getattr(row, f"v{j}") for j, n in enumerate(component)}
+            for j, (n, v) in enumerate(stands.items()):
+                if v is not None and v not in candidates[n]:
+                    score = tuple(int(getattr(row, f"{p}{j}")) for p in parts)
+                    candidates[n][v] = (score, v, -score[2])
             for a, b in pairs:
-                if value[a] is not None and value[b] is not None:
-                    together[a, b].add((value[a], value[b]))
-        together = {p: x for p, x in together.items() if x}
+                if stands[a] is not None and stands[b] is not None:
+                    together[a, b].add((stands[a], stands[b]))
         ordered = {n: sorted(c.values(), key=lambda x: x[0], reverse=True) for n, c in candidates.items()}
         best = branch_and_bound(component, ordered, together)
         return pd.DataFrame({"first_record": group["first_record"].iloc[0], "bundle": list(best), "record": [b[2] for b in best.values()]})
