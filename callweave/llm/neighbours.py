@@ -10,6 +10,9 @@ the bound is used; for the plane it is the sharper of the two, so the result for
 
 First each list is scanned for its own members, which bounds their k-th distance; then members look into each other
 list that comes within that bound.  Every list near enough is probed, so nothing is lost between lists.
+
+``nearest_vectors`` is the form for vectors of any width: lists around centres fitted on a bounded sample, a few lists probed, the
+hypothesis test in use; ``nearest_points`` is the exact form for the plane.
 """
 
 from __future__ import annotations
@@ -256,3 +259,118 @@ def nearest_points(points: DataFrame, ident: str, block: str, x: str, y: str, k:
         .select("point", "neighbour", "rank", F.lit(0.0).alias("distance"))
     )
     return first.unionByName(rest).withColumn("rank", (F.col("rank") + 1).cast("int"))
+
+
+#: Vectors that the centres are fitted on; every vector is put into a list.
+FIT_SAMPLE = 20_000
+#: Lists that a query looks into, as a share of all, and at least so many.
+PROBED_SHARE, LEAST_PROBED = 0.1, 8
+#: Vectors of a list that one task scans; a longer list is scanned in parts.
+PART_SIZE = 20_000
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.tolist()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+
+
+def _centres(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), count, replace=False)]
+    for _ in range(rounds):
+        home = (-2 * sample @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
+        total, size = np.zeros_like(centres), np.bincount(home, minlength=count)
+        np.add.at(total, home, sample)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return centres
+
+
+def _blocks(width: int) -> list[int]:
+    """Ends of the column blocks: each doubles what has been seen."""
+    ends = [max(1, min(width, 8))]
+    while ends[-1] < width:
+        ends.append(min(width, ends[-1] * 2))
+    return ends
+
+
+def _scan_part(k: int):
+    def run(asking: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
+        """The k best of a part of a list for each query that probes it; the k-th distance so far shrinks from piece to piece."""
+        if not len(asking) or not len(content):
+            return pd.DataFrame({"query": [], "near": [], "d2": []})
+        q, c = _matrix(asking["rotated"]), _matrix(content["rotated"])
+        q_id, c_id = asking["query"].to_numpy(), content["id"].to_numpy()
+        limit = np.full(len(q), np.inf)
+        best_q, best_id, best_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        blocks = _blocks(q.shape[1])
+        for a in range(0, len(c), 512):
+            piece = c[a : a + 512]
+            for b in range(0, len(q), 512):
+                at, of = scan_list(q[b : b + 512], piece, limit[b : b + 512], blocks, lossless=False)
+                at = at + b
+                keep = q_id[at] != c_id[a + of]
+                at, of = at[keep], of[keep]
+                best_q, best_id = np.r_[best_q, at], np.r_[best_id, c_id[a + of]]
+                best_d = np.r_[best_d, ((q[at] - piece[of]) ** 2).sum(axis=1)]
+            top = _best(best_q, best_d, best_id, k)
+            best_q, best_id, best_d = best_q[top], best_id[top], best_d[top]
+            full = np.bincount(best_q, minlength=len(q)) >= k
+            worst = np.zeros(len(q))
+            np.maximum.at(worst, best_q, best_d)
+            limit = np.where(full, worst, np.inf)
+        return pd.DataFrame({"query": q_id[best_q], "near": best_id, "d2": best_d})
+
+    return run
+
+
+def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int, queries: DataFrame | None = None, share: float = PROBED_SHARE) -> DataFrame:
+    """(query, near, rank, d2): about the k nearest vectors of each query by squared Euclidean distance, ties by id; not the query itself.
+
+    ``queries`` has the same columns and is ``vectors`` if not given.  All vectors are in the index; losses come from lists
+    that aren't probed and from the hypothesis test, and grow as ``share`` falls.  Vectors that are null, hold a null or a number that isn't finite,
+    or differ in width from the first by id take no part.  Ids are unique.  An empty table gives no row.
+    """
+    spark = vectors.sparkSession
+
+    def tidy(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+        return rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+    rows = tidy(vectors)
+    first = rows.agg(F.min_by(F.size("v"), "id"), F.count("*")).first()
+    width, count = first[0] or 1, first[1]
+    rows = rows.filter(F.size("v") == width)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_SAMPLE).toPandas()
+    n_lists = int(max(1, min(len(sample) // 8, math.isqrt(count), 4096)))
+    rotation = np.linalg.qr(np.random.default_rng(17).normal(size=(width, width)))[0]
+    centres = _centres(_matrix(sample["v"]) @ rotation, n_lists) if len(sample) else np.zeros((1, width))
+    probed = min(n_lists, max(LEAST_PROBED, math.ceil(share * n_lists)))
+    shared = spark.sparkContext.broadcast((rotation, centres))  # width x width and at most 4096 x width numbers
+
+    def assign(nearest: int):
+        def run(frames):
+            turn, middle = shared.value
+            for frame in frames:
+                for a in range(0, len(frame), 4096):
+                    part = frame.iloc[a : a + 4096]
+                    v = _matrix(part["v"]) @ turn
+                    away = -2 * v @ middle.T + (middle**2).sum(axis=1)
+                    order = np.argsort(away, axis=1, kind="stable")[:, :nearest]
+                    yield pd.DataFrame({"id": part["id"], "lists": order.tolist(), "rotated": v.tolist()})
+
+        return run
+
+    schema = "id bigint, lists array<int>, rotated array<double>"
+    content = cut(rows.mapInPandas(assign(1), schema).select("id", F.col("lists")[0].alias("list"), "rotated"))
+    asking = rows if queries is None else tidy(queries).filter(F.size("v") == width)
+    asking = asking.mapInPandas(assign(probed), schema).select(F.col("id").alias("query"), F.explode("lists").alias("list"), "rotated")
+    parts = content.groupBy("list").agg(F.ceil(F.count("*") / PART_SIZE).alias("_parts"))
+    content = content.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    asking = asking.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    # A list that many queries probe is scanned in several tasks as well.
+    crowd = asking.groupBy("list").agg(F.ceil(F.count("*") / PROBES_PER_TASK).alias("_crowds"))
+    asking = asking.join(crowd, "list").withColumn("crowd", F.pmod(F.xxhash64("query"), F.col("_crowds")))
+    content = content.join(crowd, "list").withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_crowds") - 1)))
+    by = ["list", "part", "crowd"]
+    found = asking.select("query", "rotated", *by).groupBy(*by).cogroup(content.select("id", "rotated", *by).groupBy(*by)).applyInPandas(_scan_part(k), "query bigint, near bigint, d2 double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "near"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "near", "rank", "d2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.neighbours import nearest_points
+from callweave.llm.neighbours import nearest_points, nearest_vectors
 from callweave.llm.registry import query
 from callweave.session import table
 
@@ -33,3 +33,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours and distances of the query points (ids divisible by 100), against all points."""
     return _nearest(spark, folder).filter(F.col("point") % 100 == 0)
+
+
+@query("p5_vectors")
+def p5_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest embeddings of each embedding whose id is divisible by 100, against all; approximate."""
+    rows = table(spark, folder, "embeddings")
+    return nearest_vectors(rows, "vec_id", "embedding", 10, rows.filter(F.col("vec_id") % 100 == 0))
