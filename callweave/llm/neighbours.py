@@ -263,8 +263,8 @@ def nearest_points(points: DataFrame, ident: str, block: str, x: str, y: str, k:
 
 #: Vectors that the centres are fitted on; every vector is put into a list.
 FIT_SAMPLE = 20_000
-#: Lists that a query looks into, as a share of all, and at least so many.
-PROBED_SHARE, LEAST_PROBED = 0.1, 8
+#: How many lists a query looks into is set on the sample: enough to hold this share of the nearest of ``TRIAL`` sampled queries.
+HELD, TRIAL = 0.98, 400
 #: Vectors of a list that one task scans; a longer list is scanned in parts.
 PART_SIZE = 20_000
 
@@ -284,6 +284,22 @@ def _centres(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) ->
     return centres
 
 
+def _probes(sample: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """Lists to probe so that ``HELD`` of the sampled queries' nearest vectors in the sample lie in them.
+
+    In the whole table the nearest are nearer than in the sample, so their lists come earlier still.
+    """
+    home = (-2 * sample @ centres.T + (centres**2).sum(axis=1)).argmin(axis=1)
+    size, places = (sample**2).sum(axis=1), []
+    for q in range(0, len(sample), max(1, len(sample) // TRIAL)):
+        d2 = size - 2 * sample @ sample[q]
+        d2[q] = np.inf
+        nearest = np.argpartition(d2, min(k, len(d2)) - 1)[:k]
+        order = np.argsort(((centres - sample[q]) ** 2).sum(axis=1), kind="stable")
+        places.append(np.argsort(order)[home[nearest]])
+    return int(np.quantile(np.concatenate(places), HELD)) + 1 if places else 1
+
+
 def _blocks(width: int) -> list[int]:
     """Ends of the column blocks: each doubles what has been seen."""
     ends = [max(1, min(width, 8))]
@@ -322,11 +338,11 @@ def _scan_part(k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int, queries: DataFrame | None = None, share: float = PROBED_SHARE) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int, queries: DataFrame | None = None) -> DataFrame:
     """(query, near, rank, d2): about the k nearest vectors of each query by squared Euclidean distance, ties by id; not the query itself.
 
     ``queries`` has the same columns and is ``vectors`` if not given.  All vectors are in the index; losses come from lists
-    that aren't probed and from the hypothesis test, and grow as ``share`` falls.  Vectors that are null, hold a null or a number that isn't finite,
+    that aren't probed (see ``HELD``) and from the hypothesis test (see ``EPSILON``).  Vectors that are null, hold a null or a number that isn't finite,
     or differ in width from the first by id take no part.  Ids are unique.  An empty table gives no row.
     """
     spark = vectors.sparkSession
@@ -342,8 +358,9 @@ def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int, queries
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_SAMPLE).toPandas()
     n_lists = int(max(1, min(len(sample) // 8, math.isqrt(count), 4096)))
     rotation = np.linalg.qr(np.random.default_rng(17).normal(size=(width, width)))[0]
-    centres = _centres(_matrix(sample["v"]) @ rotation, n_lists) if len(sample) else np.zeros((1, width))
-    probed = min(n_lists, max(LEAST_PROBED, math.ceil(share * n_lists)))
+    turned = _matrix(sample["v"]) @ rotation if len(sample) else np.zeros((0, width))
+    centres = _centres(turned, n_lists) if len(sample) else np.zeros((1, width))
+    probed = min(n_lists, _probes(turned, centres, k))
     shared = spark.sparkContext.broadcast((rotation, centres))  # width x width and at most 4096 x width numbers
 
     def assign(nearest: int):
