@@ -1,7 +1,8 @@
 """Joins on ranges, planned as equi-joins on bins so that no side is ever compared whole with the other.
 
-Intervals are binned at the power of two that covers their length, so an interval lies in at most two bins of its own level; a
-query looks into its bins at every level that occurs.  The number of levels is bounded by the position range (about 40).
+Both sides are binned at the power of two that covers their length, and at the coarser levels that the other side has; a pair meets
+at the coarser of its two levels.  So a row has at most two bins for each level, however long it is, and the number of levels is bounded by the
+position range (about 40).
 """
 
 from __future__ import annotations
@@ -38,16 +39,23 @@ def interval_join(queries: DataFrame, intervals: DataFrame, relation: str = "ove
     q0 = F.least("q_start", "q_end") - pad
     q1 = F.greatest("q_start", "q_end") + pad
     right = intervals.withColumn("_s", F.least("start", "stop")).withColumn("_e", F.greatest("start", "stop"))
-    right = right.withColumn("_level", _level(F.col("_e") - F.col("_s") + 1))
-    levels = right.select(key, "_level").distinct()
-    right = right.withColumn("_bin", F.explode(F.array_distinct(F.array(_bin(F.col("_s"), F.col("_level")), _bin(F.col("_e"), F.col("_level"))))))
-    left = queries.withColumn("_q0", q0).withColumn("_q1", q1).filter(F.col("_q0").isNotNull() & F.col("_q1").isNotNull()).join(levels, key)
-    left = left.withColumn("_bin", F.explode(F.sequence(_bin(F.col("_q0"), F.col("_level")), _bin(F.col("_q1"), F.col("_level")))))
-    joined = left.join(right, [key, "_level", "_bin"])
-    # An interval in two bins meets a query in both; the pair counts in the first bin they share.
+    right = right.withColumn("_own", _level(F.col("_e") - F.col("_s") + 1))
+    left = queries.withColumn("_q0", q0).withColumn("_q1", q1).filter(F.col("_q0").isNotNull() & F.col("_q1").isNotNull())
+    left = left.withColumn("_asked", _level(F.col("_q1") - F.col("_q0") + 1))
+
+    def binned(df: DataFrame, own: str, low: str, high: str, other: DataFrame, other_level: str) -> DataFrame:
+        """Rows at their own level and at the other side's coarser ones, in the bins of their two ends."""
+        levels = other.groupBy(key).agg(F.collect_set(other_level).alias("_levels"))
+        at = F.array_union(F.array(own), F.filter("_levels", lambda v: v > F.col(own)))
+        rows = df.join(levels, key).withColumn("_level", F.explode(at)).drop("_levels")
+        return rows.withColumn("_bin", F.explode(F.array_distinct(F.array(_bin(F.col(low), F.col("_level")), _bin(F.col(high), F.col("_level"))))))
+
+    joined = binned(left, "_asked", "_q0", "_q1", right, "_own").join(binned(right, "_own", "_s", "_e", left, "_asked"), [key, "_level", "_bin"])
+    # A pair meets at one level; in two bins of it, it counts in the first.
+    joined = joined.filter(F.col("_level") == F.greatest("_asked", "_own"))
     first = F.greatest(_bin(F.col("_q0"), F.col("_level")), _bin(F.col("_s"), F.col("_level")))
     good = _RELATIONS[relation](F.col("_q0"), F.col("_q1"), F.col("_s"), F.col("_e"))
-    return joined.filter((F.col("_bin") == first) & good).drop("_level", "_bin", "_q0", "_q1", "_s", "_e")
+    return joined.filter((F.col("_bin") == first) & good).drop("_level", "_bin", "_q0", "_q1", "_s", "_e", "_asked", "_own")
 
 
 def semi_interval(queries: DataFrame, intervals: DataFrame, ident: str, relation: str = "containing", key: str = "contig", anti: bool = False) -> DataFrame:
