@@ -93,13 +93,15 @@ def sample_columns(members: DataFrame, headers: list[vcf.Header]) -> DataFrame:
         typed = F.transform(F.filter(tags_of(F.col("format")), lambda t: t.isin(*odd)), lambda t: F.struct(t.alias("t"), F.try_element_at(kinds, F.concat_ws(":", F.col("vcf_id").cast("string"), t)).alias("k")))
         aggregates.append(F.array_distinct(F.flatten(F.collect_set(typed))).alias("_kinds"))
     sizes = members.groupBy(*keys).agg(*aggregates)
-    if kinds is not None:
-        clash = F.size("_kinds") > F.size(F.array_distinct(F.transform("_kinds", lambda s: s["t"])))
-        sizes = sizes.withColumn("_f", F.when(clash, F.raise_error(F.concat(F.lit("FORMAT tags of different types are merged: "), F.array_join(F.transform("_kinds", lambda s: F.concat_ws(" ", s["t"], s["k"])), ", "))).cast("string")).otherwise(F.col("_f")))
     joined = cells.join(sizes.select(*keys, "_n"), keys).filter((F.col("_n") == 1) | masks.holds(F.col("support_mask"), F.col("sample")))
     best = joined.groupBy(*keys, "sample").agg(F.min(F.struct("first_sample", "id", "idx", "format", "_v")).alias("_b"))
     tags = F.array_distinct(F.flatten(F.transform("_all", tags_of)))
-    layout = sizes.select(*keys, F.when(F.col("_n") == 1, tags_of(F.col("_f"))).otherwise(format_order(tags)).alias("_tags"))
+    chosen = F.when(F.col("_n") == 1, tags_of(F.col("_f"))).otherwise(format_order(tags))
+    if kinds is not None:
+        clash = F.size("_kinds") > F.size(F.array_distinct(F.transform("_kinds", lambda s: s["t"])))
+        told = F.concat(F.lit("FORMAT tags of different types are merged: "), F.array_join(F.transform("_kinds", lambda s: F.concat_ws(" ", s["t"], s["k"])), ", "))
+        chosen = F.when(clash, F.raise_error(told).cast("array<string>")).otherwise(chosen)
+    layout = sizes.select(*keys, chosen.alias("_tags"))
     pairs = F.map_from_arrays(tags_of(F.col("_b.format")), F.transform(tags_of(F.col("_b.format")), lambda t, i: F.coalesce(F.get(F.split("_b._v", ":"), i), F.lit("."))))
     filled = best.select(*keys, F.struct("sample", pairs.alias("m")).alias("_s")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("_s")).alias("_cells"))
     whole = layout.join(filled, keys, "left")
