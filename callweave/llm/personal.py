@@ -20,7 +20,7 @@ from callweave.llm.personal_model import TAGS, Tagger, encode, load, one_thread
 from callweave.llm.personal_samples import KINDS, SPELLED
 
 WINDOW = 128
-_BATCH = 256
+_BATCH = 512
 _CENTRAL = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)[:, None]
 
 _SIGNED = re.compile(r"[\w.+-]*[\w+](?:@|©| @ )[\w-]+(?:\.[\w-]+)+")
@@ -35,8 +35,8 @@ def blocks(text: str) -> list[tuple[int, int]]:
     timed = ["-->" in line for line in lines] if "-->" in text else [False] * len(lines)
     timed.append(False)
     for i, line in enumerate(lines):
-        bare = line.strip(" \t\ufeff")
-        if timed[i] or (bare.isdecimal() and timed[i + 1]) or not line.strip(" \t") or (i == 0 and bare.startswith("WEBVTT")):
+        bare = "" if timed[i] else line.strip(" \t\ufeff")
+        if timed[i] or (timed[i + 1] and bare.isdecimal()) or (not bare and not line.strip(" \t")) or (i == 0 and bare.startswith("WEBVTT")):
             if begin >= 0:
                 out.append((begin, at))
                 begin = -1
@@ -50,6 +50,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 def _clean(piece: str) -> str:
     """A block without markup, each run of blanks one blank."""
+    if "<" not in piece and "{" not in piece and "\t" not in piece and "\r" not in piece and "\f" not in piece and "\v" not in piece:
+        plain = piece.replace("\n", " ")
+        if "  " not in plain:
+            return plain.lstrip(" ")
     return _BLANKS.sub(" ", _TAG.sub("", piece) if "<" in piece or "{" in piece else piece).lstrip(" ")
 
 
@@ -77,9 +81,11 @@ _MISREAD = re.compile(f"{_among(0xC2, 0xDF)}{_among(0x80, 0xBF)}|{_among(0xE0, 0
 def _repair(text: str) -> tuple[str, list[int] | None]:
     """The text with UTF-8 that was read as another encoding undone, also twice, and where each character and the end stand; None if nothing was."""
     starts: list[int] | None = None
+    if text.isascii():
+        return text, starts
     for _ in range(3):
         pieces, kept, at = [], [], 0
-        for found in _MISREAD.finditer(text) if not text.isascii() else ():
+        for found in _MISREAD.finditer(text):
             try:
                 char = bytes(_BYTE[c] for c in found.group()).decode()
             except UnicodeDecodeError:

@@ -55,8 +55,13 @@ def symbol(c: str) -> int:
     return _ASCII + 6 if kind in ("Zs", "Cf") else _ASCII + 4
 
 
-def encode(text: str) -> list[int]:
-    return list(map(symbol, text))
+def encode(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode(), dtype=np.uint8)
+    out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    for i in np.flatnonzero(out >= _ASCII).tolist():
+        out[i] = symbol(text[i])
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,30 +112,30 @@ def _tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 class Tagger:
     """Scores and decodes lines.  Gates lie apart as (gate, line, unit), and a step only touches lines that reach it.
 
-    Every gate is 1 / (1 + exp(-z)), the fourth and the output's tanh(z) being 2 / (1 + exp(-2z)) - 1; the factors are in the weights.
+    A sigmoid gate is (tanh(z / 2) + 1) / 2: the inner half is in the weights, the outer ones too, as hidden states are held twice their size.
     """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         t, n = _tables(weights), HIDDEN
-        factor = np.array([-2, -2, -2, -2], np.float32)[:, None, None]  # three gates come halved from ``_tables``
-        apart = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2) * factor)
+        apart = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2))
         self.tables = {d: apart(t[d]) for d in "fb"}
-        self.rec = {d: apart(t[f"h{d}"]) for d in "fb"}
-        self.out = {"f": np.ascontiguousarray(weights["out"][:n]), "b": np.ascontiguousarray(weights["out"][n:])}
-        trans = weights["trans"]
-        self.enter = float(max((trans[0, 1:] - trans[0, 0]).max(), (weights["first"][1:] - weights["first"][0]).max()))
-        self.stay, self.leave = float((trans[1:, 1:] - trans[0, 0]).max()), float(max((trans[1:, 0] - trans[0, 0]).max(), 0.0))
+        self.rec = {d: apart(t[f"h{d}"] * np.float32(0.5)) for d in "fb"}
+        half = weights["out"].T * np.float32(0.5)
+        self.out = {"f": np.ascontiguousarray(half[:, :n]), "b": np.ascontiguousarray(half[:, n:])}
+        trans = weights["trans"].astype(np.float32)
+        rise, kinds = trans - trans[0, 0], np.arange(1, TAGS, 2)
+        self.enter, self.leave, self.start = rise[0, 1:, None], rise[1:, 0, None], (weights["first"][1:] - weights["first"][0])[:, None]
+        self.own = {(x, y): rise[kinds + x, kinds + y][:, None] for x in (0, 1) for y in (0, 1)}  # from the first (0) or an inner (1) tag of a kind to such a one
+        apart_kinds = (np.arange(1, TAGS)[:, None] - 1) // 2 != (np.arange(1, TAGS)[None] - 1) // 2
+        self.cross = np.where(apart_kinds, rise[1:, 1:], -np.inf).max(axis=0)[:, None]
 
     def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(time, batch, tags) scores for symbols (time, batch); lines must come longest first."""
-        with np.errstate(over="ignore"):  # exp of a large number is infinite, its gate rightly 0
-            return self._emissions(x, lengths)
-
-    def _emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         steps, batch = x.shape
         n = HIDDEN
-        scores = np.broadcast_to(self.w["out_b"], (steps, batch, TAGS)).copy()
+        scores = np.empty((steps, TAGS, batch), np.float32)
+        scores[:] = self.w["out_b"][:, None]
         live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lines longer than t
         gates, looked = np.empty((4, batch, n), np.float32), np.empty((4, batch, n), np.float32)
         for d in "fb":
@@ -141,33 +146,40 @@ class Tagger:
                 z, hk, ck, tk = gates[:, :k], h[:k], c[:k], tc[:k]
                 np.matmul(hk, rec, out=z)
                 z += np.take(table, x[t, :k], axis=1, out=looked[:, :k], mode="clip")
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                z[3] *= 2
-                z[3] -= 1
+                np.tanh(z, out=z)
+                z[:3] += 1
                 ck *= z[1]
                 z[3] *= z[0]
                 ck += z[3]
-                np.multiply(ck, -2, out=tk)
-                np.exp(tk, out=tk)
-                tk += 1
-                np.divide(2, tk, out=tk)
-                tk -= 1
+                ck *= 0.5
+                np.tanh(ck, out=tk)
                 np.multiply(z[2], tk, out=hk)
-                scores[t, :k] += hk @ out
-        return scores
+                scores[t, :, :k] += out @ hk.T
+        return scores.transpose(0, 2, 1)
 
     def surely_plain(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Lines whose best path is provably all outside: no stretch of other tags can gain, however its transitions fall."""
-        steps, batch, _ = scores.shape
-        gain = scores[:, :, 1:].max(axis=2) - scores[:, :, 0] + self.stay
-        current, best = np.full(batch, -np.inf, np.float32), np.full(batch, -np.inf, np.float32)
-        for t in range(steps):
-            here = t < lengths
-            current = np.where(here, np.maximum(current, 0) + gain[t], -np.inf)
-            best = np.maximum(best, current)
-        return best + self.enter + self.leave - self.stay < 0
+        """Lines, longest first, whose best path is all outside: no stretch of other tags gains anything.
+
+        Steps within a kind count exactly, those from one kind to another as the best of them after the best stretch so far.
+        """
+        by_tag = scores.transpose(0, 2, 1)
+        live = np.searchsorted(-lengths, -np.arange(len(by_tag) + 1), side="left")  # lines longer than t
+        now = by_tag[0, 1:] - by_tag[0, :1] + self.start
+        best = np.full(len(lengths), -np.inf, np.float32)
+        for t, (k, after) in enumerate(zip(live, live[1:])):
+            if t:
+                first, inner = now[0::2, :k], now[1::2, :k]
+                then = np.maximum(self.enter, now[:, :k].max(axis=0) + self.cross)
+                for y in (0, 1):
+                    np.maximum(then[y::2], first + self.own[0, y], out=then[y::2])
+                    np.maximum(then[y::2], inner + self.own[1, y], out=then[y::2])
+                then += by_tag[t, 1:, :k]
+                then -= by_tag[t, :1, :k]
+                now = then
+            np.maximum(best[:k], (now + self.leave).max(axis=0), out=best[:k])
+            if after < k:  # these end here
+                np.maximum(best[after:k], now[:, after:k].max(axis=0), out=best[after:k])
+        return best < -1e-3
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray | None]:
         """The best tag sequence of each column of (time, batch, tags); None if it is all outside."""

@@ -485,6 +485,19 @@ def test_plain_lines_are_recognised_exactly(finder):
         assert np.allclose(alone[:, 0], scores[: lengths[j], j], atol=1e-4)
 
 
+def test_most_plain_lines_need_no_decoding(finder):
+    """The test for plain lines is sharp: nearly all lines whose best path is all outside are seen to be so, and no other one."""
+    texts = sorted((t for t, _ in personal_samples.sample(1500, seed=12) if t), key=len, reverse=True)
+    lengths = np.array([len(t) for t in texts])
+    x = np.full((lengths[0], len(texts)), 32)
+    for j, t in enumerate(texts):
+        x[: len(t), j] = personal_model.encode(t)
+    scores = finder.tagger.emissions(x, lengths)
+    plain = finder.tagger.surely_plain(scores, lengths)
+    outside = np.array([not p.any() for p in finder.tagger._viterbi(scores, lengths)])
+    assert not (plain & ~outside).any() and plain.sum() > 0.95 * outside.sum()
+
+
 def test_gradients_are_right():
     lines = personal_samples.sample(4, seed=3)
     longest = max(len(t) for t, _ in lines)
