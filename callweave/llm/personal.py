@@ -35,8 +35,13 @@ def blocks(text: str) -> list[tuple[int, int]]:
     timed = ["-->" in line for line in lines] if "-->" in text else [False] * len(lines)
     timed.append(False)
     for i, line in enumerate(lines):
-        bare = "" if timed[i] else line.strip(" \t\ufeff")
-        if timed[i] or (timed[i + 1] and bare.isdecimal()) or (not bare and not line.strip(" \t")) or (i == 0 and bare.startswith("WEBVTT")):
+        if (
+            not line
+            or timed[i]
+            or (timed[i + 1] and line.strip(" \t\ufeff").isdecimal())
+            or (line[0] in " \t" and not line.strip(" \t"))
+            or (i == 0 and line.strip(" \t\ufeff").startswith("WEBVTT"))
+        ):
             if begin >= 0:
                 out.append((begin, at))
                 begin = -1
@@ -104,9 +109,12 @@ def _repair(text: str) -> tuple[str, list[int] | None]:
 
 
 _STRIP = " ,;:!?\"'“”«»¿¡<>[]"
-_EDGE = {"email": _STRIP + ".()", "phone": _STRIP + ".-/", "id_number": _STRIP + ".", "address": _STRIP + "()", "name": _STRIP + "()-♪"}
+_EDGE = {"email": _STRIP + ".()", "phone": _STRIP + ".-/", "id_number": _STRIP + ".", "address": _STRIP + "().", "name": _STRIP + "()-♪"}
 _DIGITISH = frozenset("OoQlI|SBZ")
 _MAIL = frozenset("._+-%@©")
+#: Articles, possessives and pronouns that are no given names, and prepositions that are no particles of names.
+_DETERMINERS = frozenset("der die dem des ein eine einen sie ihr ihre ihren mein meine dein deine sein seine unser unsere kein keine the this that these my your his her our their les une mes tes ses notre nos votre vos leur los las mis tus sus".split())
+_PREPOSITIONS = frozenset("in im bis mit ohne für with the of at until without sans avec dans sur con sin para".split())
 
 
 def _wordy(c: str) -> bool:
@@ -130,6 +138,18 @@ def _snap(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+_SPELLED = re.compile(rf"(?<!\w)(?:{'|'.join(SPELLED)})(?:(?:[ -]|, ?)(?:{'|'.join(SPELLED)}))+(?!\w)", re.I)
+
+
+def _spoken(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span that holds most of a row of five or more spoken digits begins and ends with that row."""
+    for row in _SPELLED.finditer(text):
+        shared = min(b, row.end()) - max(a, row.start())
+        if 2 * shared > row.end() - row.start() and not any(c.isdigit() for c in text[a:b]) and len(re.findall(r"\w+", row.group())) >= 5:
+            return row.span()
+    return a, b
+
+
 def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     """The span without punctuation around it, or None if it hasn't the least form of its kind."""
     a, b = _snap(kind, text, a, b)
@@ -140,9 +160,15 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
         b -= 1
     if b < len(text) and text[b] == ".":
         piece = text[a : b + 1]
-        if (kind == "address" and re.search(r"\b(?:St|Rd|Ave|Blvd)\.$", piece)) or (kind == "name" and re.search(r",\s+\S+\s[A-Z]\.$", piece)):
+        if (kind == "address" and re.search(r"\b(?:St|Rd|Ave|Blvd|Dr|Apt|str|izq|dcha)\.$", piece)) or (kind == "name" and re.search(r",\s+\S+\s[A-Z]\.$", piece)):
             b += 1
+    if kind == "phone":
+        a, b = _spoken(text, a, b)
+    while kind == "name" and (word := text[a:b].partition(" ")[0]) and word.lower() in _DETERMINERS:
+        a = min(b, a + len(word) + 1)
     piece = text[a:b]
+    if kind == "name" and any(w in _PREPOSITIONS for w in piece.replace(" in 't ", " ").split(" ")[1:]):
+        return None
     digits = sum(c.isdigit() or c in _DIGITISH for c in piece)
     digit = any(c.isdigit() for c in piece)
     letters = sum(c.isalpha() for c in piece)
@@ -168,49 +194,50 @@ def _trim(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
     return a, b
 
 
+def _columns(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Symbols of lines that follow each other, longest first, as (time, line), blanks beyond a line's end."""
+    out = np.full((len(lengths), lengths[0]), 32, dtype=np.int64)
+    out[np.arange(lengths[0]) < lengths[:, None]] = codes
+    return np.ascontiguousarray(out.T)
+
+
 class Finder:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.tagger = Tagger(weights)
         self.known: dict[str, list[tuple[int, int, str]]] = {}
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(begin, end, kind) in each cleaned block; wrongly encoded letters are read as what they stand for."""
-        repaired = [_repair(t) for t in texts]
-        found = self._spans([t for t, _ in repaired])
-        return [spans if at is None else [(at[a], at[b], kind) for a, b, kind in spans] for spans, (_, at) in zip(found, repaired)]
-
-    def _spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """(begin, end, kind) in each repaired block; equal blocks are read once."""
+        """(begin, end, kind) in each cleaned block; equal blocks are read once, wrongly encoded letters as what they stand for."""
         fresh = [t for t in dict.fromkeys(texts) if t not in self.known]
         if len(self.known) > 200_000:
             self.known.clear()
             fresh = list(dict.fromkeys(texts))
-        fresh.sort(key=len, reverse=True)
-        for a in range(0, len(fresh), _BATCH):
-            part = fresh[a : a + _BATCH]
-            for text, tags in zip(part, self._tags(part)):
-                self.known[text] = self._read(text, tags) if tags is not None else []
+        repaired = sorted(((*_repair(t), t) for t in fresh), key=lambda r: -len(r[0]))
+        for a in range(0, len(repaired), _BATCH):
+            part = repaired[a : a + _BATCH]
+            for (text, at, own), tags in zip(part, self._tags([r[0] for r in part])):
+                found = self._read(text, tags) if tags is not None else []
+                self.known[own] = found if at is None else [(at[b], at[e], kind) for b, e, kind in found]
         return [self.known[t] for t in texts]
 
     def _tags(self, texts: list[str]) -> list[np.ndarray | None]:
         """Tags of some texts, longest first; long ones are scored in overlapping windows and decoded whole."""
         step = WINDOW // 2
-        windows = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - step), step)]
-        codes = [encode(t) for t in texts]
-        pieces = [codes[k][at : at + WINDOW] for k, at in windows]
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        codes = encode("".join(texts))
+        if lengths[0] - step <= step:  # each text is one window
+            return self.tagger.decode(self.tagger.emissions(_columns(codes, lengths), lengths), lengths)
+        begins = np.cumsum(lengths) - lengths
+        windows = [(k, at) for k, n in enumerate(lengths.tolist()) for at in range(0, max(1, n - step), step)]
+        pieces = [codes[begins[k] + at : begins[k] + min(at + WINDOW, lengths[k])] for k, at in windows]
         order = sorted(range(len(windows)), key=lambda j: -len(pieces[j]))
         sizes = np.fromiter((len(pieces[j]) for j in order), dtype=np.int64, count=len(order))
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         blended = np.zeros((lengths[0], len(texts), TAGS), np.float32)
         weight = np.zeros((lengths[0], len(texts), 1), np.float32)
         for a in range(0, len(order), _BATCH):
             part = order[a : a + _BATCH]
-            x = np.full((sizes[a], len(part)), 32, dtype=np.int64)
-            for c, j in enumerate(part):
-                x[: len(pieces[j]), c] = pieces[j]
-            scores = self.tagger.emissions(x, sizes[a : a + len(part)])
-            if len(windows) == len(texts):
-                return self.tagger.decode(scores, lengths)
+            own = sizes[a : a + len(part)]
+            scores = self.tagger.emissions(_columns(np.concatenate([pieces[j] for j in part]), own), own)
             for c, j in enumerate(part):
                 (k, at), n = windows[j], len(pieces[j])
                 blended[at : at + n, k] += scores[:n, c] * _CENTRAL[:n]

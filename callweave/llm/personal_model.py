@@ -1,6 +1,6 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy alone.
+"""A bidirectional LSTM over pairs of characters with CRF transitions over characters, in numpy alone.
 
-``Tagger`` scores characters and decodes windows; ``train`` fits it on labelled lines by back-propagation through time
+A step reads two characters and scores both, which halves the steps.  ``Tagger`` scores characters and decodes windows; ``train`` fits it on labelled lines by back-propagation through time
 and the CRF's forward-backward recursion, with Adam.  Weights are kept beside the module (``python -m
 callweave.llm.personal_model [STEPS]`` makes them from the bounded sample of ``personal_samples``; seeds and steps are fixed).
 """
@@ -17,9 +17,9 @@ from pathlib import Path
 
 import numpy as np
 
-HIDDEN, EMBED, TAGS = 40, 20, 11
+HIDDEN, EMBED, TAGS = 48, 20, 11
 #: Steps of training behind the stored weights.
-STEPS = 4500
+STEPS = 5000
 WEIGHTS = Path(__file__).with_name("personal_weights.npz")
 _ASCII = 128
 #: Beyond ASCII: Latin capital, Latin small, other digit, other letter, mark or symbol, replacement character, blank.
@@ -55,15 +55,30 @@ def symbol(c: str) -> int:
     return _ASCII + 6 if kind in ("Zs", "Cf") else _ASCII + 4
 
 
+#: ``symbol`` of the characters up to U+FFFF that were met, else 255.
+_MET = np.full(0x10000, 255, np.uint8)
+
+
 def encode(text: str) -> np.ndarray:
     if text.isascii():
         return np.frombuffer(text.encode(), dtype=np.uint8)
-    out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    for i in np.flatnonzero(out >= _ASCII).tolist():
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = np.take(_MET, codes, mode="clip")
+    out[codes > 0xFFFF] = 255
+    for i in np.flatnonzero(out == 255).tolist():
         out[i] = symbol(text[i])
+        if codes[i] <= 0xFFFF:
+            _MET[codes[i]] = out[i]
     return out
 
 
+def pairs(x: np.ndarray) -> np.ndarray:
+    """(2, steps, batch) of symbols (time, batch): first and second characters of the steps, a blank after an odd end."""
+    if len(x) % 2:
+        x = np.concatenate([x, np.full((1, x.shape[1]), 32, x.dtype)])
+    return np.stack([x[::2], x[1::2]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -71,9 +86,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def initial(seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     h, e = HIDDEN, EMBED
-    w = {"emb": rng.normal(0, 0.3, (SYMBOLS, e)), "out": rng.normal(0, 0.2, (2 * h, TAGS)), "out_b": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
+    w = {"emb": rng.normal(0, 0.3, (SYMBOLS, e)), "out": rng.normal(0, 0.2, (2 * h, 2 * TAGS)), "out_b": np.zeros(2 * TAGS), "trans": np.zeros((TAGS, TAGS)), "first": np.zeros(TAGS)}
     for d in "fb":
-        w[f"x{d}"] = rng.normal(0, e**-0.5, (e, 4 * h))
+        w[f"x{d}"] = rng.normal(0, (2 * e) ** -0.5, (e, 4 * h))
+        w[f"y{d}"] = rng.normal(0, (2 * e) ** -0.5, (e, 4 * h))
         w[f"h{d}"] = rng.normal(0, h**-0.5, (h, 4 * h))
         bias = np.zeros(4 * h)
         bias[h : 2 * h] = 1
@@ -81,15 +97,16 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _run(w: dict[str, np.ndarray], d: str, table: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, hidden) of one direction, with what back-propagation needs; zero beyond a line's end."""
-    steps, batch = x.shape
+def _run(t: dict[str, np.ndarray], d: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (steps, batch, hidden) of one direction over pairs, with what back-propagation needs; zero beyond a line's end."""
+    _, steps, batch = x.shape
+    rec, inputs = t[f"h{d}"], t[f"x{d}"][x[0]] + t[f"y{d}"][x[1]]
     h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
     out, saved = np.empty((steps, batch, HIDDEN), np.float32), []
     n = HIDDEN
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        z = table[x[t]]
-        z += h @ w[f"h{d}"]
+        z = inputs[t]
+        z += h @ rec
         gates = np.tanh(z)  # the three sigmoid gates were scaled by one half in the weights
         i, f, o = (gates[:, :n] + 1) * 0.5, (gates[:, n : 2 * n] + 1) * 0.5, (gates[:, 2 * n : 3 * n] + 1) * 0.5
         g = gates[:, 3 * n :]
@@ -103,10 +120,11 @@ def _run(w: dict[str, np.ndarray], d: str, table: np.ndarray, x: np.ndarray, mas
 
 
 def _tables(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Each symbol's input to the gates, with the sigmoid gates halved (sigmoid(x) = (tanh(x / 2) + 1) / 2)."""
+    """What each symbol, as the first and as the second of a pair, puts into the gates; the sigmoid gates are halved (sigmoid(x) = (tanh(x / 2) + 1) / 2)."""
     half = np.ones(4 * HIDDEN, np.float32)
     half[: 3 * HIDDEN] = 0.5
-    return {d: (w["emb"] @ w[f"x{d}"] + w[f"b{d}"]) * half for d in "fb"} | {f"h{d}": w[f"h{d}"] * half for d in "fb"}
+    bias = {"x": 1, "y": 0}
+    return {f"{k}{d}": (w["emb"] @ w[f"{k}{d}"] + bias[k] * w[f"b{d}"]) * half for d in "fb" for k in "xy"} | {f"h{d}": w[f"h{d}"] * half for d in "fb"}
 
 
 class Tagger:
@@ -119,7 +137,7 @@ class Tagger:
         self.w = weights
         t, n = _tables(weights), HIDDEN
         apart = lambda m: np.ascontiguousarray(m.reshape(len(m), 4, n).transpose(1, 0, 2))
-        self.tables = {d: apart(t[d]) for d in "fb"}
+        self.tables = {d: apart((t[f"x{d}"][:, None] + t[f"y{d}"][None]).reshape(-1, 4 * n)) for d in "fb"}  # by pair of symbols
         self.rec = {d: apart(t[f"h{d}"] * np.float32(0.5)) for d in "fb"}
         half = weights["out"].T * np.float32(0.5)
         self.out = {"f": np.ascontiguousarray(half[:, :n]), "b": np.ascontiguousarray(half[:, n:])}
@@ -132,11 +150,13 @@ class Tagger:
 
     def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(time, batch, tags) scores for symbols (time, batch); lines must come longest first."""
-        steps, batch = x.shape
+        first, second = pairs(x)
+        both = first.astype(np.intp) * SYMBOLS + second
+        steps, batch = both.shape
         n = HIDDEN
-        scores = np.empty((steps, TAGS, batch), np.float32)
+        scores = np.empty((steps, 2 * TAGS, batch), np.float32)
         scores[:] = self.w["out_b"][:, None]
-        live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lines longer than t
+        live = np.searchsorted(-lengths, -2 * np.arange(steps), side="left")  # lines longer than 2 t
         gates, looked = np.empty((4, batch, n), np.float32), np.empty((4, batch, n), np.float32)
         for d in "fb":
             h, c, tc = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32), np.empty((batch, n), np.float32)
@@ -145,7 +165,7 @@ class Tagger:
                 k = live[t]
                 z, hk, ck, tk = gates[:, :k], h[:k], c[:k], tc[:k]
                 np.matmul(hk, rec, out=z)
-                z += np.take(table, x[t, :k], axis=1, out=looked[:, :k], mode="clip")
+                z += np.take(table, both[t, :k], axis=1, out=looked[:, :k], mode="clip")
                 np.tanh(z, out=z)
                 z[:3] += 1
                 ck *= z[1]
@@ -155,7 +175,7 @@ class Tagger:
                 np.tanh(ck, out=tk)
                 np.multiply(z[2], tk, out=hk)
                 scores[t, :, :k] += out @ hk.T
-        return scores.transpose(0, 2, 1)
+        return scores.reshape(2 * steps, TAGS, batch)[: len(x)].transpose(0, 2, 1)
 
     def surely_plain(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Lines, longest first, whose best path is all outside: no stretch of other tags gains anything.
@@ -163,8 +183,9 @@ class Tagger:
         Steps within a kind count exactly, those from one kind to another as the best of them after the best stretch so far.
         """
         by_tag = scores.transpose(0, 2, 1)
+        gain = by_tag[:, 1:] - by_tag[:, :1]
         live = np.searchsorted(-lengths, -np.arange(len(by_tag) + 1), side="left")  # lines longer than t
-        now = by_tag[0, 1:] - by_tag[0, :1] + self.start
+        now = gain[0] + self.start
         best = np.full(len(lengths), -np.inf, np.float32)
         for t, (k, after) in enumerate(zip(live, live[1:])):
             if t:
@@ -173,8 +194,7 @@ class Tagger:
                 for y in (0, 1):
                     np.maximum(then[y::2], first + self.own[0, y], out=then[y::2])
                     np.maximum(then[y::2], inner + self.own[1, y], out=then[y::2])
-                then += by_tag[t, 1:, :k]
-                then -= by_tag[t, :1, :k]
+                then += gain[t, :, :k]
                 now = then
             np.maximum(best[:k], (now + self.leave).max(axis=0), out=best[:k])
             if after < k:  # these end here
@@ -249,14 +269,16 @@ def _crf_gradient(scores: np.ndarray, tags: np.ndarray, mask: np.ndarray, trans:
 
 
 def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask: np.ndarray):
-    t = _tables(w)
+    t, n, length = _tables(w), HIDDEN, len(x)
+    x, pair_mask = pairs(x), mask[::2]
+    _, steps, batch = x.shape
     out, saved = {}, {}
     for d in "fb":
-        out[d], saved[d] = _run({f"h{d}": t[f"h{d}"]}, d, t[d], x, mask)
-    n = HIDDEN
+        out[d], saved[d] = _run(t, d, x, pair_mask)
     both = np.concatenate([out["f"], out["b"]], axis=2)
-    scores = both @ w["out"] + w["out_b"]
+    scores = (both @ w["out"] + w["out_b"]).reshape(steps, batch, 2, TAGS).transpose(0, 2, 1, 3).reshape(2 * steps, batch, TAGS)[:length]
     loss, g, g_trans, g_first = _crf_gradient(scores, tags, mask, w["trans"], w["first"])
+    g = np.concatenate([g, np.zeros((2 * steps - length, batch, TAGS), g.dtype)]).reshape(steps, 2, batch, TAGS).transpose(0, 2, 1, 3).reshape(steps, batch, 2 * TAGS)
     grads = {k: np.zeros_like(v) for k, v in w.items()}
     grads["trans"], grads["first"] = g_trans, g_first
     grads["out"] = np.tensordot(both, g, axes=([0, 1], [0, 1]))
@@ -264,9 +286,9 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask:
     g_both = g @ w["out"].T
     for k, d in enumerate("fb"):
         dh_next, dc_next = np.zeros_like(out[d][0]), np.zeros_like(out[d][0])
-        gz_all = np.empty((len(x), x.shape[1], 4 * n), np.float32)
+        gz_all = np.empty((steps, batch, 4 * n), np.float32)
         for step, h, c, i, f, o, gate, tc in reversed(saved[d]):
-            here = mask[step][:, None]
+            here = pair_mask[step][:, None]
             dh = (g_both[step, :, k * n : (k + 1) * n] + dh_next) * here
             dc = (dc_next + dh * o * (1 - tc * tc)) * here
             z = np.concatenate([dc * gate * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gate * gate)], axis=1)
@@ -274,13 +296,14 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, tags: np.ndarray, mask:
             dh_next, dc_next = z @ w[f"h{d}"].T, dc * f
             gz_all[step] = z
         flat = gz_all.reshape(-1, 4 * n)
-        per_symbol = np.zeros((SYMBOLS, 4 * n), np.float32)
-        order = np.argsort(x.ravel(), kind="stable")
-        ids, begin = np.unique(x.ravel()[order], return_index=True)
-        per_symbol[ids] = np.add.reduceat(flat[order], begin, axis=0)
+        for side, own in zip("xy", x):
+            per_symbol = np.zeros((SYMBOLS, 4 * n), np.float32)
+            order = np.argsort(own.ravel(), kind="stable")
+            ids, begin = np.unique(own.ravel()[order], return_index=True)
+            per_symbol[ids] = np.add.reduceat(flat[order], begin, axis=0)
+            grads[f"{side}{d}"] = w["emb"].T @ per_symbol
+            grads["emb"] += per_symbol @ w[f"{side}{d}"].T
         grads[f"b{d}"] = per_symbol.sum(axis=0)
-        grads[f"x{d}"] = w["emb"].T @ per_symbol
-        grads["emb"] += per_symbol @ w[f"x{d}"].T
     return loss, grads
 
 

@@ -83,10 +83,10 @@ Pedido {d}|Versión {d}|Habitación {d}, al fondo.|Subtítulos: equipo {w}|Desca
 }
 # Fixed values, by language: words of everyday sentences - links, adjectives, nouns, verbs.
 WORDS = {
-    "en": ("the a this that my your his her our no every some and but with without for from under near of in on at to", "big small old new good bad red black early late warm cold easy happy quiet loud heavy empty strange broken wet fast", "dog car table night friend water school letter window street money phone story garden teacher door city game chair boat doctor river morning dinner picture train", "sees wants knows takes finds opens likes needs has makes remembers loses brings closes is was runs waits sleeps talks"),
-    "de": ("der die das ein eine mein dein kein und aber mit ohne für von unter bei in auf zu nicht auch", "große kleine alte neue gute schlechte rote schwarze frühe späte warme kalte leichte frohe laute leere schwere seltsame nasse schnelle", "Hund Auto Tisch Nacht Freund Wasser Schule Brief Fenster Straße Geld Stimme Garten Lehrer Tür Stadt Spiel Stuhl Boot Arzt Fluss Morgen Essen Bild Zug", "sieht will kennt nimmt findet öffnet mag braucht hat macht vergisst verliert bringt schließt ist war läuft wartet schläft redet"),
-    "fr": ("le la les un une mon ta son et mais avec sans pour de sous près dans sur à pas aussi", "grand petit vieux nouveau bon mauvais rouge noir facile heureux calme lourd vide étrange cassé mouillé rapide chaud froid tardif", "chien voiture table nuit ami eau école lettre fenêtre argent histoire jardin porte ville jeu chaise bateau médecin rivière matin dîner image train voix", "voit veut connaît prend trouve ouvre aime cherche a fait oublie perd apporte ferme est était court attend dort parle"),
-    "es": ("el la los una un mi tu su y pero con sin para de bajo cerca en sobre a no también", "grande pequeño viejo nuevo bueno malo rojo negro fácil feliz tranquilo pesado vacío extraño roto mojado rápido caliente frío tarde", "perro coche mesa noche amigo agua escuela carta ventana dinero historia jardín puerta ciudad juego silla barco médico río mañana cena foto tren voz", "ve quiere conoce toma encuentra abre busca tiene hace olvida pierde trae cierra es era corre espera duerme habla"),
+    "en": ("the a this that my your his her our no every some and but with without for from under near of in on at to by past until through over behind into against between before after across or all these those toward beside during", "big small old new good bad red black early late warm cold easy happy quiet loud heavy empty strange broken wet fast", "dog car table night friend water school letter window street money phone story garden teacher door city game chair boat doctor river morning dinner picture train", "sees wants knows takes finds opens likes needs has makes remembers loses brings closes is was runs waits sleeps talks"),
+    "de": ("der die das ein eine mein dein kein und aber mit ohne für von unter bei in auf zu nicht auch im am zum zur vom beim ins durch über gegen bis während zwischen hinter vor nach aus den dem des einen einem dass wie oder seit um", "große kleine alte neue gute schlechte rote schwarze frühe späte warme kalte leichte frohe laute leere schwere seltsame nasse schnelle", "Hund Auto Tisch Nacht Freund Wasser Schule Brief Fenster Straße Geld Stimme Garten Lehrer Tür Stadt Spiel Stuhl Boot Arzt Fluss Morgen Essen Bild Zug", "sieht will kennt nimmt findet öffnet mag braucht hat macht vergisst verliert bringt schließt ist war läuft wartet schläft redet"),
+    "fr": ("le la les un une mon ta son et mais avec sans pour de sous près dans sur à pas aussi du des au aux contre devant vers entre chez derrière par jusque que ou ces cette nos", "grand petit vieux nouveau bon mauvais rouge noir facile heureux calme lourd vide étrange cassé mouillé rapide chaud froid tardif", "chien voiture table nuit ami eau école lettre fenêtre argent histoire jardin porte ville jeu chaise bateau médecin rivière matin dîner image train voix", "voit veut connaît prend trouve ouvre aime cherche a fait oublie perd apporte ferme est était court attend dort parle"),
+    "es": ("el la los una un mi tu su y pero con sin para de bajo cerca en sobre a no también del al contra hasta hacia entre tras desde por que o estos esas nuestros", "grande pequeño viejo nuevo bueno malo rojo negro fácil feliz tranquilo pesado vacío extraño roto mojado rápido caliente frío tarde", "perro coche mesa noche amigo agua escuela carta ventana dinero historia jardín puerta ciudad juego silla barco médico río mañana cena foto tren voz", "ve quiere conoce toma encuentra abre busca tiene hace olvida pierde trae cierra es era corre espera duerme habla"),
 }
 
 # Fixed values, by language: what makes a name that of a place, a firm or a thing, before or after it; and other words with a capital.
@@ -107,42 +107,53 @@ CAPITALS = {
 CUES = {
     "en": {
         "i": "passport number|social security number|SSN|tax number|national insurance number|identity card|ID number|driver's licence|insurance number|ID card no.|social security|ID|ID|identification|papers|passport|passport|insurance|residence permit|personal number|tax ID|national ID|social security number is|insurance no.",
-        "p": "phone number|phone|number|mobile|call|telephone|dial|cell|ring me at|reach me on|tel.|hotline",
+        "p": "phone number|phone|number|mobile|call|telephone|dial|cell|ring me at|reach me on|tel.|hotline|my number's|text me on|fax|extension|landline",
         "e": "e-mail|mail|write to|email address|contact|send it to|address|reply to|errors to",
         "a": "address|lives at|moved to|located at|house at|deliver to|go to|home is|driving to|send it to|taxi to",
         "d": "Invoice|Case|File|Room|Bus|Channel|Reel|Gate|Box|Unit|Article|Season|Episode|Track|Level|Highway|Flight|Order|Ticket|Version|Serial number|Reference|Batch|Floor|Frame|Model|Barcode|Tracking code|Account|Lot|Cell block|Line",
-        "open": "Perhaps|Maybe|Then|Now|Today|Yesterday|Tomorrow|Meanwhile|Suddenly|Surely|Only|Even|With|And|But|So|Because|When|Featuring|Starring|Introducing|Voice of|Based on a book by|Story by|Look,|Listen,|Well,|Is|Was|Did|Mister",
+        "open": "Perhaps|Maybe|Then|Now|Today|Yesterday|Tomorrow|Meanwhile|Suddenly|Surely|Only|Even|With|And|But|So|Because|When|Featuring|Starring|Introducing|Voice of|Based on a book by|Story by|Look,|Listen,|Well,|Is|Was|Did|Mister|Find|Call|Believe|Like|Follow|To",
         "after": "please|now|thanks|right away|okay|at nine|tomorrow|sir|quickly",
     },
     "de": {
         "i": "Passnummer|Sozialversicherungsnummer|Steuernummer|Steuer-ID|Personalausweis|Ausweisnummer|Führerschein|Versicherungsnummer|Rentennummer|Versicherung|Ausweis|Ausweis|Pass|Reisepass|Steuernummer ist|Versichertennummer|Kennnummer|ID|Personalnummer",
-        "p": "Telefonnummer|Telefon|Nummer|Handy|ruf an|wähl|Tel.|erreichbar unter|Rufnummer",
+        "p": "Telefonnummer|Telefon|Nummer|Handy|ruf an|wähl|Tel.|erreichbar unter|Rufnummer|meine Nummer|Mobil|Fax|Durchwahl|Festnetz",
         "e": "E-Mail|Mail|schreib an|Mailadresse|Kontakt|schick es an|Antwort an|Fehler an",
         "a": "Adresse|wohnt in der|gezogen in die|Haus in der|liefern an|fahr zur|Anschrift|Paket an|Taxi zur",
         "d": "Rechnung|Akte|Zimmer|Bus|Kanal|Gleis|Kiste|Artikel|Staffel|Folge|Stufe|Flug|Auftrag|Version|Seriennummer|Etage|Modell|Sendungsnummer|Konto|Los|Linie",
-        "open": "Vielleicht|Dann|Jetzt|Heute|Gestern|Morgen|Plötzlich|Sicher|Nur|Sogar|Mit|Und|Aber|Also|Weil|Wenn|Es spielt|Sprecher:|Nach einem Buch von|Stimme von|Schau,|Hör zu,|Ist|War|Hat|Gesprochen von|Ein Film von",
+        "open": "Vielleicht|Dann|Jetzt|Heute|Gestern|Morgen|Plötzlich|Sicher|Nur|Sogar|Mit|Und|Aber|Also|Weil|Wenn|Es spielt|Sprecher:|Nach einem Buch von|Stimme von|Schau,|Hör zu,|Ist|War|Hat|Gesprochen von|Ein Film von|Kennen Sie|Fragen Sie|Sind Sie|Erzählt von|Sehen Sie|Gelesen von|Haben Sie",
         "after": "bitte|jetzt|danke|sofort|gut|um neun|morgen|schnell",
     },
     "fr": {
         "i": "numéro de passeport|numéro de sécurité sociale|sécu|numéro fiscal|carte d'identité|pièce d'identité|permis de conduire|numéro d'assuré|passeport|sécurité sociale|identité|passeport n°|numéro national|titre de séjour|identifiant fiscal|ID|carte d'identité",
-        "p": "numéro de téléphone|téléphone|numéro|portable|appelez le|composez le|tél.|joignable au|ligne directe",
+        "p": "numéro de téléphone|téléphone|numéro|portable|appelez le|composez le|tél.|joignable au|ligne directe|mon numéro|fixe|fax|standard|rappelle au",
         "e": "e-mail|mail|écrivez à|adresse mail|contact|envoyez à|réponse à|erreurs à",
         "a": "adresse|habite au|déménagé au|située|maison au|livrer au|va au|colis pour le|taxi pour le",
         "d": "Facture|Dossier|Chambre|Bus|Chaîne|Quai|Boîte|Article|Saison|Épisode|Niveau|Vol|Commande|Version|Numéro de série|Étage|Modèle|Suivi|Compte|Lot|Ligne",
-        "open": "Peut-être|Alors|Maintenant|Aujourd'hui|Hier|Demain|Soudain|Même|Avec|Et|Mais|Donc|Parce que|Quand|Voix de|D'après un livre de|Texte de|Un film de|Traduction de|Regarde,|Écoute,|Est-ce que|Chez|Pour",
+        "open": "Peut-être|Alors|Maintenant|Aujourd'hui|Hier|Demain|Soudain|Même|Avec|Et|Mais|Donc|Parce que|Quand|Voix de|D'après un livre de|Texte de|Un film de|Traduction de|Regarde,|Écoute,|Est-ce que|Chez|Pour|Appelez|Connaissez-vous|Voilà|Lu par|Croyez",
         "after": "s'il vous plaît|maintenant|merci|tout de suite|d'accord|à neuf heures|demain|vite",
     },
     "es": {
         "i": "número de pasaporte|número de la seguridad social|NIF|número fiscal|carné de identidad|documento de identidad|permiso de conducir|número de asegurado|pasaporte|DNI|DNI|afiliado|seguridad social|identidad|documento|NIE|permiso de residencia|ID|carné",
-        "p": "número de teléfono|teléfono|número|móvil|llame al|marque el|tel.|localizable en el|línea directa",
+        "p": "número de teléfono|teléfono|número|móvil|llame al|marque el|tel.|localizable en el|línea directa|mi número|fijo|fax|centralita|llama al",
         "e": "e-mail|correo|escriba a|dirección de correo|contacto|envíelo a|respuesta a|errores a",
         "a": "dirección|vive en|mudado a|situada en|casa en|entregar en|vaya a|paquete para|taxi a",
         "d": "Factura|Expediente|Habitación|Autobús|Canal|Andén|Caja|Artículo|Temporada|Episodio|Nivel|Vuelo|Pedido|Versión|Número de serie|Piso|Modelo|Envío|Cuenta|Lote|Línea",
-        "open": "Quizás|Entonces|Ahora|Hoy|Ayer|Mañana|De repente|Solo|Hasta|Con|Y|Pero|Así que|Porque|Cuando|Voz de|Basada en un libro de|Texto de|Una película de|Traducción de|Mira,|Oye,|¿Es|¿Y|Para|Según",
+        "open": "Quizás|Entonces|Ahora|Hoy|Ayer|Mañana|De repente|Solo|Hasta|Con|Y|Pero|Así que|Porque|Cuando|Voz de|Basada en un libro de|Texto de|Una película de|Traducción de|Mira,|Oye,|¿Es|¿Y|Para|Según|Llame a|¿Conoce usted a|Pregunte por|Leído por|Crea a",
         "after": "por favor|ahora|gracias|enseguida|vale|a las nueve|mañana|rápido",
     },
 }
 
+# Fixed values, by language: what has the number of a line and goes to a town; what stands between a cue and its number.
+VEHICLES = {
+    "en": "Bus|Train|Tram|Night bus|Ferry|Coach|Flight|Line|Express|Shuttle",
+    "de": "Bus|Zug|Tram|Nachtbus|Fähre|Flug|Linie|S-Bahn|Express|Schiff",
+    "fr": "Bus|Train|Tram|Car|Bac|Vol|Ligne|Navette|Express|Bateau",
+    "es": "Autobús|Tren|Tranvía|Barco|Ferri|Vuelo|Línea|Autocar|Expreso|Lanzadera",
+}
+COPULAS = {"en": [" is", " is", "'s"], "de": [" ist", " lautet"], "fr": [" est", ", c'est", " :"], "es": [" es", " es", ":"]}
+# Endings of made German nouns and adjectives.
+NOUN_ENDS, ADJECTIVE_ENDS = ["", "", "e", "en", "en", "er", "ung", "ungen", "heit", "chen"], ["e", "en", "en", "er", "igen", "lichen", "ten"]
+
 # Parts of street addresses.
 STREETS_EN = ("Church|Station|Park|Victoria|Bridge|Oak|Maple|Cedar|Queen's|North|High|Garden|Washington|School|Market|Lower Green|Old Post|St. James'", "Street|St.|Road|Rd.|Rd|Avenue|Ave|Lane|Drive|Dr.|Court|Boulevard|Blvd|Square|Place|Way|Terrace|Close|Crescent|Row|Hill")
 STREETS_DE = ("Haupt|Bahnhof|Schul|Garten|Berg|Wald|Kirch|Markt|Goethe|Rosen|Wiesen|Schiller|Brunnen|Post|Burg|Tannen|Industrie", "straße|str.|weg|gasse|platz|allee|ring|ufer|damm|-Straße|steig|hof|chaussee")
@@ -207,15 +218,15 @@ class _Maker:
 
     def given(self, lang: str) -> str:
         r = self.rng
-        out = self.of(GIVEN[lang]) if r.random() < 0.55 else (self.syllables(lang, 1, 2) + r.choice(["a", "o", "", "e", "in", "us", "iel", "ie"])).capitalize()
+        out = self.of(GIVEN[lang]) if r.random() < 0.4 else (self.syllables(lang, 1, 2) + r.choice(["a", "o", "", "e", "in", "us", "iel", "ie"])).capitalize()
         return out + "-" + self.of(GIVEN[lang]) if r.random() < 0.03 else out
 
     def family(self, lang: str) -> str:
         r = self.rng
         way = r.random()
-        if way < 0.4:
+        if way < 0.2:
             out = self.of(FAMILY[lang])
-        elif way < 0.8:
+        elif way < 0.75:
             out = (self.syllables(lang, 1, 2) + self.of(FAMILY_ENDS[lang])).capitalize()
         else:
             out = self.syllables(lang, 1, 3).capitalize()
@@ -238,7 +249,7 @@ class _Maker:
         return f"{family}, {given}" if reverse else f"{given} {family}"
 
     def digits(self, pattern: str) -> str:
-        return "".join(str(self.rng.randrange(10)) if c == "#" else self.rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") if c == "A" else c for c in pattern)
+        return "".join(str(self.rng.randrange(10)) if c == "#" else self.rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c == "A" else c for c in pattern)
 
     def email(self, lang: str) -> str:
         r = self.rng
@@ -288,6 +299,17 @@ class _Maker:
             return number.replace("0", "O").replace("1", r.choice("1lI"))
         return number
 
+    def identity(self, lang: str) -> str:
+        """An identity number in a form of the language, or in any groups, with or without letters."""
+        r = self.rng
+        if r.random() < 0.7:
+            return self.digits(self.any(IDS[lang], "|"))
+        mark, body = r.choice(["", " ", " ", "-", "."]), []
+        while sum(map(len, body)) < 6 or r.random() < 0.25:
+            body.append("#" * r.choice([2, 2, 3, 3, 4]))
+        head = r.choice(["", "", "", "A", "AA", "AAA"])
+        return self.digits(head + (mark if head and r.random() < 0.5 else "") + mark.join(body) + (r.choice(["A", mark + "A"]) if r.random() < 0.2 else ""))
+
     def town(self, lang: str) -> str:
         out = (self.syllables(lang, 1, 1) + self.any(TOWN_ENDS[lang], " ")).capitalize() if self.rng.random() < 0.7 else self.syllables(lang, 2, 3).capitalize()
         first = self.any(TOWN_FIRST[lang], " ") if self.rng.random() < 0.15 else ""
@@ -296,7 +318,8 @@ class _Maker:
     def address(self, lang: str) -> str:
         r = self.rng
         n, code = str(r.randrange(1, 400)), self.digits("#####")
-        street = lambda: self.syllables(lang, 1, 2).capitalize() + r.choice(["", "", "er", "s"])
+        one = lambda: self.syllables(lang, 1, 2).capitalize() + r.choice(["", "", "er", "s"])
+        street = lambda: one() + ((" " if lang != "fr" or r.random() < 0.5 else "-") + one() if lang != "de" and r.random() < 0.18 else "")
         a, b = {"en": STREETS_EN, "de": STREETS_DE, "fr": STREETS_FR, "es": STREETS_ES}[lang]
         if lang == "en":
             base = self.of(a, "|") if r.random() < 0.5 else street() + ("'s" if r.random() < 0.1 else "")
@@ -307,12 +330,14 @@ class _Maker:
         if lang == "de":
             kind = self.any(b, "|")
             base = self.of(a, "|") if r.random() < 0.5 else street()
+            if kind[0] != "-" and r.random() < 0.12:
+                kind = f"-{kind.capitalize()}"
             out = f"{base}{kind} {n}{r.choice(['', '', 'a', ' b'])}" if r.random() < 0.9 else f"{r.choice(['Am', 'An der', 'Im', 'Zum'])} {base.capitalize()} {n}"
         elif lang == "fr":
-            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "du ", "des ", "de la ", ""]) + street()
+            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "du ", "des ", "de la ", "aux ", "au ", "de l'", "Saint-", "", ""]) + street()
             out = f"{n}{r.choice(['', '', '', ' bis', ' ter'])}{r.choice([' ', ', '])}{self.any(a, '|')} {base}"
         else:
-            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "del ", "de la ", ""]) + street()
+            base = self.of(b, "|") if r.random() < 0.6 else r.choice(["de ", "del ", "de la ", "de los ", "de las ", "San ", "Santa ", "", ""]) + street()
             out = f"{self.any(a, '|')} {base}{r.choice([' ', ', '])}{r.choice(['', '', 'n.º ', 'nº '])}{n}{r.choice(['', '', ', 3.º B', ', 2º izq.', ', bajo'])}"
         return out + r.choice(["", "", f", {self.town(lang)}", f", {code} {self.town(lang)}"])
 
@@ -329,15 +354,17 @@ class _Maker:
         """A frame made on the spot: a slot between random words, after a cue where numbers need one."""
         r = self.rng
         cues = CUES[lang]
-        slot = r.choice("nnnnnrNepiaaddddd")
+        slot = r.choice("nnnnnnrNeppiiiaaaddddd")
         few = lambda: " ".join(self.sentence(lang, bare=True).split()[: r.randint(1, 4)])
         if slot in "nr" and r.random() < 0.45:
-            return f"{self.of(cues['open'], '|')} {{{slot}}} {few() if r.random() < 0.6 else ''}".strip() + r.choice([".", "", "!", "?", "..."])
+            title = "{t} " if slot == "n" and r.random() < 0.12 else ""
+            opened = self.of(cues["open"], "|") + " " if r.random() < 0.85 else r.choice(["", "- ", "¡" if lang == "es" else "", "¿" if lang == "es" else "\""])
+            return f"{opened}{title}{{{slot}}}{r.choice([' ', ' ', ' ', ', ']) + few() if r.random() < 0.6 else ''}".strip() + r.choice([".", "", "!", "?", "..."])
         before, after = few() if r.random() < 0.6 else "", few() if r.random() < 0.45 else ""
         if slot in "piead" and r.random() < (0.55 if slot in "ea" else 0.95):
             cue = self.of(cues[slot], "|")
             cue = cue[0].upper() + cue[1:] if r.random() < 0.4 else cue
-            before = (before + " " if before and r.random() < 0.5 else "") + cue + r.choice(["", "", "", ":", ":", " is" if lang == "en" else "", "?", ",", " -"])
+            before = (before + " " if before and r.random() < 0.5 else "") + cue + r.choice(["", "", "", ":", ":", r.choice(COPULAS[lang]), r.choice(COPULAS[lang]), "?", ",", " -"])
         elif slot == "r":
             before += ":" if before else ""
         if r.random() < 0.2:
@@ -364,9 +391,11 @@ class _Maker:
         handle = r.choice(["@{x}", "@{x}{x}", "@{x}_{d}", "#{x}", "www.{x}.com", "{x}.net/{x}", "http://{x}.org", "team {x}", "Team {x}"])
         number = self.of(CUES[lang]["d"], "|") + " {d}"
         travel = {"en": ["to {w}", "for {w}", "from {w}"], "de": ["nach {w}", "aus {w}"], "fr": ["pour {w}", "à {w}", "de {w}"], "es": ["a {w}", "para {w}", "de {w}"]}[lang]
+        vehicle = self.of(VEHICLES[lang], "|")
         clock = {"en": "at {d}", "de": "um {d}", "fr": "à {d}", "es": "a las {d}"}[lang]
         lines = {
             "sound": [f"[{caps}]", f"[{caps}]", f"({caps})", f"({caps})", f"[♪ {caps.lower()} ♪]", f"[{caps.lower()}]", f"({caps.lower()})", f"- [{caps}]", f"[{caps}] {{s}}", caps],
+            "travel": [f"{vehicle} {{l}} {r.choice(travel)}{r.choice(['.', '', ',', '!'])}", f"{vehicle} {{l}} {r.choice(travel)}. {{s}}", f"{{s}} {vehicle} {{l}} {r.choice(travel)}.", f"{{l}} {r.choice(travel)}", f"{{l}} {some(adjectives)} {some(nouns)}"],
             "title": [title, f"{title} {self.of(verbs)} {clock}.", f"{title} {self.of(verbs)} {{s}}", f"{{s}} {title}", f"{title}, {{d}}"],
             "handle": [handle, f"{{s}} {handle}", f"-= {handle} =-", f"-= {some(nouns)} by {handle} =-", f"by {handle}"],
             "number": [f"{number}, {{s}}", f"{number} {r.choice(travel)}", f"{number} {clock}.", f"{number}.", f"{{s}} {number}", f"{number}, {self.of(adjectives)} {self.of(nouns)}."],
@@ -393,7 +422,9 @@ class _Maker:
         def pick(text: str) -> str:
             if made and text is not links and r.random() < 0.8:
                 out = self.word(lang)
-                return out.capitalize() if lang == "de" and text is nouns else out
+                if lang == "de" and text is not verbs:
+                    return (out + r.choice(NOUN_ENDS)).capitalize() if text is nouns else out + r.choice(ADJECTIVE_ENDS)
+                return out
             return self.of(text)
 
         def phrase() -> list[str]:
@@ -408,7 +439,7 @@ class _Maker:
         if r.random() < 0.15:
             named = r.choice([self.organ, self.town, self.given, lambda x: self.of(CAPITALS[x]), lambda x: f"{self.any(TITLES[x])} {self.family(x)}"])(lang)
             words.insert(r.randrange(len(words) + 1), named)
-        if r.random() < 0.25:
+        if r.random() < 0.35:
             words = words[r.randrange(len(words)) :]
         if r.random() < 0.2:
             words = words[: r.randint(1, 3)]
@@ -430,15 +461,15 @@ class _Maker:
         return " ".join(words) + r.choice(["", ".", "?", "…", "!"])
 
     def fill(self, lang: str, frame: str) -> tuple[str, list[int]]:
-        text, labels = "", []
+        r, text, labels = self.rng, "", []
         while "{" in frame:
             before, _, rest = frame.partition("{")
             slot, frame = rest[0], rest[2:]
             text, labels = text + before, labels + [0] * len(before)
             value = {
                 "n": lambda: self.name(lang), "r": lambda: self.name(lang, True), "N": lambda: self.name(lang).upper(), "g": lambda: self.given(lang), "G": lambda: self.given(lang).upper(),
-                "f": lambda: self.family(lang), "t": lambda: self.any(TITLES[lang]), "e": lambda: self.email(lang), "p": lambda: self.phone(lang), "i": lambda: self.digits(self.any(IDS[lang], "|")),
-                "a": lambda: self.address(lang), "w": lambda: self.town(lang), "d": self.number, "s": lambda: self.sentence(lang), "x": lambda: self.word("en"), "o": lambda: self.organ(lang),
+                "f": lambda: self.family(lang), "t": lambda: self.any(TITLES[lang]), "e": lambda: self.email(lang), "p": lambda: self.phone(lang), "i": lambda: self.identity(lang),
+                "a": lambda: self.address(lang), "w": lambda: self.town(lang), "d": self.number, "l": lambda: str(r.randrange(1, 400)), "s": lambda: self.sentence(lang), "x": lambda: self.word("en"), "o": lambda: self.organ(lang),
             }[slot]()
             kind = _SLOT.get(slot, 0)
             labels += [2 * kind - 1] + [2 * kind] * (len(value) - 1) if kind else [0] * len(value)
@@ -502,7 +533,7 @@ def sample(count: int = SAMPLE_LINES, seed: int = SEED, held_out: bool = False)
             else:
                 t = make.script() if way > 0.95 else make.sentence(lang)
                 own = [0] * len(t)
-            if way >= 0.5 and rng.random() < 0.1 and len(t.upper()) == len(t):
+            if way >= 0.5 and rng.random() < 0.17 and len(t.upper()) == len(t):
                 t = t.upper()
             if rng.random() < 0.08:
                 t, own = "- " + t, [0, 0, *own]

@@ -553,6 +553,46 @@ def test_labelled_lines_reach_the_tagger(finder):
     assert len(seen) >= len(texts)
 
 
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("Bus 52 to Port Quillan.", set()),
+        ("Ferry 38 to Port Quillan.", set()),
+        ("Her passport number? 000 52 1990.", {("id_number", "000 52 1990")}),
+        ("Le colis part au 188 bis, avenue aux Merles.", {("address", "188 bis, avenue aux Merles")}),
+        ("Rappelez-nous au zéro sept deux neuf huit huit un un quatre six.", {("phone", "zéro sept deux neuf huit huit un un quatre six")}),
+    ],
+)
+def test_numbers_count_by_what_they_stand_for(finder, line, want):
+    assert {s[2:] for s in finder.find([line])[0]} == want
+
+
+def test_borders_of_spoken_numbers_and_addresses():
+    for kind, text, passage in [
+        ("phone", "Appelez le zéro six trois neuf neuf huit, merci", "zéro six trois neuf neuf huit"),
+        ("address", "Kupferweg 12, Altdorf.", "Kupferweg 12, Altdorf"),
+        ("address", "Kupferweg 12, Altdorf...", "Kupferweg 12, Altdorf"),
+        ("address", "12 Mill St.", "12 Mill St."),
+        ("name", "Sie Ulla Vornfeld", "Ulla Vornfeld"),
+        ("name", "Lisa in 't Veen", "Lisa in 't Veen"),
+    ]:
+        assert text[slice(*personal._trim(kind, text, 0, len(text)))] == passage
+
+
+@pytest.mark.parametrize("phrase", ["Ihre Glocke", "Lärm in der Nacht", "Häuser im Nebel"])
+def test_phrases_are_no_names(phrase):
+    assert personal._trim("name", phrase, 0, len(phrase)) is None
+
+
+def test_a_step_reads_two_characters(finder):
+    """Half the steps; an odd end reads like one with a blank after it."""
+    x = personal_model.encode("This is Margaret Holloway").astype(int)[:, None]
+    assert personal_model.pairs(x).shape == (2, 13, 1)
+    odd = finder.tagger.emissions(x, np.array([25]))
+    even = finder.tagger.emissions(np.concatenate([x, [[32]]]), np.array([26]))
+    assert odd.shape == (25, 1, personal_model.TAGS) and np.allclose(odd, even[:25], atol=1e-5)
+
+
 @pytest.mark.parametrize("line", ["violines doblados bajo la lluvia.", "hölzernen Motoren ... Die samtenen", "sturen Keller wie Narren ..."])
 def test_plain_blocks_are_left(finder, line):
     assert finder.find([line]) == [[]]
