@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callweave.config import EPSILON, MergeConfig
 from callweave.functions import masks
 from callweave.operators import aggregate as agg
+from callweave.operators import intervals
 from callweave.operators.cluster import Forest, agglomerate, cluster_calls, components
 from callweave.operators.intervals import interval_join, repeat_of_deletions, repeat_of_insertions
 from callweave.operators.pairs import candidate_pairs
@@ -205,6 +206,57 @@ def test_repeat_containment(spark):
     assert got == {1: "outer", 2: "outer", 4: "inner"}
 
 
+def best_by_pairs(dels, repeats, slop, share, least):
+    """{idx: tr_id} of repeat_of_deletions, from all pairs."""
+    found = {}
+    for idx, contig, first, last in dels:
+        a, b, n, seen = max(first - slop, 0), last + slop, last - first, []
+        for c, x, y, tr_id, _ in repeats:
+            s, e = min(x, y), max(x, y)
+            o = max(0, min(b, e) - max(a, s))
+            if c == contig and contig and o >= least and o * 1_000_000 >= share * n:
+                seen.append((-(2_000_000 * o // (n + e - s)), -o, e - s, s, tr_id))
+        if seen:
+            found[idx] = min(seen)[-1]
+    return found
+
+
+REPEATS = "contig string, start long, stop long, tr_id string, motif_len int"
+
+
+@pytest.mark.parametrize("bin_rows, group_rows, slop, share", [(250_000, 20_000, 0, 800_000), (15, 40, 3, 100_000)])
+def test_best_repeat_equals_all_pairs(spark, monkeypatch, bin_rows, group_rows, slop, share):
+    monkeypatch.setattr(intervals, "_BIN_ROWS", bin_rows)
+    monkeypatch.setattr(intervals, "_GROUP_ROWS", group_rows)
+    rng = random.Random(5)
+    places = [*range(3000), *range(3000, 200_000, 91)]
+    dels = [(i, rng.choice(["c", "d", None]), a, a + rng.choice([0, 1, 30, 60, 900, 70_000])) for i, a in enumerate(rng.choices(places, k=300))]
+    ends = [(a, a + rng.choice([0, 20, 40, 50, 900, 60_000, 9_000_000])) for a in rng.choices(places, k=250)]
+    repeats = [(rng.choice(["c", "d", None]), *(x if i % 5 else x[::-1]), f"T{rng.randrange(900)}", None) for i, x in enumerate(ends)]
+    repeats += [(c, s, e, "S" + t, 2) for c, s, e, t, _ in repeats[:80]]
+    q, t = spark.createDataFrame(dels, "idx long, contig string, del_start long, del_end long"), spark.createDataFrame(repeats, REPEATS)
+    got = {r["idx"]: r["tr_id"] for r in repeat_of_deletions(q, t, slop, share, 1).collect()}
+    assert len(got) > 50 and got == best_by_pairs(dels, repeats, slop, share, 1)
+
+
+def most_rows(node):
+    """The most rows that a step of a plan gave."""
+    kind = node.getClass().getSimpleName()
+    inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+    below = node.children()
+    inner += [below.apply(i) for i in range(below.size())]
+    rows = node.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_best_repeat_lists_no_pairs(spark):
+    dels = [(i, "c", 5000 + i % 40, 5200 + i % 37) for i in range(1500)]
+    repeats = [("c", 5000 - i % 50, 5240 + i % 11, f"T{i}", 2) for i in range(1500)]
+    best = repeat_of_deletions(spark.createDataFrame(dels, "idx long, contig string, del_start long, del_end long"), spark.createDataFrame(repeats, REPEATS), 0, 800_000, 1)
+    assert {r["idx"]: r["tr_id"] for r in best.collect()} == best_by_pairs(dels, repeats, 0, 800_000, 1)
+    assert most_rows(best._jdf.queryExecution().executedPlan()) <= 3 * (len(dels) + len(repeats))
+
+
 def merged(spark, rows, cfg=None):
     members = spark.createDataFrame(rows, SCHEMA).withColumn("group_id", F.lit(0).cast("long"))
     return agg.merged_records(members, cfg or MergeConfig()).first()
